@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from rowloom.catalog import graphs, tables  # noqa: F401
+from rowloom.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
