@@ -85,9 +85,9 @@ weighted AS (
   FROM cells c JOIN freq f ON c.value = f.value),
 edges AS (
   SELECT (rid_no * 100 + col_no) * 2 AS seq, rid_no, col_no, pos, 0 AS side, rid AS src, token AS dst,
-         1.0 AS w_fwd, w AS w_back FROM weighted
+         CAST(1.0 AS DOUBLE) AS w_fwd, CAST(w AS DOUBLE) AS w_back FROM weighted
   UNION ALL
-  SELECT (rid_no * 100 + col_no) * 2 + 1, rid_no, col_no, pos, 1, token, 'cid__' || col, w, 1.0 FROM weighted)"""
+  SELECT (rid_no * 100 + col_no) * 2 + 1, rid_no, col_no, pos, 1, token, 'cid__' || col, CAST(w AS DOUBLE), CAST(1.0 AS DOUBLE) FROM weighted)"""
 
 
 def flat_sql(node: str, prefixes: tuple[str, ...]) -> str:

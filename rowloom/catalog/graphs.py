@@ -330,8 +330,8 @@ _SIMILAR = """names AS (SELECT DISTINCT p_name FROM part),
 sims AS (SELECT 'tt__' || replace(a.p_name, ' ', '_') AS a, 'tt__' || replace(b.p_name, ' ', '_') AS b,
   CASE WHEN a.p_name < 'h' THEN 0.3 ELSE 0.05 END AS distance
   FROM names a JOIN names b ON split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) AND a.p_name < b.p_name),
-similar AS (SELECT node, nbr, sum(distance) AS weight FROM (SELECT a AS node, b AS nbr, distance FROM sims UNION ALL SELECT b, a, distance FROM sims) GROUP BY node, nbr),
-totals AS (SELECT node, sum(weight) AS total FROM similar GROUP BY node)"""
+alike AS (SELECT node, nbr, sum(distance) AS weight FROM (SELECT a AS node, b AS nbr, distance FROM sims UNION ALL SELECT b, a, distance FROM sims) GROUP BY node, nbr),
+totals AS (SELECT node, sum(weight) AS total FROM alike GROUP BY node)"""
 
 
 def similar_names(spark, sf_dir):
@@ -342,7 +342,7 @@ def similar_names(spark, sf_dir):
     return pairs.select(node("a").alias("a"), node("b").alias("b"), F.when(F.col("a") < "h", 0.3).otherwise(0.05).alias("distance"))
 
 
-@query("similar_nodes", f"WITH {_SIMILAR} SELECT node, nbr, {rounded('weight')} AS weight FROM similar")
+@query("similar_nodes", f"WITH {_SIMILAR} SELECT node, nbr, {rounded('weight')} AS weight FROM alike")
 def similar_nodes(spark, sf_dir):
     return R.similar_nodes(similar_names(spark, sf_dir), part_nodes(spark, sf_dir))
 
@@ -350,7 +350,7 @@ def similar_nodes(spark, sf_dir):
 @query(
     "replacement_probability",
     f"""WITH {_SIMILAR} SELECT s.node, nbr, {rounded('CASE WHEN total >= 1 THEN weight / total ELSE weight * total END * 0.5')} AS probability
-FROM similar s JOIN totals t ON s.node = t.node
+FROM alike s JOIN totals t ON s.node = t.node
 UNION ALL SELECT node, node, {rounded('1 - CASE WHEN total >= 1 THEN 0.5 ELSE total * total * 0.5 END')} FROM totals""",
 )
 def replacement_probability(spark, sf_dir):

@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: longest lists for which the exact distribution is used
 EXACT_UP_TO = 33
@@ -41,7 +42,7 @@ def kendall_p(n: int, discordant: int) -> float | None:
     return math.erfc(abs(pairs - 2 * discordant) / spread / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _kendall_p(n: pd.Series, discordant: pd.Series) -> pd.Series:
     return pd.Series([kendall_p(int(a), int(b)) for a, b in zip(n, discordant)], dtype="float64")
 

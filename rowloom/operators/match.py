@@ -56,18 +56,18 @@ def similarity_list(pairs: DataFrame, n: int) -> DataFrame:
     A word counts once per id, with the score seen first. Rank-limited windows cut every id to n
     rows before the shuffle, so a popular id costs no more than others.
     """
-    first = pairs.groupBy("id", "word").agg(F.min_by("score", "seq").alias("score"))
-    window = Window.partitionBy("id").orderBy(F.col("score").desc(), F.col("word").desc())
-    return first.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= n).select(
-        "id", "word", "score", "rank"
-    )
+    return top_entries(_first_scores(pairs), n)
+
+
+def _first_scores(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("id", "word").agg(F.min_by("score", "seq").alias("score"))
 
 
 def merge_lists(old: DataFrame, new: DataFrame, n: int) -> DataFrame:
     """Insert new pairs (``id, word, score, seq``) into a list; present entries keep their score."""
-    known = old.select("id", "word", "score", F.lit(None).cast(new.schema["seq"].dataType).alias("seq"))
-    fresh = new.join(old.select("id", "word"), ["id", "word"], "left_anti")
-    return similarity_list(known.unionByName(fresh.select("id", "word", "score", "seq")), n)
+    known = old.select("id", "word", "score")
+    fresh = _first_scores(new).join(known, ["id", "word"], "left_anti")
+    return top_entries(known.unionByName(fresh), n)
 
 
 def top_entries(entries: DataFrame, n: int, with_score: bool = True) -> DataFrame:

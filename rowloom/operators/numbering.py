@@ -92,8 +92,7 @@ def number_in_groups(
         "position", F.col("_pos") + F.coalesce("_n_before", F.lit(0).cast("bigint"))
     )
     if weight is not None:
-        zero = F.lit(0).cast("decimal(20,12)")
-        joined = joined.withColumn(
-            "weight_before", F.coalesce("_wpos", zero) + F.coalesce("_w_before", zero)
-        ).drop("_wpos", "_w_before")
+        # both parts in one type, so that their sum keeps all digits
+        exact = lambda c: F.coalesce(F.col(c).cast("decimal(30,12)"), F.lit(0).cast("decimal(30,12)"))
+        joined = joined.withColumn("weight_before", exact("_wpos") + exact("_w_before")).drop("_wpos", "_w_before")
     return joined.drop("_bucket", "_pos", "_n_before")

@@ -64,6 +64,9 @@ def walk_tables(
             .join(other, "nbr", "left")
             .select("node", "slot", "lo", "hi", F.col("nbr").alias("other"), "other_degree", F.col("degree").alias("similar_degree"))
         )
+        if keep:
+            parts = shuffle_partitions(adj.sparkSession)
+            similar = freeze(similar.repartition(parts, "node", "slot").sortWithinPartitions("node", "slot"))
     return WalkTables(slots, starts, degree, bag, weighted, similar)
 
 
@@ -213,7 +216,8 @@ def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOpti
 
 def _replace_strings(drawn: DataFrame, tables: WalkTables, opts: WalkOptions) -> DataFrame:
     """Draw the token written in place of the node reached; the node itself where none is similar."""
-    sizes = tables.similar.select(F.col("node").alias("nbr"), "similar_degree").distinct()
+    # every node has its slot 0, once per neighbour that reaches into it
+    sizes = tables.similar.filter("slot = 0 and lo = 0").select(F.col("node").alias("nbr"), "similar_degree")
     draw = hash32(opts.seed, F.col("walk_id"), F.col("step"), F.col("salt"), "s")
     keyed = drawn.join(sizes, "nbr", "left").withColumn("_h", draw).withColumn(
         "_slot", F.coalesce(scaled(F.col("_h"), F.col("similar_degree")), F.lit(-1).cast("bigint"))
