@@ -63,15 +63,20 @@ def _numeric_names(df: DataFrame, cols: list[str]) -> set[str]:
 
 
 def cells(
-    df: DataFrame, key: str | None = None, cols: list[str] | None = None, numeric: list[str] | None = None
+    df: DataFrame,
+    key: str | None = None,
+    cols: list[str] | None = None,
+    numeric: list[str] | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Long table ``rid_no, rid, col_no, col, pos, value, is_numeric``, one row per kept value.
 
     A ``rid``/``rid_no`` pair made by :func:`row_ids` is used when present. ``numeric`` names the
     numeric columns; without it, text columns are tested by one scan, typed columns by their type.
+    Columns in ``carry`` are no data and go along with every cell.
     """
     table = df if "rid_no" in df.columns else row_ids(df, key)
-    cols = cols or data_columns(df, key)
+    cols = cols or [c for c in data_columns(df, key) if c not in carry]
     known = set(numeric) if numeric is not None else _numeric_names(df, cols)
     entries = [
         F.struct(
@@ -83,10 +88,10 @@ def cells(
         for i, c in enumerate(cols)
     ]
     return (
-        table.select("rid_no", "rid", F.inline(F.array(*entries)))
-        .select("rid_no", "rid", "col_no", "col", "is_numeric", F.posexplode("values").alias("pos", "value"))
+        table.select(*carry, "rid_no", "rid", F.inline(F.array(*entries)))
+        .select(*carry, "rid_no", "rid", "col_no", "col", "is_numeric", F.posexplode("values").alias("pos", "value"))
         .filter(F.col("value").isNotNull() & (F.col("value") != ""))
-        .select("rid_no", "rid", "col_no", "col", "pos", "value", "is_numeric")
+        .select(*carry, "rid_no", "rid", "col_no", "col", "pos", "value", "is_numeric")
     )
 
 
@@ -111,14 +116,12 @@ def tokens(cell_table: DataFrame, flatten: bool = False, keep: DataFrame | None
         cell_table = cell_table.join(kept, "value", "left")
         parts = F.when(F.col("_keep"), F.array("value")).otherwise(parts)
     columns = [c for c in cell_table.columns if c not in ("value", "_keep")]
-    return cell_table.select(*columns, F.posexplode(parts).alias("sub", "value")).select(
-        "rid_no", "rid", "col_no", "col", "pos", "sub", "value", "is_numeric"
-    )
+    return cell_table.select(*columns, F.posexplode(parts).alias("sub", "value"))
 
 
-def value_frequency(values: DataFrame) -> DataFrame:
-    """Occurrences of each value, over all columns together."""
-    return values.filter(F.col("value") != "").groupBy("value").agg(F.count(F.lit(1)).alias("frequency"))
+def value_frequency(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Occurrences of each value, over all columns together; per group of the columns ``by``."""
+    return values.filter(F.col("value") != "").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def distinct_token_estimate(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

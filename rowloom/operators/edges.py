@@ -12,18 +12,25 @@ from rowloom.operators.numbering import dense_index
 EDGE_SCHEMA = "src string, dst string, w_fwd double, w_back double"
 
 
-def edge_list(token_table: DataFrame, smoothing: Smoothing = Smoothing(), frequency: DataFrame | None = None) -> DataFrame:
+def edge_list(
+    token_table: DataFrame,
+    smoothing: Smoothing = Smoothing(),
+    frequency: DataFrame | None = None,
+    window: str | None = None,
+) -> DataFrame:
     """Two edges per token: row to token (1, w) and token to column (w, 1).
 
     ``w`` is the smoothed frequency of the token, 1 when ``frequency`` does not hold it. By default
     the frequencies are those of ``token_table``; give :func:`value_frequency` of raw values to
-    weight by the uncleaned text. Without smoothing no join takes place.
+    weight by the uncleaned text. Without smoothing no join takes place. With ``window`` (a column
+    of numbers) frequencies are per window, and edges of later windows are the later ones.
     """
+    by = (window,) if window else ()
     if smoothing.method == "no":
         weighted = token_table.withColumn("w", F.lit(1.0))
     else:
-        counts = value_frequency(token_table) if frequency is None else frequency
-        weighted = token_table.join(counts, "value", "left").withColumn(
+        counts = value_frequency(token_table, by) if frequency is None else frequency
+        weighted = token_table.join(counts, [*by, "value"], "left").withColumn(
             "w", F.coalesce(smoothing.weight(F.col("frequency")), F.lit(1.0))
         )
     sub = F.col("sub") if "sub" in token_table.columns else F.lit(0)
@@ -31,6 +38,7 @@ def edge_list(token_table: DataFrame, smoothing: Smoothing = Smoothing(), freque
 
     def edge(side: int, src, dst, w_fwd, w_back):
         seq = F.struct(
+            *([F.col(window).alias("window")] if window else []),
             F.col("rid_no").alias("rid"), F.col("col_no").alias("col"), "pos", sub.alias("sub"), F.lit(side).alias("side")
         )
         return F.struct(
