@@ -94,6 +94,7 @@ def train(walks: DataFrame, opts: TrainOptions, model: DataFrame | None = None)
     New words need ``min_count`` occurrences in these walks. Words of an earlier model that do not
     occur here keep their vectors.
     """
+    walks = freeze(walks.select("walk_id", "walk"))
     vocab = keep_probability(vocabulary(walks, opts.min_count), opts.sampling_factor)
     if model is not None:
         # words known from before count as vocabulary at any frequency

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.functions.times import epoch_seconds
 from rowloom.operators.cells import row_ids
 from rowloom.options import StreamOptions
 from rowloom.sources.readers import path_exists
@@ -137,6 +138,6 @@ class WindowBuffer:
         last = assigned.agg(F.max("window_end").alias("t")).first().t
         if last is None:
             return None, done
-        number = F.floor(F.unix_seconds("window_start") / F.lit(slide)).alias("window")
+        number = F.floor(epoch_seconds(assigned, "window_start") / F.lit(slide))
         windows = assigned.withColumn("window", number).drop("window_start", "window_end")
         return windows, Progress(0, done.n_records, done.base, done.n_windows, last)

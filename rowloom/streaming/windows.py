@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowloom.functions.times import epoch_micros
+
 
 def count_windows(
     numbered: DataFrame, size: int, slide: int = 0, seq: str = "seq", base: int = 0, total: int | None = None,
@@ -46,12 +48,12 @@ def idle_sessions(df: DataFrame, ts: str, idle_seconds: int) -> DataFrame:
     Two rows of one time bucket of ``idle_seconds`` are never that far apart, so the rows shrink to
     one per bucket first, and the only ordered pass is over buckets: time range / idle time.
     """
-    bucket = F.floor(F.unix_micros(ts) / F.lit(idle_seconds * 1_000_000))
+    bucket = F.floor(epoch_micros(df, ts) / F.lit(idle_seconds * 1_000_000))
     buckets = df.groupBy(bucket.alias("bucket")).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
     order = Window.orderBy("bucket")
-    gap = F.unix_micros("first") - F.unix_micros(F.lag("last").over(order))
+    gap = epoch_micros(buckets, "first") - F.lag(epoch_micros(buckets, "last")).over(order)
     starts = F.coalesce((gap >= idle_seconds * 1_000_000).cast("int"), F.lit(1))
     marked = buckets.withColumn("starts", starts).withColumn("session", F.sum("starts").over(order) - 1)
     return marked.groupBy("session").agg(
