@@ -325,21 +325,20 @@ def split_fractions(spark, sf_dir):
 
 # --- similar tokens -------------------------------------------------------------------------
 
-# values of one column that share their last word count as similar
+# a name is similar to its last word
 _SIMILAR = """names AS (SELECT DISTINCT p_name FROM part),
-sims AS (SELECT 'tt__' || replace(a.p_name, ' ', '_') AS a, 'tt__' || replace(b.p_name, ' ', '_') AS b,
-  CASE WHEN a.p_name < 'h' THEN 0.3 ELSE 0.05 END AS distance
-  FROM names a JOIN names b ON split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2) AND a.p_name < b.p_name),
+sims AS (SELECT 'tt__' || replace(p_name, ' ', '_') AS a, 'tt__' || split_part(p_name, ' ', 2) AS b, CASE WHEN p_name < 'h' THEN 0.3 ELSE 0.05 END AS distance FROM names),
 alike AS (SELECT node, nbr, sum(distance) AS weight FROM (SELECT a AS node, b AS nbr, distance FROM sims UNION ALL SELECT b, a, distance FROM sims) GROUP BY node, nbr),
 totals AS (SELECT node, sum(weight) AS total FROM alike GROUP BY node)"""
 
 
 def similar_names(spark, sf_dir):
     names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = [names.select(F.col("p_name").alias(n), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("last")) for n in "ab"]
-    node = lambda c: F.concat(F.lit("tt__"), F.replace(c, F.lit(" "), F.lit("_")))
-    pairs = a.join(b, "last").filter("a < b")
-    return pairs.select(node("a").alias("a"), node("b").alias("b"), F.when(F.col("a") < "h", 0.3).otherwise(0.05).alias("distance"))
+    return names.select(
+        F.concat(F.lit("tt__"), F.replace("p_name", F.lit(" "), F.lit("_"))).alias("a"),
+        F.concat(F.lit("tt__"), F.split_part("p_name", F.lit(" "), F.lit(2))).alias("b"),
+        F.when(F.col("p_name") < "h", 0.3).otherwise(0.05).alias("distance"),
+    )
 
 
 @query("similar_nodes", f"WITH {_SIMILAR} SELECT node, nbr, {rounded('weight')} AS weight FROM alike")
@@ -361,8 +360,8 @@ def replacement_probability(spark, sf_dir):
 def walks_replaced(spark, sf_dir):
     """Walks that write similar tokens, and near numbers, in place of those reached."""
     edges = part_edges(spark, sf_dir, ["p_name", "p_size"])
-    nodes = G.node_catalog(edges, TYPES)
-    adj = G.adjacency(G.flattened_edges(edges, TYPES))
+    nodes = G.node_catalog(edges, TYPES, "tt")
+    adj = G.adjacency(G.flattened_edges(edges, TYPES, "tt"))
     similar = R.replacement_probability(R.similar_nodes(similar_names(spark, sf_dir), nodes))
     tables = W.walk_tables(adj, TYPES, numeric_nodes=nodes.filter("is_numeric"), similar=similar)
     opts = WalkOptions(sentence_length=LENGTH, seed=SEED, replace_strings=True, replace_numbers=True)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rowloom.catalog.base import query, rounded, table
 from rowloom.operators import evaluate as V
 from rowloom.operators import knn as K
 from rowloom.operators import match as M
+from rowloom.session import freeze
 
 K_NEAR = 10
 N_TOP = 10
@@ -198,17 +200,26 @@ def beyond_source(spark, sf_dir):
 # --- pairs and scores -----------------------------------------------------------------------
 
 
-def label_truth(spark, sf_dir):
-    """For each row of source A the rows of source B with the same label and the same last digit."""
-    records = record_table(spark, sf_dir).withColumn("digit", F.col("vec_id") % 10)
-    half = half_of(spark, sf_dir)
-    a = records.filter(F.col("vec_id") < half).select(F.col("key").alias("item"), "label", "digit")
-    b = records.filter(F.col("vec_id") >= half).select(F.col("key").alias("match"), "label", "digit")
-    return a.join(b, ["label", "digit"]).select("item", "match")
-
+def label_truth(spark, sf_dir, cand=None):
+    """Pairs across the sources: candidates of the same label, and row i with row i + half.
 
-_TRUTH = """truth AS (SELECT a.key AS item, b.key AS match, a.vec_id AS item_no, b.vec_id AS match_no FROM v a JOIN v b ON a.label = b.label AND a.vec_id % 10 = b.vec_id % 10, half
-  WHERE a.vec_id < n_items AND b.vec_id >= n_items)"""
+    Each row gives a bounded number of pairs, so the truth grows with the table and not faster.
+    """
+    cand = candidates(spark, sf_dir) if cand is None else cand
+    half = half_of(spark, sf_dir)
+    records = record_table(spark, sf_dir).select("key", "label", "vec_id")
+    item = records.select(F.col("key"), F.col("label").alias("item_label"), F.col("vec_id").alias("item_no"))
+    match = records.select(F.col("key").alias("nbr"), F.col("label").alias("match_label"))
+    near = cand.join(item, "key").join(match, "nbr").filter((F.col("item_no") < half) & (F.col("item_label") == F.col("match_label")))
+    across = item.filter(F.col("item_no") < half).withColumn("nbr", F.concat(F.lit("idx__"), (F.col("item_no") + half).cast("string")))
+    linear = across.join(match, "nbr").filter((F.col("item_label") + F.col("match_label")) % 2 == 0)
+    pairs = [x.select(F.col("key").alias("item"), F.col("nbr").alias("match")) for x in (near, linear)]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
+_TRUTH = """truth AS (SELECT c.key AS item, c.nbr AS match, key_no AS item_no, nbr_no AS match_no FROM cand c JOIN v a ON c.key = a.key JOIN v b ON c.nbr = b.key, half
+  WHERE key_no < n_items AND a.label = b.label
+  UNION SELECT a.key, b.key, a.vec_id, b.vec_id FROM v a, half JOIN v b ON b.vec_id = a.vec_id + n_items WHERE a.vec_id < n_items AND (a.label + b.label) % 2 = 0)"""
 _PREDICTED = f"""levels AS (SELECT *, dense_rank() OVER (PARTITION BY key ORDER BY round(score, 2) DESC) AS level FROM near),
 predicted AS (SELECT DISTINCT least(key_no, nbr_no) AS lo, greatest(key_no, nbr_no) AS hi FROM levels WHERE level <= 2),
 actual AS (SELECT DISTINCT least(item_no, match_no) AS lo, greatest(item_no, match_no) AS hi FROM truth)"""
@@ -218,24 +229,24 @@ def near_entries(spark, sf_dir):
     return K.knn(record_table(spark, sf_dir), k=K_NEAR).select(F.col("key").alias("id"), F.col("nbr").alias("word"), "score", "rank")
 
 
-@query("pairs_truth", f"WITH {_V}, {_TRUTH} SELECT DISTINCT least(item_no, match_no) AS lo, greatest(item_no, match_no) AS hi FROM truth")
+@query("pairs_truth", f"WITH {_CAND}, {_TRUTH} SELECT DISTINCT least(item_no, match_no) AS lo, greatest(item_no, match_no) AS hi FROM truth")
 def pairs_truth(spark, sf_dir):
     return M.truth_pairs(label_truth(spark, sf_dir))
 
 
-@query("pairs_predicted", f"WITH {_COS}, {_TRUTH}, {_PREDICTED} SELECT lo, hi FROM predicted")
+@query("pairs_predicted", f"WITH {_CAND}, {_TRUTH}, {_PREDICTED} SELECT lo, hi FROM predicted")
 def pairs_predicted(spark, sf_dir):
     return M.predicted_pairs(near_entries(spark, sf_dir), 2, 2)
 
 
-@query("correct_pairs", f"WITH {_COS}, {_TRUTH}, {_PREDICTED} SELECT lo, hi FROM predicted INTERSECT SELECT lo, hi FROM actual")
+@query("correct_pairs", f"WITH {_CAND}, {_TRUTH}, {_PREDICTED} SELECT lo, hi FROM predicted INTERSECT SELECT lo, hi FROM actual")
 def correct_pairs(spark, sf_dir):
     return V.correct_pairs(M.predicted_pairs(near_entries(spark, sf_dir), 2, 2), M.truth_pairs(label_truth(spark, sf_dir)))
 
 
 @query(
     "prf",
-    f"""WITH {_COS}, {_TRUTH}, {_PREDICTED}, c AS (SELECT (SELECT count(*) FROM predicted) AS n_predicted, (SELECT count(*) FROM actual) AS n_actual,
+    f"""WITH {_CAND}, {_TRUTH}, {_PREDICTED}, c AS (SELECT (SELECT count(*) FROM predicted) AS n_predicted, (SELECT count(*) FROM actual) AS n_actual,
   (SELECT count(*) FROM (SELECT lo, hi FROM predicted INTERSECT SELECT lo, hi FROM actual)) AS n_correct),
 s AS (SELECT *, n_correct / n_predicted AS precision, n_correct / n_actual AS recall FROM c)
 SELECT n_predicted, n_actual, n_correct, {rounded('precision')} AS precision, {rounded('recall')} AS recall,
@@ -261,12 +272,14 @@ SELECT {rounded('p')} AS p, {rounded('r')} AS r, {rounded('coalesce(2 * p * r /
 )
 def er_report(spark, sf_dir):
     keys = record_table(spark, sf_dir).select("key")
-    return V.er_report(candidates(spark, sf_dir), keys, label_truth(spark, sf_dir), half_of(spark, sf_dir), N_TOP)
+    cand = freeze(candidates(spark, sf_dir))
+    return V.er_report(cand, keys, label_truth(spark, sf_dir, cand), half_of(spark, sf_dir), N_TOP)
 
 
 @query("suspicious", f"WITH {_JUDGED} SELECT key AS id1, nbr AS id2 FROM judged WHERE (known OR nbr_known) AND NOT (known AND hit)")
 def suspicious(spark, sf_dir):
-    return V.suspicious_matches(candidates(spark, sf_dir), label_truth(spark, sf_dir), half_of(spark, sf_dir), N_TOP)
+    cand = freeze(candidates(spark, sf_dir))
+    return V.suspicious_matches(cand, label_truth(spark, sf_dir, cand), half_of(spark, sf_dir), N_TOP)
 
 
 # --- ranking agreement ----------------------------------------------------------------------
@@ -371,31 +384,29 @@ def sm_report(spark, sf_dir):
 
 
 def quality_tests(spark, sf_dir):
-    """Three rows of one label and the next row of another; the file name follows the label."""
-    records = record_table(spark, sf_dir)
-    group = F.floor(F.row_number().over(_by_label()) / 3)
-    groups = records.withColumn("g", group).groupBy("label", "g").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "key"))), lambda e: e["key"]).alias("same")  # three rows
+    """Three rows of one label and one of the next label, from each run of 100 rows.
+
+    The file name follows the label. No group is larger than such a run.
+    """
+    numbered = record_table(spark, sf_dir).withColumn("run", F.floor(F.col("vec_id") / 100)).withColumn(
+        "place", F.row_number().over(Window.partitionBy("label", "run").orderBy("vec_id"))
+    )
+    groups = numbered.filter("place <= 3").groupBy("label", "run").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "key"))), lambda e: e["key"]).alias("same")
     ).filter(F.size("same") == 3)
-    other = records.select((F.col("label") - 1).alias("label"), F.floor(F.row_number().over(_by_label()) - 1).alias("g"), F.col("key").alias("odd"))
+    other = numbered.filter("place = 1").select((F.col("label") - 1).alias("label"), "run", F.col("key").alias("odd"))
     family = F.when(F.col("label") % 3 == 0, "nmr").when(F.col("label") % 3 == 1, "nmcon").otherwise("nmc")
-    return groups.join(other, ["label", "g"]).select(
-        F.concat_ws("#", "label", "g").alias("test_id"), F.concat(family, F.lit("-"), F.col("label").cast("string")).alias("file"),
+    return groups.join(other, ["label", "run"]).select(
+        F.concat_ws("#", "label", "run").alias("test_id"), F.concat(family, F.lit("-"), F.col("label").cast("string")).alias("file"),
         F.array_append("same", F.col("odd")).alias("terms"), F.col("odd").alias("expected"),
     )
 
 
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("label").orderBy("vec_id")
-
-
 _TESTS = f"""{_V}, u AS (SELECT key, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x FROM v),
-numbered AS (SELECT key, label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM v),
-groups AS (SELECT label, rn // 3 AS g, list(key ORDER BY vec_id) AS same FROM numbered GROUP BY 1, 2 HAVING count(*) = 3),
+numbered AS (SELECT key, label, vec_id, vec_id // 100 AS g, row_number() OVER (PARTITION BY label, vec_id // 100 ORDER BY vec_id) AS rn FROM v),
+groups AS (SELECT label, g, list(key ORDER BY vec_id) AS same FROM numbered WHERE rn <= 3 GROUP BY 1, 2 HAVING count(*) = 3),
 tests AS (SELECT a.label || '#' || a.g AS test_id, CASE a.label % 3 WHEN 0 THEN 'nmr' WHEN 1 THEN 'nmcon' ELSE 'nmc' END || '-' || a.label AS file,
-  list_append(same, b.key) AS terms, b.key AS expected FROM groups a JOIN numbered b ON b.label - 1 = a.label AND b.rn - 1 = a.g),
+  list_append(same, b.key) AS terms, b.key AS expected FROM groups a JOIN numbered b ON b.label - 1 = a.label AND b.rn = 1 AND b.g = a.g),
 parts AS (SELECT test_id, unnest(terms) AS key FROM tests), found AS (SELECT test_id, p.key, x FROM parts p JOIN u ON u.key = p.key),
 centre AS (SELECT test_id, i, avg(x[i]) AS m FROM found, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
 close AS (SELECT f.test_id, f.key, round(sum(f.x[i] * m), 9) AS closeness FROM found f JOIN centre c ON f.test_id = c.test_id GROUP BY 1, 2),

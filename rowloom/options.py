@@ -135,7 +135,7 @@ class TrainOptions:
     epochs: int = 5
     negative: int = 5
     learning_rate: float = 0.025
-    walks_per_shard: int = 2000
+    walks_per_shard: int = 1000
     subword_min: int = 3
     subword_max: int = 6
     subword_buckets: int = 2_000_000
