@@ -168,8 +168,10 @@ def _number_replacement(seed: int) -> tuple[Column, Column]:
 
 
 def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOptions) -> DataFrame:
-    draw = hash32(opts.seed, F.col("walk_id"), F.col("step"), F.col("salt"))
-    keyed = state.withColumn("_h", draw).withColumn("_slot", scaled(F.col("_h"), F.col("degree")))
+    # keys that cannot be null spare a second evaluation of the hash in a null filter
+    never = F.lit(-1).cast("bigint")
+    draw = F.coalesce(hash32(opts.seed, F.col("walk_id"), F.col("step"), F.col("salt")), never)
+    keyed = state.withColumn("_h", draw).withColumn("_slot", F.coalesce(scaled(F.col("_h"), F.col("degree")), never))
     slots = tables.slots
     on = (keyed.cur == slots.node) & (keyed._slot == slots.slot)
     if tables.weighted:

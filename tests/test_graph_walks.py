@@ -96,10 +96,10 @@ def test_walks_follow_edges(table_graph, weighted):
     _, nodes, adj = table_graph
     tables = W.walk_tables(adj, TYPES, weighted)
     seeds = W.spread_walks(G.roots(nodes), 4)
-    walks = W.random_walks(seeds, tables, TYPES, WalkOptions(sentence_length=25, steps_per_checkpoint=10))
-    check_walks(walks, adj, 25)
+    walks = W.random_walks(seeds, tables, TYPES, WalkOptions(sentence_length=12, steps_per_checkpoint=5))
+    check_walks(walks, adj, 12)
     assert walks.count() == 4 * G.roots(nodes).count()
-    again = W.random_walks(seeds, tables, TYPES, WalkOptions(sentence_length=25, steps_per_checkpoint=24))
+    again = W.random_walks(seeds, tables, TYPES, WalkOptions(sentence_length=12, steps_per_checkpoint=11))
     assert {tuple(r.walk) for r in walks.collect()} == {tuple(r.walk) for r in again.collect()}
 
 
