@@ -58,4 +58,7 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Partitions of tables that are laid out by hand: as configured, in local mode a few per core."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(wanted, 4 * context.defaultParallelism) if context.master.startswith("local") else wanted
