@@ -126,8 +126,8 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total[at]), at
 
 
-def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of ``n``-word shingles of each text, sorted, and where each text's begin.
+def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of ``n``-word shingles of each text, sorted, how often each occurs, and where each text's begin.
 
     A text of fewer words, but not none, has one shingle of all its words.
     """
@@ -138,15 +138,17 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     for length in range(1, n):
         texts = np.flatnonzero(counts == length)
         short.update(zip(texts.tolist(), _runs(words.hash, words.first[texts], length), strict=True))
-    out = []
+    out, times = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     begin = np.zeros(len(counts) + 1, np.int64)
     for i in range(len(counts)):
         own = found[parts[i] : parts[i + 1]]
-        if len(own) > 1:
-            own = np.sort(own)
-            own = own[np.concatenate(([True], own[1:] != own[:-1]))]
-        elif i in short:
+        if i in short:
             own = np.array([short[i]], U64)
-        out.append(own)
+        if len(own):
+            own = np.sort(own)
+            new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            times.append(np.diff(np.append(new, len(own))))
+            own = own[new]
+            out.append(own)
         begin[i + 1] = begin[i] + len(own)
-    return (np.concatenate(out) if out else np.zeros(0, U64)), begin
+    return np.concatenate(out), np.concatenate(times), begin
