@@ -7,11 +7,11 @@ earliest per coordinate. Two documents agree in a coordinate with the probabilit
 Jaccard similarity, and a document of any length needs about k ln k + 2k darts.
 
 Runs of ``rows`` coordinates are the bands. In each bucket of a band all members are compared with its
-least and its largest member, then with the one that has the most links so far; that leaves few
-components. Then members of different components that share a bucket are compared with each other,
-unless their signatures differ by more than similar sets' could (five standard deviations). Pairs
-inside one component need no check, as they could not change it. All comparisons are exact, on the
-whole shingle sets.
+least and its largest member; that leaves few components. Then members of different components that
+share a bucket are compared with each other. Left out are pairs that cannot be similar, as too many
+of their shingles stand in no other set in question, or whose signatures differ by over four standard
+deviations more than those of similar sets. Pairs inside one component need no check, as they could
+not change it. All comparisons are exact, on the whole shingle sets.
 
 With 20 bands of 5 coordinates a pair of similarity 0.8 shares a bucket with probability 0.9996.
 
@@ -199,9 +199,9 @@ def _apart(x: str, y: str, numbers: int) -> Column:
 
 
 def _most_apart(k: int, least: float) -> int:
-    """Differing coordinates that similar sets have at most, but for one pair in about three million."""
+    """Differing coordinates that similar sets have at most, but for one pair in about 30,000 (four standard deviations)."""
     p = (1 - least) * 15 / 16
-    return math.ceil(k * p + 5 * math.sqrt(k * p * (1 - p)))
+    return math.ceil(k * p + 4 * math.sqrt(k * p * (1 - p)))
 
 
 def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
@@ -212,6 +212,25 @@ def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
     return known.join(written(mixed, "mixed"), "bucket")
 
 
+def _shareable(loose: DataFrame, sets: DataFrame) -> DataFrame:
+    """``d, n, m``: size of each set in question, and how many of its shingles stand in another one too.
+    More than that a set cannot share with any other."""
+    own = written(sets.join(loose.select("d").distinct(), "d", "left_semi"), "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 1):
+                found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(pa.array(owner))], ["h", "d"])
+
+    single = own.mapInArrow(run, "h long, d binary").groupBy("h").agg(F.count("*").alias("k"), F.min("d").alias("one")).filter("k = 1")
+    single = single.groupBy("one").agg(F.count("*").alias("single"))
+    size = F.octet_length("s").cast("long") / 8
+    return own.join(single, F.col("d") == F.col("one"), "left").select(
+        "d", size.alias("n"), (size - F.coalesce("single", F.lit(0))).alias("m"))
+
+
 def links(
     texts: DataFrame, *, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False,
 ) -> DataFrame:
@@ -229,26 +248,18 @@ def links(
     sets = written(_sets(own.select("d", "t"), shingle, weighted), "sets")
 
     close = written(_verified(tried, sets, least, weighted), "close")
-    members = members.select("bucket", "d", "s")
-    # once more, with the member of each bucket that has the most links so far
-    linked = close.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("links"))
-    loose = _mixed(members, components(close, 2)).join(linked, F.col("d") == F.col("n"), "left")
-    loose = written(loose, "loose")
-    heads = loose.groupBy("bucket").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "d", "c")).alias("h"))
-    heads = written(heads.select("bucket", F.col("h.d").alias("e"), F.col("h.c").alias("c2")), "heads")
-    next_ = loose.join(heads, "bucket").filter("c <> c2").select(*_pair("d", "e")).distinct().join(tried, ["a", "b"], "left_anti")
-    next_ = written(next_, "star2")
-    tried = tried.union(next_)
-    close = written(close.union(_verified(next_, sets, least, weighted)), "close2")
-    # what is still in different groups is compared pair by pair, unless the signatures are far apart
-    loose = written(_mixed(members, components(close, 2)), "loose2")
-    other = loose.select("bucket", F.col("d").alias("e"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    # what is still in different groups is compared pair by pair, unless the two cannot be similar
+    loose = written(_mixed(members.select("bucket", "d", "s"), components(close)), "loose")
+    if not weighted:
+        loose = loose.join(written(_shareable(loose, sets), "shareable"), "d").filter(F.col("m") >= least * F.col("n"))
+        loose = written(loose, "loose2")
+    other = loose.select(*(F.col(c).alias(f"{c}2") for c in loose.columns))
     near = _apart("s", "s2", -(-bands * rows // 16)) <= _most_apart(bands * rows, least)
-    rest = loose.join(other, (loose["bucket"] == other["bucket"]) & (F.col("c") < F.col("c2")) & near)
-    rest = rest.select(*_pair("d", "e")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    import os
-    if os.environ.get("DBG"): print("DBG", found.count(), members.count(), tried.count(), sets.count(), close.count(), loose.count(), rest.count())
+    if not weighted:
+        shared = F.least("m", "m2")
+        near = near & (shared >= least * (F.col("n") + F.col("n2") - shared))
+    rest = loose.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("c") < F.col("c2")) & near)
+    rest = written(rest.select(*_pair("d", "d2")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     return components(close.union(_verified(rest, sets, least, weighted)))
 
 
