@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from rowloom.llm import decontaminate, language, near_dup  # noqa: F401
+from rowloom.llm import bpe, decontaminate, language, near_dup, sentence_spans  # noqa: F401
 from rowloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
