@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from rowloom.llm import bpe, decontaminate, fingerprints, language, near_dup, sentence_spans, warc  # noqa: F401
+from rowloom.llm import bpe, decontaminate, fingerprints, language, near_dup, quotations, resharding, sentence_spans, url_templates, warc  # noqa: F401
 from rowloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
