@@ -110,8 +110,11 @@ def fit(
                             [pa.array([name] * len(keys)), pa.array(keys), pa.array(counts)], ["l", "g", "n"])
 
     grams = sample.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("l").orderBy(F.desc("n"), "g")
-    best = grams.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= profile)
+    # the most frequent of each of 16 parts first, so that no task orders all n-grams of a language
+    best = grams.withColumn("part", F.pmod("g", F.lit(16)))
+    for groups in (("l", "part"), ("l",)):
+        order = Window.partitionBy(*groups).orderBy(F.desc("n"), "g")
+        best = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= profile)
     found = {n: np.zeros(0, np.int64) for n in rows}
     for row in best.orderBy("l", "r").toPandas().groupby("l"):  # ``profile`` rows a language
         found[row[0]] = row[1]["g"].to_numpy(np.int64)
