@@ -9,7 +9,7 @@ Jaccard similarity, and a document of any length needs about k ln k + 2k darts.
 Runs of ``rows`` coordinates are the bands. In each bucket of a band all members are compared with its
 least and its largest member; that leaves few components. Then members of different components that
 share a bucket are compared with each other. Left out are pairs that cannot be similar, as too many
-of their shingles stand in no other set in question, or whose signatures differ by over four standard
+of their shingles stand in no other set in question, or whose longer signatures differ by over five standard
 deviations more than those of similar sets. Pairs inside one component need no check, as they could
 not change it. All comparisons are exact, on the whole shingle sets.
 
@@ -39,6 +39,8 @@ from rowloom.llm.words import U64, mix, shingles, words_of
 BANDS, ROWS = 20, 5
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Coordinates of the longer signatures that pairs of different components are sifted by.
+SKETCH = 512
 _SLAB, _DART, _PLACE, _BAND = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, U64(0x8EBC6AF09C88C6E3), 0x589965CC75374CC3
 
 
@@ -115,7 +117,7 @@ def _lists(table: np.ndarray) -> pa.ListArray:
 
 
 def _band_rows(texts: DataFrame, bands: int, rows: int, shingle: int, weighted: bool) -> DataFrame:
-    """``d, buckets, s`` (the sketch of the signature) of ``texts (d, t)``, once for each text of a batch."""
+    """``d, buckets`` of ``texts (d, t)``, once for each text of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +129,10 @@ def _band_rows(texts: DataFrame, bands: int, rows: int, shingle: int, weighted:
                 weights = times.astype(np.float64) if weighted else np.ones(len(times))
                 full = np.flatnonzero(np.diff(begin))
                 signatures = dart_signatures(elements, weights, begin, bands * rows)[full]
-                columns = [_lists(band_hashes(signatures, bands, rows)), _lists(_sketch(signatures))]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), *columns], ["d", "buckets", "s"])
+                buckets = _lists(band_hashes(signatures, bands, rows))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), buckets], ["d", "buckets"])
 
-    return texts.mapInArrow(run, "d binary, buckets array<long>, s array<long>")
+    return texts.mapInArrow(run, "d binary, buckets array<long>")
 
 
 def _sets(texts: DataFrame, shingle: int, weighted: bool) -> DataFrame:
@@ -199,36 +201,49 @@ def _apart(x: str, y: str, numbers: int) -> Column:
 
 
 def _most_apart(k: int, least: float) -> int:
-    """Differing coordinates that similar sets have at most, but for one pair in about 30,000 (four standard deviations)."""
+    """Differing coordinates that similar sets have at most, but for one pair in about three million (five standard deviations)."""
     p = (1 - least) * 15 / 16
-    return math.ceil(k * p + 4 * math.sqrt(k * p * (1 - p)))
+    return math.ceil(k * p + 5 * math.sqrt(k * p * (1 - p)))
 
 
 def _mixed(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """``bucket, d, s, c`` of the buckets whose members belong to several groups."""
+    """``bucket, d, c`` of the buckets whose members belong to several groups."""
     known = members.join(groups, F.col("d") == F.col("node"), "left").withColumn("c", F.coalesce("component", "d"))
-    known = written(known.select("bucket", "d", "s", "c"), "known")
+    known = written(known.select("bucket", "d", "c"), "known")
     mixed = known.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("bucket")
     return known.join(written(mixed, "mixed"), "bucket")
 
 
-def _shareable(loose: DataFrame, sets: DataFrame) -> DataFrame:
-    """``d, n, m``: size of each set in question, and how many of its shingles stand in another one too.
-    More than that a set cannot share with any other."""
+def _details(loose: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
+    """``d, n, m, z``: size of each set in question, how much of it stands in another one too (more it
+    cannot share with any), and a longer signature in four bits a coordinate."""
     own = written(sets.join(loose.select("d").distinct(), "d", "left_semi"), "own")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+        pairs = [np.split(x, 2) if weighted else (x, np.ones(len(x), np.int64)) for x in found]
+        begin = np.concatenate(([0], np.cumsum([len(x) for x, _ in pairs])))
+        return np.concatenate([x for x, _ in pairs]), np.concatenate([w for _, w in pairs]), begin
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 1):
-                found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(pa.array(owner))], ["h", "d"])
+                x, w, begin = unpacked(part)
+                lists = _lists(_sketch(dart_signatures(x.view(U64), w.astype(np.float64), begin, SKETCH)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(w, begin[:-1])), lists], ["d", "n", "z"])
 
-    single = own.mapInArrow(run, "h long, d binary").groupBy("h").agg(F.count("*").alias("k"), F.min("d").alias("one")).filter("k = 1")
-    single = single.groupBy("one").agg(F.count("*").alias("single"))
-    size = F.octet_length("s").cast("long") / 8
-    return own.join(single, F.col("d") == F.col("one"), "left").select(
-        "d", size.alias("n"), (size - F.coalesce("single", F.lit(0))).alias("m"))
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, 1):
+                x, w, begin = unpacked(part)
+                owner = pa.array(np.repeat(np.arange(len(begin) - 1), np.diff(begin)))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(w), part.column(0).take(owner)], ["h", "w", "d"])
+
+    single = own.mapInArrow(elements, "h long, w long, d binary").groupBy("h").agg(
+        F.count("*").alias("k"), F.max("w").alias("w"), F.min("d").alias("one")).filter("k = 1")
+    single = single.groupBy("one").agg(F.sum("w").alias("single"))
+    found = own.mapInArrow(sketch, "d binary, n long, z array<long>")
+    return found.join(single, F.col("d") == F.col("one"), "left").select("d", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("m"), "z")
 
 
 def links(
@@ -236,7 +251,7 @@ def links(
 ) -> DataFrame:
     """``node, component`` of the near-duplicate graph of ``texts (d, k, t)``: digest, id, text."""
     found = written(_band_rows(texts.select("d", "t"), bands, rows, shingle, weighted), "signatures")
-    found = found.select(F.explode("buckets").alias("bucket"), "d", "s")
+    found = found.select(F.explode("buckets").alias("bucket"), "d")
     shared = found.groupBy("bucket").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).filter("lo <> hi")
     members = written(found.join(written(shared, "buckets"), "bucket").distinct(), "members")
     tried = members.select("d", F.explode(F.array("lo", "hi")).alias("l")).filter("d <> l").select(*_pair("d", "l")).distinct()
@@ -249,15 +264,15 @@ def links(
 
     close = written(_verified(tried, sets, least, weighted), "close")
     # what is still in different groups is compared pair by pair, unless the two cannot be similar
-    loose = written(_mixed(members.select("bucket", "d", "s"), components(close)), "loose")
-    if not weighted:
-        loose = loose.join(written(_shareable(loose, sets), "shareable"), "d").filter(F.col("m") >= least * F.col("n"))
-        loose = written(loose, "loose2")
+    loose = written(_mixed(members.select("bucket", "d"), components(close)), "loose")
+    own = loose.groupBy("d").agg(F.collect_set("bucket").alias("all"))  # one bucket a band at most
+    details = _details(loose, sets, weighted).filter(F.col("m") >= least * F.col("n")).join(own, "d")
+    loose = loose.join(written(details, "details"), "d")
+    loose = written(loose, "loose2")
     other = loose.select(*(F.col(c).alias(f"{c}2") for c in loose.columns))
-    near = _apart("s", "s2", -(-bands * rows // 16)) <= _most_apart(bands * rows, least)
-    if not weighted:
-        shared = F.least("m", "m2")
-        near = near & (shared >= least * (F.col("n") + F.col("n2") - shared))
+    shared = F.least("m", "m2")
+    near = (shared >= least * (F.col("n") + F.col("n2") - shared)) & (_apart("z", "z2", SKETCH // 16) <= _most_apart(SKETCH, least))
+    near = near & (F.array_min(F.array_intersect("all", "all2")) == F.col("bucket"))  # a pair once, not in each bucket
     rest = loose.join(other, (F.col("bucket") == F.col("bucket2")) & (F.col("c") < F.col("c2")) & near)
     rest = written(rest.select(*_pair("d", "d2")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     return components(close.union(_verified(rest, sets, least, weighted)))
