@@ -121,9 +121,9 @@ def walk_budget(spark, sf_dir):
     return G.sentence_budget(part_nodes(spark, sf_dir), 60)
 
 
-_SLOTS = """slots AS (SELECT a.node, row_number() OVER (PARTITION BY a.node ORDER BY a.nbr) - 1 AS slot, a.nbr, d.degree, n.degree AS nbr_degree
-  FROM adj a JOIN deg d ON a.node = d.node JOIN deg n ON a.nbr = n.node)"""
 _HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+_SLOTS = f"""slots AS (SELECT a.node, row_number() OVER (PARTITION BY a.node ORDER BY {_HASH.format('a.nbr')}, a.nbr) - 1 AS slot, a.nbr, d.degree, n.degree AS nbr_degree
+  FROM adj a JOIN deg d ON a.node = d.node JOIN deg n ON a.nbr = n.node)"""
 
 
 @query("uniform_slots", f"WITH {PART_GRAPH}, {_SLOTS} SELECT node, slot, nbr, degree, nbr_degree FROM slots")
@@ -133,17 +133,15 @@ def uniform_slots(spark, sf_dir):
 
 @query(
     "split_hub_slots",
-    f"""WITH {PART_GRAPH}, sized AS (SELECT a.node, a.nbr, degree, CASE WHEN degree <= 100 THEN 0
-  ELSE ({_HASH.format('a.nbr')} * ((degree + 99) // 100)) >> 32 END AS bucket FROM adj a JOIN deg d ON a.node = d.node)
-SELECT node, row_number() OVER (PARTITION BY node ORDER BY bucket, nbr) - 1 AS slot, nbr, degree FROM sized""",
+    f"WITH {PART_GRAPH}, {_SLOTS} SELECT node, slot, nbr, degree FROM slots",  # the same at every size
 )
 def split_hub_slots(spark, sf_dir):
     return G.uniform_slots(part_adjacency(spark, sf_dir), chunk=100).select("node", "slot", "nbr", "degree")
 
 
-_WEIGHTED = """exact AS (SELECT node, nbr, CAST(weight AS DECIMAL(20, 12)) AS w FROM adj),
+_WEIGHTED = f"""exact AS (SELECT node, nbr, CAST(weight AS DECIMAL(20, 12)) AS w FROM adj),
 cumulated AS (SELECT node, nbr, w, count(*) OVER (PARTITION BY node) AS degree, CAST(sum(w) OVER (PARTITION BY node) AS DOUBLE) AS total,
-  sum(w) OVER (PARTITION BY node ORDER BY nbr ROWS UNBOUNDED PRECEDING) AS upto FROM exact),
+  sum(w) OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr ROWS UNBOUNDED PRECEDING) AS upto FROM exact),
 ranged AS (SELECT node, nbr, degree, CAST(ceil(CAST(upto - w AS DOUBLE) / total * 4294967296.0) AS BIGINT) AS lo,
   CAST(ceil(CAST(upto AS DOUBLE) / total * 4294967296.0) AS BIGINT) AS hi FROM cumulated)"""
 
@@ -221,7 +219,7 @@ def walks_sql(graph: str, walks: str, length: int, weighted: bool = False, redra
     slot_table = "ranged" if weighted else "slots"
     slot_cte = _WEIGHTED if weighted else _SLOTS
     return f"""WITH RECURSIVE {graph}, {slot_cte},
-bag AS (SELECT node, nbr AS first, n_edges, sum(n_edges) OVER (PARTITION BY node ORDER BY nbr) AS upto, sum(n_edges) OVER (PARTITION BY node) AS total
+bag AS (SELECT node, nbr AS first, n_edges, sum(n_edges) OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr) AS upto, sum(n_edges) OVER (PARTITION BY node) AS total
   FROM adj WHERE split_part(nbr, '__', 1) = 'idx'),
 bounds AS (SELECT node, first, CAST(ceil(CAST(upto - n_edges AS DOUBLE) / CAST(total AS DOUBLE) * 4294967296.0) AS BIGINT) AS lo,
   CAST(ceil(CAST(upto AS DOUBLE) / CAST(total AS DOUBLE) * 4294967296.0) AS BIGINT) AS hi FROM bag),
@@ -388,7 +386,7 @@ def tripartite_graph(spark, sf_dir):
 
 @query(
     "left_right_step",
-    f"""WITH {_TRI}, slots AS (SELECT node, nbr, row_number() OVER (PARTITION BY node ORDER BY nbr) - 1 AS slot, count(*) OVER (PARTITION BY node) AS degree
+    f"""WITH {_TRI}, slots AS (SELECT node, nbr, row_number() OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr) - 1 AS slot, count(*) OVER (PARTITION BY node) AS degree
   FROM tri WHERE (node_kind = 'cell' AND nbr_kind = 'row') OR (node_kind = 'column' AND nbr_kind = 'cell'))
 SELECT s.node AS walk_id, s.node, s.nbr FROM slots s WHERE slot = ({_hash("'42'", 's.node', "'left'", "'0'")} * degree) >> 32""",
 )

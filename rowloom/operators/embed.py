@@ -136,23 +136,30 @@ def _epoch(sharded: DataFrame, local: DataFrame, model: DataFrame, opts: TrainOp
     updates = (
         sharded.groupBy("shard")
         .cogroup(loaded.groupBy("part"))
-        .applyInPandas(update, "kind string, key string, vector array<float>, context array<float>, uses double")
+        .applyInPandas(update, "kind string, key string, vector array<float>, context array<float>")
     )
-    mean = lambda c: vector_to_array(Summarizer.mean(array_to_vector(F.col(c)), F.col("uses")), "float32")
-    tokens = updates.filter("kind = 'token'").groupBy("kind", "key").agg(mean("vector").alias("v"), mean("context").alias("c"))
-    merged = tokens
+    total = lambda c: vector_to_array(Summarizer.sum(array_to_vector(F.col(c))), "float32")
+    merged = updates.filter("kind = 'token'").groupBy("kind", "key").agg(total("vector").alias("v"), total("context").alias("c"))
     if opts.algorithm == "fasttext":
         grams = updates.filter("kind = 'gram'").groupBy("kind", "key").agg(
-            mean("vector").alias("v"), F.lit(None).cast("array<float>").alias("c"))
-        merged = tokens.unionByName(grams)
+            total("vector").alias("v"), F.lit(None).cast("array<float>").alias("c"))
+        merged = merged.unionByName(grams)
     return model.join(merged, ["kind", "key"], "left").select(
-        "kind", "key", F.coalesce("v", "vector").alias("vector"), F.coalesce("c", "context").alias("context"), "occurrences"
+        "kind", "key", _moved("vector", "v", opts.max_step).alias("vector"), _moved("context", "c", opts.max_step).alias("context"), "occurrences"
     )
 
 
+def _moved(vector: str, step: str, longest: float) -> Column:
+    """A vector after the sum of the shards' steps, which is cut to the length ``longest``."""
+    length = F.sqrt(F.aggregate(step, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    scale = F.least(F.lit(1.0), F.lit(longest) / F.greatest(length, F.lit(1e-30)))
+    moved = F.zip_with(vector, step, lambda x, y: (x + y * scale).cast("float"))
+    return F.when(F.col(step).isNull(), F.col(vector)).otherwise(moved)
+
+
 def _train_shard(walks: pd.DataFrame, words: pd.DataFrame, opts: TrainOptions, rate: float, seed: int) -> pd.DataFrame:
-    """Gradient updates on the walks of one shard, with the words of that shard only."""
-    columns = ["kind", "key", "vector", "context", "uses"]
+    """The sum of the gradient steps on the walks of one shard, with the words of that shard only."""
+    columns = ["kind", "key", "vector", "context"]
     tokens = words[words["kind"] == "token"].sort_values("key").reset_index(drop=True)
     if walks.empty or tokens.empty:
         return pd.DataFrame({c: [] for c in columns})
@@ -167,17 +174,15 @@ def _train_shard(walks: pd.DataFrame, words: pd.DataFrame, opts: TrainOptions, r
     noise = np.cumsum(counts**0.75) / (counts**0.75).sum()
     keep = tokens["keep"].to_numpy()
 
-    uses = np.zeros(len(w_in))
+    old_in, old_out = w_in.copy(), w_out.copy()
     for inputs, target in _examples(walks.sort_values("walk_id")["walk"], word_no, keep, opts, rng):
-        _update(w_in, w_out, features, uses, inputs, target, noise, opts.negative, rate, rng)
-    uses = np.maximum(uses, 1e-3)
+        _update(w_in, w_out, features, inputs, target, noise, opts.negative, rate, opts.max_step, rng)
     return pd.DataFrame(
         {
             "kind": ["token"] * n + ["gram"] * len(grams),
             "key": list(tokens["key"]) + list(grams["key"]),
-            "vector": list(w_in),
-            "context": list(w_out) + [None] * len(grams),
-            "uses": uses,
+            "vector": list(w_in - old_in),
+            "context": list(w_out - old_out) + [None] * len(grams),
         }
     )
 
@@ -230,7 +235,7 @@ def _shuffled(inputs, targets, width, rng):
         yield inputs[part].reshape(len(part), width), targets[part]
 
 
-def _update(w_in, w_out, features, uses, inputs, target, noise, negative, rate, rng) -> None:
+def _update(w_in, w_out, features, inputs, target, noise, negative, rate, longest, rng) -> None:
     """One step of logistic updates: the target against words drawn from the noise distribution."""
     rows = np.where(inputs[:, :, None] >= 0, features[inputs], -1).reshape(len(inputs), -1)
     mask = rows >= 0
@@ -245,22 +250,21 @@ def _update(w_in, w_out, features, uses, inputs, target, noise, negative, rate,
     score = np.clip(np.einsum("bd,bkd->bk", hidden, w_out[outs]), -8, 8)
     error = (label - 1 / (1 + np.exp(-score))) * usable * np.float32(rate)
     back = np.einsum("bk,bkd->bd", error, w_out[outs])
-    # many rows of a batch may hit one word: the sum is limited by the number of hits to stay stable
-    _scatter(w_out, outs.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]))
+    # many rows of a batch may hit one word: the length of their sum is limited to stay stable
+    _scatter(w_out, outs.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]), longest)
     owner, _ = np.nonzero(mask)
     touched = rows[mask]
-    _scatter(w_in, touched, back[owner] / size[owner][:, None] if mask.shape[1] > 1 else back[owner])
-    np.add.at(uses, touched, 1.0)
+    _scatter(w_in, touched, back[owner] / size[owner][:, None] if mask.shape[1] > 1 else back[owner], longest)
 
 
-def _scatter(matrix: np.ndarray, rows: np.ndarray, steps: np.ndarray) -> None:
-    """Add the steps to their rows; a row hit more than 32 times in a batch gets their mean times 32."""
+def _scatter(matrix: np.ndarray, rows: np.ndarray, steps: np.ndarray, longest: float) -> None:
+    """Add the steps to their rows; the sum of a row's steps is cut to the length ``longest``."""
     order = np.argsort(rows, kind="stable")
     rows, steps = rows[order], steps[order]
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
     sums = np.add.reduceat(steps, starts, axis=0)
-    hits = np.diff(np.concatenate([starts, [len(rows)]]))
-    matrix[rows[starts]] += sums * np.minimum(1.0, 32.0 / hits)[:, None].astype(np.float32)
+    length = np.sqrt((sums.astype(np.float64) ** 2).sum(1))
+    matrix[rows[starts]] += sums * np.minimum(1.0, longest / np.maximum(length, 1e-30))[:, None].astype(np.float32)
 
 
 def vectors(model: DataFrame, opts: TrainOptions) -> DataFrame:

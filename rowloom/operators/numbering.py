@@ -56,18 +56,13 @@ def number_in_groups(
 ) -> DataFrame:
     """Add ``position`` (0-based, within ``group``) and, for a weight, ``weight_before``.
 
-    ``size`` names a column with the group size. Groups of at most ``chunk`` rows are ordered by
-    ``order``. Larger ones are first cut into hash buckets of about ``chunk`` rows, and ordered by
-    (bucket, ``order``), so that one hot group is numbered by many tasks.
+    ``size`` names a column with the group size. Rows are ordered by (hash of ``order``, ``order``), and
+    groups of more than ``chunk`` rows are cut into ranges of that hash, so that one hot group is
+    numbered by many tasks. As the ranges follow the order, ``chunk`` does not change any number.
     """
     buckets = F.ceil(F.col(size) / F.lit(chunk)).cast("bigint")
-    bucketed = df.withColumn(
-        "_bucket",
-        F.when(F.col(size) <= chunk, F.lit(0).cast("bigint")).otherwise(
-            F.shiftright(hash32(F.col(order)) * buckets, 32)
-        ),
-    )
-    window = Window.partitionBy(group, "_bucket").orderBy(order)
+    bucketed = df.withColumn("_hash", hash32(F.col(order))).withColumn("_bucket", F.shiftright(F.col("_hash") * buckets, 32))
+    window = Window.partitionBy(group, "_bucket").orderBy("_hash", order)
     numbered = bucketed.withColumn("_pos", (F.row_number().over(window) - 1).cast("bigint"))
     if weight is not None:
         before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -95,4 +90,4 @@ def number_in_groups(
         # both parts in one type, so that their sum keeps all digits
         exact = lambda c: F.coalesce(F.col(c).cast("decimal(30,12)"), F.lit(0).cast("decimal(30,12)"))
         joined = joined.withColumn("weight_before", exact("_wpos") + exact("_w_before")).drop("_wpos", "_w_before")
-    return joined.drop("_bucket", "_pos", "_n_before")
+    return joined.drop("_hash", "_bucket", "_pos", "_n_before")

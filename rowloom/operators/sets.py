@@ -42,7 +42,8 @@ def _words(name: Column) -> Column:
 def key_dictionary(edges: DataFrame) -> DataFrame:
     """``token, code``: words of node names in sorted order, coded ``@`` + base 36."""
     names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    words = names.select(F.explode(F.slice(_words(F.col("node")), 2, 1_000_000)).alias("token"))
+    words = _words(F.col("node"))
+    words = names.select(F.explode(F.slice(words, F.lit(2), F.size(words))).alias("token"))
     distinct = words.filter("token <> ''").distinct()
     coded = dense_index(distinct, ["token"], "number")
     return coded.select("token", F.concat(F.lit("@"), base36(F.col("number"))).alias("code"))

@@ -99,7 +99,7 @@ class WalkOptions:
     representation_factor: int = 1000
     walks_per_node: int | None = None
     backtrack: bool | str = True
-    sampler: str = "uniform"
+    sampler: str = "auto"
     seed: int = 42
     max_draws_per_token: int = 20
     steps_per_checkpoint: int = 8
@@ -126,6 +126,9 @@ class WalkOptions:
 
 @dataclass(frozen=True)
 class TrainOptions:
+    """``max_step``: greatest length of the sum of one word's steps, in a batch of a shard and over all
+    shards of an epoch. It keeps words of very many occurrences stable."""
+
     dimensions: int = 300
     window: int = 5
     algorithm: str = "word2vec"
@@ -136,6 +139,7 @@ class TrainOptions:
     negative: int = 5
     learning_rate: float = 0.025
     walks_per_shard: int = 1000
+    max_step: float = 1.0
     subword_min: int = 3
     subword_max: int = 6
     subword_buckets: int = 2_000_000

@@ -13,15 +13,19 @@ from rowloom.options import NodeTypes
 _NO_SEPARATOR = "\u0001"
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
     """CSV with a header; lines that do not fit the schema are skipped.
 
     Without a schema all columns are text, named by the header, which needs no pass over the data.
+    ``multi_line`` reads quoted cells with line breaks whole; Spark then reads a file in one task, so
+    such data should come in many files.
     """
     reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.option("mode", "DROPMALFORMED").csv(path)
+    return reader.option("multiLine", multi_line).option("mode", "DROPMALFORMED").csv(path)
 
 
 def _lines_after_header(spark: SparkSession, path: str) -> DataFrame:

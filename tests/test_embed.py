@@ -47,3 +47,21 @@ def test_pca_keeps_the_variance(spark):
     df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(m)], "key string, vector array<double>")
     reduced = np.array([r.vector for r in embed.reduce_dimensions(df, 2).collect()])
     assert abs(reduced.var(0).sum() / m.var(0).sum() - 1) < 1e-3
+
+
+@pytest.mark.parametrize("rate", [0.025, 0.1])
+def test_learns_alike_with_any_number_of_shards(spark, rate):
+    word = lambda g: F.concat(F.lit(g), (F.pmod(F.xxhash64("id", "i"), F.lit(60))).cast("string"))
+    rows = spark.range(1500).select("id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"))
+    group = F.when(F.col("id") % 2 == 0, word("left")).otherwise(word("right"))
+    walks = rows.groupBy(F.col("id").cast("string").alias("walk_id")).agg(F.collect_list(group).alias("walk")).cache()
+    for walks_per_shard in (1500, 150, 15):
+        options = TrainOptions(dimensions=32, epochs=3, learning_rate=rate, sampling_factor=0.0, walks_per_shard=walks_per_shard)
+        found = embed.vectors(embed.train(walks, options), options).toPandas()
+        m = np.array(found["vector"].tolist())
+        assert np.isfinite(m).all()
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        near = m @ m.T
+        np.fill_diagonal(near, -9)
+        side = found["key"].str[0].to_numpy()
+        assert (side == side[near.argmax(1)]).mean() > 0.95
