@@ -62,7 +62,7 @@ def pack(minima: np.ndarray, bits: int) -> np.ndarray:
     """Low bits of scrambled minima, packed to bytes."""
     low = (mix(minima) & U64((1 << bits) - 1)).astype(np.uint8)
     planes = (low[:, :, None] >> np.arange(bits, dtype=np.uint8)) & 1
-    return np.packbits(planes.reshape(len(low), -1), axis=1)
+    return np.packbits(planes.reshape(len(low), low.shape[1] * bits), axis=1)
 
 
 def fingerprints(texts: list[str | None], *, bins: int = BINS, bits: int = BITS, shingle: int = SHINGLE) -> list[bytes]:

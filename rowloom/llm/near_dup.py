@@ -185,7 +185,7 @@ def _pair(x: str, y: str):
 def _sketch(signatures: np.ndarray) -> np.ndarray:
     """Four bits of each coordinate, 16 to a number; the last number is filled up with zeros."""
     bits = (signatures & U64(15)).astype(U64)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 16))).reshape(len(bits), -1, 16)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 16))).reshape(len(bits), -(-signatures.shape[1] // 16), 16)
     return np.bitwise_or.reduce(bits << (np.arange(16, dtype=U64) * U64(4)), axis=2)
 
 
