@@ -73,8 +73,11 @@ def write_archive(pages: DataFrame, path: str, *, id: str = "page_id", url: str
     revisit = (F.col("size") >= least) & ~F.col("k").eqNullSafe(F.col("owner"))
     headers = narrow.join(owners, F.col("digest") == F.col("d"))
     headers.select("digest", F.encode(_header(revisit), "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    once = base.join(owners, (F.col("digest") == F.col("d")) & F.col("k").eqNullSafe(F.col("owner")), "left_semi")
-    once.select("digest", "k", "b").dropDuplicates(["digest", "k"]).select("digest", F.col("b").alias("payload")).write.option(
+    # joined by a name that is never null, so that the distinct rows need no second shuffle
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    wanted = owners.select("d", name("owner").alias("o"))
+    once = base.withColumn("name", name("k")).join(wanted, (F.col("digest") == F.col("d")) & (F.col("name") == F.col("o")), "left_semi")
+    once.select("digest", "name", "b").dropDuplicates(["digest", "name"]).select("digest", F.col("b").alias("payload")).write.option(
         "compression", "zstd").parquet(f"{path}/payloads")
 
 
