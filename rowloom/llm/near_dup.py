@@ -111,6 +111,11 @@ def _digest(text: str):
     return F.substring(F.unhex(F.sha2(col(text), 256)), 1, 16)
 
 
+def _name(id: str) -> Column:
+    """An id as text that is never null, so that a join and the distinct rows after it share one shuffle."""
+    return F.coalesce(col(id).cast("string"), F.lit(""))
+
+
 def _lists(table: np.ndarray) -> pa.ListArray:
     ends = np.arange(0, table.size + 1, table.shape[1], dtype=np.int32)
     return pa.ListArray.from_arrays(ends, pa.array(table.reshape(-1).view(np.int64)))
@@ -258,8 +263,9 @@ def links(
     tried = written(tried, "star")
 
     one = members.select("d").distinct().join(texts.groupBy("d").agg(F.min("k").alias("k")), "d")
-    one = written(one, "nodes").select(F.col("d").alias("d2"), F.col("k").alias("k2"))
-    own = texts.join(one, (F.col("d") == F.col("d2")) & F.col("k").eqNullSafe(F.col("k2")), "left_semi").dropDuplicates(["d", "k"])
+    one = written(one, "nodes").select(F.col("d").alias("d2"), _name("k").alias("n2"))
+    own = texts.withColumn("n", _name("k")).join(one, (F.col("d") == F.col("d2")) & (F.col("n") == F.col("n2")), "left_semi")
+    own = own.dropDuplicates(["d", "n"])
     sets = written(_sets(own.select("d", "t"), shingle, weighted), "sets")
 
     close = written(_verified(tried, sets, least, weighted), "close")
@@ -313,11 +319,11 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class: that of the least id. Null texts all stay."""
     _, labels = classes(docs, id=id, text=text, **options)
-    best = labels.filter("d = class_d").select(F.col("d").alias("best_d"), F.col("class_id").alias("best_k"))
-    digest = fresh(docs, "digest")
-    full = docs.filter(col(text).isNotNull()).withColumn(digest, _digest(text))
-    kept = full.join(best, (col(digest) == F.col("best_d")) & col(id).eqNullSafe(F.col("best_k")), "left_semi")
-    kept = kept.dropDuplicates([digest, id]).drop(digest)
+    digest, name = fresh(docs, "digest"), fresh(docs, "name")
+    best = labels.filter("d = class_d").select(F.col("d").alias(f"{digest}_kept"), _name("class_id").alias(f"{name}_kept"))
+    full = docs.filter(col(text).isNotNull()).withColumns({digest: _digest(text), name: _name(id)})
+    kept = full.join(best, (col(digest) == col(f"{digest}_kept")) & (col(name) == col(f"{name}_kept")), "left_semi")
+    kept = kept.dropDuplicates([digest, name]).drop(digest, name)
     return kept.union(docs.filter(col(text).isNull()))
 
 
