@@ -308,7 +308,7 @@ def walk_lines(spark, sf_dir):
 
 @query("walks_by_strategy", f"WITH {PART_GRAPH} SELECT 'basic' AS strategy, count(*) * 3 AS n_walks FROM nodes WHERE split_part(node, '__', 1) IN ('tn', 'tt')")
 def walks_by_strategy(spark, sf_dir):
-    return W.walks_by_strategy(W.spread_walks(G.roots(part_nodes(spark, sf_dir)), 3))
+    return W.walks_by_strategy(_walks(spark, sf_dir, WalkOptions(sentence_length=3, seed=SEED)))
 
 
 @query(

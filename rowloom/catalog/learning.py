@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowloom.catalog.base import GRAPH_COLS, PART_COLS, query, rounded, table
+from rowloom.catalog.base import GRAPH_COLS, ORACLES, PART_COLS, query, rounded, table
 from rowloom.catalog.graphs import part_adjacency, part_nodes
 from rowloom.catalog.matching import label_truth, record_table
 from rowloom.catalog.tables import LOG, TYPES
@@ -107,7 +107,7 @@ def train_compressed(spark, sf_dir):
     return B.train_edges(edges, graph, walk, TrainOptions(**SMALL), compression=True)
 
 
-@query("list_experiment")
+@query("list_experiment", ORACLES["prf"])
 def list_experiment(spark, sf_dir):
     """A stored list of the nearest rows, scored against truth."""
     from rowloom.catalog.matching import near_entries

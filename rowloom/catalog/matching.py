@@ -28,6 +28,13 @@ def half_of(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").count() // 2
 
 
+def _total(sql: bool = False):
+    """Sum of a vector's numbers."""
+    if sql:
+        return "round(CAST(list_sum(x) AS DOUBLE), 4) + 0.0 AS total"
+    return (F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")), 4) + 0.0).alias("total")
+
+
 _V = "v AS (SELECT 'idx__' || vec_id AS key, vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), half AS (SELECT count(*) // 2 AS n_items FROM embeddings)"
 _COS = f"""{_V}, cosines AS (SELECT a.key, b.key AS nbr, a.vec_id AS key_no, b.vec_id AS nbr_no, round(list_cosine_similarity(a.x, b.x), 9) AS score FROM v a JOIN v b ON a.key <> b.key),
 near AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, nbr) AS rank FROM cosines QUALIFY rank <= {K_NEAR})"""
@@ -77,9 +84,9 @@ def knn_mixed(spark, sf_dir):
     return K.mixed_neighbours(mixed, K.record_vectors(mixed), 5, floor=0.2)
 
 
-@query("record_vectors", f"WITH {_V} SELECT key FROM v WHERE label < 5")
+@query("record_vectors", f"WITH {_V} SELECT key, {_total(sql=True)} FROM v WHERE label < 5")
 def record_vectors(spark, sf_dir):
-    return K.record_vectors(_mixed_vectors(spark, sf_dir)).select("key")
+    return K.record_vectors(_mixed_vectors(spark, sf_dir)).select("key", _total())
 
 
 @query("knn_approximate")
@@ -87,10 +94,10 @@ def knn_approximate(spark, sf_dir):
     return K.knn(record_table(spark, sf_dir), k=K_NEAR, block_rows=64, probes=4)
 
 
-@query("index_extension", f"WITH {_V} SELECT key FROM v")
+@query("index_extension", f"WITH {_V} SELECT key, {_total(sql=True)} FROM v")
 def index_extension(spark, sf_dir):
     records = record_table(spark, sf_dir).select("key", "vector", "label")
-    return K.extend_index(records.filter("label < 5").drop("label"), records.drop("label")).select("key")
+    return K.extend_index(records.filter("label < 5").drop("label"), records.drop("label")).select("key", _total())
 
 
 _CAND = f"""{_COS},
@@ -355,18 +362,19 @@ def _column_candidates(spark, sf_dir, truth=None):
     return M.column_candidates(vectors, _COLUMNS)
 
 
-@query("column_vectors", f"WITH {_PROFILE} SELECT key FROM prof WHERE key NOT LIKE '%custkey' AND key NOT LIKE '%suppkey'")
+@query("column_vectors", f"WITH {_PROFILE} SELECT key, {_total(sql=True)} FROM prof WHERE key NOT LIKE '%custkey' AND key NOT LIKE '%suppkey'")
 def column_vectors(spark, sf_dir):
-    return M.column_vectors(column_profiles(spark, sf_dir), column_truth(spark, sf_dir)).select("key")
+    return M.column_vectors(column_profiles(spark, sf_dir), column_truth(spark, sf_dir)).select("key", _total())
 
 
 @query(
     "schema_candidates",
-    f"""WITH {_PROFILE} SELECT a.key AS left_col, b.key AS right_col, {rounded('1 - list_cosine_similarity(a.x, b.x)')} AS distance
+    f"""WITH {_PROFILE} SELECT a.key AS left_col, b.key AS right_col, {rounded('1 - list_cosine_similarity(a.x, b.x)')} AS distance,
+  row_number() OVER (PARTITION BY a.key ORDER BY 1 - list_cosine_similarity(a.x, b.x), b.key) AS rank
 FROM prof a JOIN prof b ON left(a.key, 1) <> left(b.key, 1)""",
 )
 def schema_candidates(spark, sf_dir):
-    return _column_candidates(spark, sf_dir).select("left_col", "right_col", "distance")
+    return _column_candidates(spark, sf_dir).select("left_col", "right_col", "distance", "rank")
 
 
 @query("schema_match")

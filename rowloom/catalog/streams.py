@@ -155,9 +155,9 @@ def _in_files(df, path, n, key):
         piece.coalesce(1).write.mode("append").parquet(path)
 
 
-@query("stream_windows", _window_sql(200, 60))
+@query("stream_windows", _window_sql(200, 60, rest=True))
 def stream_windows(spark, sf_dir):
-    """The sliding count windows of a running stream of three files."""
+    """The sliding count windows of a running stream of three files, the unfinished last one included."""
     path = scratch(spark)
     events = table(spark, sf_dir, "events").select("ts", "event_id", "value")
     _in_files(events, f"{path}/in", 3, "event_id")
@@ -168,9 +168,29 @@ def stream_windows(spark, sf_dir):
     options = StreamOptions(window_count=200, update_frequency=60)
     buffer = WindowBuffer(spark, f"{path}/state", options, ["ts", "event_id"], keep)
     _run(f"{path}/in", events.schema, path, buffer, spark)
+    buffer.flush()
     return spark.read.parquet(f"{path}/out").select("window", "n_rows", "first_seq", "last_seq", "total")
 
 
+@query("stream_time_windows", f"WITH {_TIME.format(size=3600, slide=900)} SELECT k * 900 AS start_second, count(*) AS n_rows, {rounded('sum(value)')} AS total FROM w GROUP BY k")
+def stream_time_windows(spark, sf_dir):
+    """The sliding time windows of a running stream; late records fire their windows again."""
+    path = scratch(spark)
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "value")
+    _in_files(events, f"{path}/in", 3, "event_id")
+
+    def keep(windows, version):
+        counted = windows.groupBy("window").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("total"))
+        counted.write.mode("overwrite").parquet(f"{path}/out/version={version}")
+
+    options = StreamOptions(window_strategy="time", window_time=3600, update_frequency=900)
+    buffer = WindowBuffer(spark, f"{path}/state", options, ["ts", "event_id"], keep, ts="ts")
+    _run(f"{path}/in", events.schema, path, buffer, spark)
+    buffer.flush()
+    newest = spark.read.parquet(f"{path}/out").groupBy("window").agg(F.max_by(F.struct("n_rows", "total"), "version").alias("w"))
+    return newest.select((F.col("window") * 900).alias("start_second"), "w.n_rows", "w.total")
+
+
 @query("stream_er")
 def stream_er(spark, sf_dir):
     """Parts arrive in three files; every window trains on and renews the similarity lists."""
@@ -182,7 +202,9 @@ def stream_er(spark, sf_dir):
         spark, f"{path}/state", options, walk=WalkOptions(sentence_length=8, backtrack=False),
         training=TrainOptions(dimensions=16, window=3), cols=["p_name", "p_brand", "p_type"], first_epochs=2, later_epochs=1,
     )
-    _run(f"{path}/in", part.schema, path, WindowBuffer(spark, f"{path}/state", options, ["p_partkey"], matcher), spark)
+    buffer = WindowBuffer(spark, f"{path}/state", options, ["p_partkey"], matcher)
+    _run(f"{path}/in", part.schema, path, buffer, spark)
+    buffer.flush()
     return matcher.similarity()
 
 
@@ -191,8 +213,12 @@ def stream_metrics(spark, sf_dir):
     path = scratch(spark)
     events = table(spark, sf_dir, "events").select("ts", "event_id", "value")
     _in_files(events, f"{path}/in", 3, "event_id")
-    listener = StreamMetrics()
-    buffer = WindowBuffer(spark, f"{path}/state", StreamOptions(window_count=500), ["ts", "event_id"], lambda windows, version: None)
+    listener = StreamMetrics(keep=2, spark=spark, path=f"{path}/log")
+
+    def keep(windows, version):
+        _per_window(windows).write.mode("overwrite").parquet(f"{path}/out/version={version}")
+
+    buffer = WindowBuffer(spark, f"{path}/state", StreamOptions(window_count=500), ["ts", "event_id"], keep)
     _run(f"{path}/in", events.schema, path, buffer, spark, listener)
     return listener.table(spark).select("batch", "n_rows")
 

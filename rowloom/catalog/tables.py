@@ -312,15 +312,14 @@ def strip_prefixes(spark, sf_dir):
 
 @query(
     "row_vectors",
-    """WITH t AS (SELECT vec_id, label, list_transform(list_slice(embedding, 1, 4), lambda x: round(CAST(x AS DOUBLE), 4)) AS v FROM embeddings),
-looked AS (SELECT n.n_nationkey, coalesce(a.v, [0, 0, 0, 0]) AS va, coalesce(b.v, [0, 0, 0, 0]) AS vb FROM nation n
-  LEFT JOIN t a ON a.vec_id = n.n_nationkey LEFT JOIN t b ON b.vec_id = n.n_regionkey * 1000)
-SELECT 'row_' || n_nationkey AS key, i - 1 AS at, round(list_concat(va, vb)[i] + 0.0, 4) AS x FROM looked, LATERAL (SELECT unnest(range(1, 9)) AS i)""",
+    """WITH t AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), zero AS (SELECT list_transform(range(64), lambda x: 0.0) AS z),
+looked AS (SELECT n.c_custkey, list_concat(coalesce(a.v, z), coalesce(b.v, z)) AS v FROM customer n CROSS JOIN zero LEFT JOIN t a ON a.vec_id = n.c_custkey LEFT JOIN t b ON b.vec_id = n.c_nationkey * 7)
+SELECT 'row_' || c_custkey AS key, len(v) AS n, round(CAST(list_sum(list_transform(v, lambda x, i: x * i)) AS DOUBLE), 3) + 0.0 AS total FROM looked""",
 )
 def row_vectors(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("key"), F.slice("embedding", 1, 4).alias("vector")
-    )
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") * 1000).alias("far"), F.col("n_nationkey").alias("near"))
-    rows = S.row_vectors(nation, "n_nationkey", ["near", "far"], vectors, 4, prefix="row_")
-    return rows.select("key", F.posexplode("vector").alias("at", "x")).select("key", "at", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 7).alias("far"), F.col("c_custkey").alias("near"))
+    rows = S.row_vectors(customer, "c_custkey", ["near", "far"], vectors, 64, prefix="row_")
+    weighted = F.transform("vector", lambda x, i: x.cast("double") * (i + 1))
+    total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+    return rows.select("key", F.size("vector").alias("n"), (F.round(total, 3) + 0.0).alias("total"))

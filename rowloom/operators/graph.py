@@ -9,7 +9,9 @@ from rowloom.functions.text import node_name, node_prefix
 from rowloom.options import NodeTypes
 from rowloom.operators.numbering import GROUP_CHUNK, group_totals, number_in_groups
 
-WEIGHT = "decimal(20,12)"
+#: Exact sums of weights: below 10^16 each; a positive weight below 10^-12 counts as 10^-12.
+WEIGHT = "decimal(28,12)"
+_LEAST = "0.000000000001"
 
 
 def _flat_tokens(node, prefixes: list[str]):
@@ -146,7 +148,8 @@ def weighted_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, weight: str = "weig
     ``degree`` equal slots. A neighbour is listed in each slot that its range touches, fewer than
     two rows per neighbour on average, so a draw is an equi-join on (node, slot) and a filter.
     """
-    exact = adj.select("node", "nbr", F.col(weight).cast(WEIGHT).alias("w")).filter("w > 0")
+    w = F.greatest(F.col(weight).cast(WEIGHT), F.lit(_LEAST).cast(WEIGHT))
+    exact = adj.filter(F.col(weight) > 0).select("node", "nbr", w.alias("w"))
     totals = group_totals(exact, "node", F.col("w"))
     sized = exact.join(totals, "node")
     numbered = number_in_groups(sized, "node", "nbr", "group_size", weight="w", chunk=chunk)

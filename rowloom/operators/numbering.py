@@ -88,6 +88,6 @@ def number_in_groups(
     )
     if weight is not None:
         # both parts in one type, so that their sum keeps all digits
-        exact = lambda c: F.coalesce(F.col(c).cast("decimal(30,12)"), F.lit(0).cast("decimal(30,12)"))
+        exact = lambda c: F.coalesce(F.col(c).cast("decimal(36,12)"), F.lit(0).cast("decimal(36,12)"))
         joined = joined.withColumn("weight_before", exact("_wpos") + exact("_w_before")).drop("_wpos", "_w_before")
     return joined.drop("_hash", "_bucket", "_pos", "_n_before")

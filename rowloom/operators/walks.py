@@ -176,7 +176,9 @@ def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOpti
     on = (keyed.cur == slots.node) & (keyed._slot == slots.slot)
     if tables.weighted:
         on = on & (keyed._h >= slots.lo) & (keyed._h < slots.hi)
-    drawn = keyed.join(slots, on)
+    # a walker that finds no neighbour stops the job, so that no walk is lost in silence
+    drawn = keyed.join(slots, on, "left").withColumn(
+        "nbr", F.coalesce("nbr", F.raise_error(F.concat(F.lit("walk at a node without neighbours: "), F.col("cur")))))
     if opts.replace_numbers:
         other, other_degree = _number_replacement(opts.seed)
         drawn = (

@@ -14,11 +14,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.functions.times import epoch_seconds
+from rowloom.functions.times import epoch_micros
 from rowloom.operators.cells import row_ids
 from rowloom.options import StreamOptions
 from rowloom.sources.readers import path_exists
-from rowloom.streaming.windows import count_windows, time_windows
+from rowloom.streaming.windows import count_windows, micros, time_windows
 
 Handler = Callable[[DataFrame, int], None]
 
@@ -122,22 +122,35 @@ class WindowBuffer:
         )
 
     def _due_time(self, done: Progress, version: int, keep_rest: bool):
-        seconds = int(self.options.window_time)
-        slide = self.options.update_frequency or seconds
+        """Windows that closed since the last call, and closed ones that new records fall into.
+
+        Late records thus fire their windows again, with all records; the same holds for windows
+        that a flush handed out unfinished.
+        """
+        size = self.options.window_time
+        slide = self.options.update_frequency or size
         recent = self.records(version)
+        touched = recent.filter(F.col("version") == version)
         if done.fired_until is not None:
-            recent = recent.filter(F.col(self.ts) >= F.lit(done.fired_until) - F.expr(f"interval {seconds} seconds"))
-        assigned = time_windows(recent, self.ts, seconds, slide)
+            first = touched.agg(F.min(self.ts).alias("t")).first().t
+            since = done.fired_until if first is None else min(first, done.fired_until)
+            recent = recent.filter(F.col(self.ts) >= F.lit(since) - F.expr(f"interval {micros(size)} microseconds"))
+        assigned = time_windows(recent, self.ts, size, slide)
         newest = recent.agg(F.max(self.ts).alias("t")).first().t
         if newest is None:
             return None, done
         if done.fired_until is not None:
-            assigned = assigned.filter(F.col("window_end") > F.lit(done.fired_until))
+            touched = time_windows(touched, self.ts, size, slide).select(F.col("window_start").alias("touched")).distinct()
+            assigned = assigned.join(touched, F.col("window_start") == F.col("touched"), "left").filter(
+                (F.col("window_end") > F.lit(done.fired_until)) | F.col("touched").isNotNull()
+            ).drop("touched")
+        closed = F.col("window_end") <= F.lit(newest)
         if not keep_rest:
-            assigned = assigned.filter(F.col("window_end") <= F.lit(newest))
-        last = assigned.agg(F.max("window_end").alias("t")).first().t
-        if last is None:
+            assigned = assigned.filter(closed)
+        ends = assigned.agg(F.max("window_end").alias("any"), F.max(F.when(closed, F.col("window_end"))).alias("closed")).first()
+        if ends.any is None:
             return None, done
-        number = F.floor(epoch_seconds(assigned, "window_start") / F.lit(slide))
+        number = F.floor(epoch_micros(assigned, "window_start") / F.lit(micros(slide)))
         windows = assigned.withColumn("window", number).drop("window_start", "window_end")
-        return windows, Progress(0, done.n_records, done.base, done.n_windows, last)
+        until = max((t for t in (ends.closed, done.fired_until) if t is not None), default=None)
+        return windows, Progress(0, done.n_records, done.base, done.n_windows, until)

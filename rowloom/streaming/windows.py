@@ -34,9 +34,13 @@ def count_windows(
     return numbered.withColumn("window", F.explode(windows)).withColumn("window", F.col("window") + F.lit(first_window))
 
 
-def time_windows(df: DataFrame, ts: str, seconds: int, slide: int = 0) -> DataFrame:
+def micros(seconds: float) -> int:
+    return round(seconds * 1_000_000)
+
+
+def time_windows(df: DataFrame, ts: str, seconds: float, slide: float = 0) -> DataFrame:
     """Add ``window_start`` and ``window_end``; a slide of 0 gives tumbling windows."""
-    window = F.window(ts, f"{seconds} seconds", f"{slide or seconds} seconds")
+    window = F.window(ts, f"{micros(seconds)} microseconds", f"{micros(slide or seconds)} microseconds")
     return df.withColumn("_w", window).select(
         *df.columns, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end")
     )

@@ -129,7 +129,7 @@ def test_hidden_nodes_are_crossed_not_written(table_graph):
     _, nodes, adj = table_graph
     types = NodeTypes.parse(("3#__tn", "2$__tt", "5$__idx", "1$__cid"))
     opts = WalkOptions(sentence_length=8, backtrack=False, steps_per_checkpoint=7)
-    walks = W.random_walks(W.spread_walks(G.roots(nodes), 2), W.walk_tables(adj, types), types, opts)
+    walks = W.random_walks(W.spread_walks(G.roots(nodes), 2), W.walk_tables(adj, TYPES), types, opts)
     for r in walks.collect():
         assert not [w for w in r.walk[2:] if w.startswith("tt__")]
         assert all(a != b for a, b in zip(r.walk[1:], r.walk[2:]))
@@ -139,7 +139,7 @@ def test_endless_walk_ends(spark):
     types = NodeTypes.parse(("2$__tt", "5$__idx"))
     adj = G.adjacency(G.flattened_edges(edges_of(spark, ("tt__a", "idx__0")), types))
     opts = WalkOptions(sentence_length=5, backtrack=False, max_draws_per_token=3)
-    walks = W.random_walks(W.spread_walks(spark.createDataFrame([("tt__a",)], "node string"), 1), W.walk_tables(adj, types), types, opts)
+    walks = W.random_walks(W.spread_walks(spark.createDataFrame([("tt__a",)], "node string"), 1), W.walk_tables(adj, TYPES), types, opts)
     assert walks.first().walk == ["idx__0", "tt__a", "idx__0"]
 
 
@@ -176,3 +176,21 @@ def test_replaced_walks(spark, follow):
     links = {(r.node, r.nbr) for r in adj.collect()}
     swapped = sum((a, b) not in links for r in walks for a, b in zip(r.walk, r.walk[1:]))
     assert swapped > 0
+
+
+def test_no_walk_is_lost_to_tiny_or_huge_weights(spark):
+    adj = spark.createDataFrame(
+        [("tt__a", "tt__b", 1e-13, 1), ("tt__b", "tt__a", 1e12, 1), ("tt__a", "tt__c", 1.0, 1), ("tt__c", "tt__a", 2e8, 1), ("tt__b", "tt__d", 1e-13, 1),
+         ("tt__d", "tt__b", 1e-13, 1)],
+        "node string, nbr string, weight double, n_edges bigint")
+    tables = W.walk_tables(adj, TYPES, weighted=True)
+    seeds = W.spread_walks(adj.select("node").distinct(), 50)
+    walks = W.random_walks(seeds, tables, TYPES, WalkOptions(sentence_length=5)).collect()
+    assert len(walks) == 200 and all(len(r.walk) == 5 for r in walks)
+
+
+def test_a_walk_into_a_dead_end_stops_the_job(spark):
+    adj = spark.createDataFrame([("tt__a", "tt__b", 1.0, 1)], "node string, nbr string, weight double, n_edges bigint")
+    seeds = W.spread_walks(adj.select("node"), 1)
+    with pytest.raises(Exception, match="without neighbours"):
+        W.random_walks(seeds, W.walk_tables(adj, TYPES), TYPES, WalkOptions(sentence_length=4)).collect()

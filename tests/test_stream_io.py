@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from rowloom.plans.experiment import list_against_list, list_against_truth
 from rowloom.sources import readers, writers
 from rowloom.streaming.buffer import WindowBuffer
 from rowloom.streaming.matcher import StreamMatcher
+from rowloom.streaming.metrics import StreamMetrics
 from rowloom.streaming.windows import count_windows, idle_sessions
 
 
@@ -80,6 +82,50 @@ def test_time_windows_of_a_stream(spark, tmp_path):
     assert sorted(map(sorted, fired.values())) == [[0, 3], [0, 3, 6, 8], [6, 8, 12], [12]]
 
 
+def _time_stream(spark, path, options, batches, flush=False):
+    """The records of each window, as it was fired last."""
+    start = dt.datetime(2024, 1, 1)
+    fired = {}
+
+    def keep(windows, version):
+        got = {}
+        for r in windows.collect():
+            got.setdefault(r.window, set()).add(r.v)
+        fired.update(got)
+
+    buffer = WindowBuffer(spark, path, options, ["ts", "v"], keep, ts="ts")
+    for number, seconds in enumerate(batches):
+        rows = [(start + dt.timedelta(seconds=s), s) for s in seconds]
+        buffer(spark.createDataFrame(rows, "ts timestamp, v double"), number)
+        if flush:
+            buffer.flush()
+    return fired
+
+
+@pytest.mark.parametrize("flush", [False, True])
+def test_late_records_fire_their_windows_again(spark, tmp_path, flush):
+    options = StreamOptions(window_strategy="time", window_time=10)
+    fired = _time_stream(spark, str(tmp_path), options, [(0.0, 3.0, 6.0), (25.0,), (4.0, 7.0), (26.0,), (45.0,)], flush)
+    expected = [[0.0, 3.0, 4.0, 6.0, 7.0], [25.0, 26.0]] + ([[45.0]] if flush else [])
+    assert sorted(map(sorted, fired.values())) == expected
+
+
+@pytest.mark.parametrize("size, expected", [(2.5, [[0.0, 2.2], [2.6], [5.1]]), (0.5, [[0.0], [2.2], [2.6], [5.1]])])
+def test_windows_of_part_seconds(spark, tmp_path, size, expected):
+    options = StreamOptions(window_strategy="time", window_time=size)
+    fired = _time_stream(spark, str(tmp_path), options, [(0.0, 2.2, 2.6, 5.1), (9.0,)])
+    assert sorted(map(sorted, fired.values())) == expected
+
+
+def test_log_of_a_stream_keeps_all_batches(spark, tmp_path):
+    log = StreamMetrics(keep=2, spark=spark, path=str(tmp_path / "log"))
+    for number in range(5):
+        progress = SimpleNamespace(name="q", id="q", batchId=number, numInputRows=10, durationMs={"triggerExecution": 100}, sources=[])
+        log.onQueryProgress(SimpleNamespace(progress=progress))
+    assert sorted(r.batch for r in log.table(spark).collect()) == [0, 1, 2, 3, 4]
+    assert len(log.log.rows) < 2 and log.log.consumed == 50
+
+
 def test_idle_sessions(spark):
     start = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([(start + dt.timedelta(seconds=s),) for s in (0, 59, 118, 178, 400)], "ts timestamp")
