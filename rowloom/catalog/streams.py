@@ -19,10 +19,10 @@ from rowloom.operators import graph as G
 from rowloom.operators import match as M
 from rowloom.operators import walks as W
 from rowloom.options import StreamOptions, TrainOptions, WalkOptions
+from rowloom.plans.stream import start
 from rowloom.session import ensure_checkpoint_dir
 from rowloom.sources import readers, writers
 from rowloom.streaming.buffer import WindowBuffer
-from rowloom.streaming.matcher import StreamMatcher
 from rowloom.streaming.metrics import StreamMetrics
 from rowloom.streaming.windows import count_windows, idle_sessions, time_windows
 
@@ -193,19 +193,17 @@ def stream_time_windows(spark, sf_dir):
 
 @query("stream_er")
 def stream_er(spark, sf_dir):
-    """Parts arrive in three files; every window trains on and renews the similarity lists."""
+    """Parts arrive in three files; every window, the unfinished last one too, trains on and renews the similarity lists."""
     path = scratch(spark)
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     _in_files(part, f"{path}/in", 3, "p_partkey")
     options = StreamOptions(window_count=131, walks_per_node=2, most_similar_k=5)
-    matcher = StreamMatcher(
-        spark, f"{path}/state", options, walk=WalkOptions(sentence_length=8, backtrack=False),
+    records = spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    run = start(
+        spark, records, path, options, ["p_partkey"], trigger={"availableNow": True}, walk=WalkOptions(sentence_length=8, backtrack=False),
         training=TrainOptions(dimensions=16, window=3), cols=["p_name", "p_brand", "p_type"], first_epochs=2, later_epochs=1,
     )
-    buffer = WindowBuffer(spark, f"{path}/state", options, ["p_partkey"], matcher)
-    _run(f"{path}/in", part.schema, path, buffer, spark)
-    buffer.flush()
-    return matcher.similarity()
+    return run.finish()
 
 
 @query("stream_metrics")

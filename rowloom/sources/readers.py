@@ -43,18 +43,26 @@ def read_node_types(spark: SparkSession, path: str) -> NodeTypes:
 
 
 def read_edge_list(spark: SparkSession, path: str) -> tuple[NodeTypes, DataFrame]:
-    """Node types and edges. Two fields: no weights; three: one-way; four: both weights."""
+    """Node types and edges. Two fields: no weights; three: one-way; four: both weights.
+
+    A weight that is not a number stops the job.
+    """
     edges = (
-        spark.read.schema(EDGE_SCHEMA)
+        spark.read.schema(EDGE_SCHEMA.replace("double", "string"))
         .option("header", True)
         .option("quote", '"')
         .option("ignoreLeadingWhiteSpace", True)
         .csv(path)
     )
+
+    def weight(name: str):
+        wrong = F.raise_error(F.concat(F.lit("not a weight: "), F.col(name)))
+        return F.when(F.col(name).isNotNull(), F.coalesce(F.trim(name).try_cast("double"), wrong)).alias(name)
+
     line = F.monotonically_increasing_id()
     zero = F.lit(0)
     seq = F.struct(line.alias("rid"), zero.alias("col"), zero.alias("pos"), zero.alias("sub"), zero.alias("side"))
-    return read_node_types(spark, path), edges.select(seq.alias("edge_seq"), "src", "dst", "w_fwd", "w_back")
+    return read_node_types(spark, path), edges.select(seq.alias("edge_seq"), "src", "dst", weight("w_fwd"), weight("w_back"))
 
 
 def read_edge_pairs(spark: SparkSession, path: str) -> DataFrame:

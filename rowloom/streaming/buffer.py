@@ -8,6 +8,7 @@ in one task, which a keyed state with a single key would.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,6 +56,8 @@ class WindowBuffer:
         self.handler = handler
         self.ts = ts
         self.first_id = first_id
+        # a flush comes from another thread than the micro-batches
+        self._lock = threading.Lock()
 
     def progress(self, before: int | None = None) -> Progress:
         """The newest stored progress (older than ``before``)."""
@@ -73,6 +76,10 @@ class WindowBuffer:
         return stored if upto is None else stored.filter(F.col("version") <= upto)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with self._lock:
+            self._take(batch, batch_id)
+
+    def _take(self, batch: DataFrame, batch_id: int) -> None:
         # even versions are micro-batches, odd ones are flushes between them
         version = 2 * batch_id
         done = self.progress(before=version)
@@ -84,13 +91,17 @@ class WindowBuffer:
         self._fire(done, version, done.n_records + n_new, keep_rest=False)
 
     def flush(self) -> bool:
-        """Process the rows of the last, partial window, as after a time without input."""
-        done = self.progress()
-        rest = done.n_records > done.base if self.options.window_strategy == "count" else True
-        if done.version < 0 or not rest:
-            return False
-        self._fire(done, done.version + 1, done.n_records, keep_rest=True)
-        return True
+        """Process the rows of the last, partial window, as after a time without input.
+
+        Does nothing where no record came since the last flush.
+        """
+        with self._lock:
+            done = self.progress()
+            rest = done.n_records > done.base if self.options.window_strategy == "count" else True
+            if done.version < 0 or done.version % 2 or not rest:
+                return False
+            self._fire(done, done.version + 1, done.n_records, keep_rest=True)
+            return True
 
     def _fire(self, done: Progress, version: int, total: int, keep_rest: bool) -> None:
         due = self._due_count(done, total, keep_rest) if self.options.window_strategy == "count" else self._due_time(

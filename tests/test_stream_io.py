@@ -94,11 +94,12 @@ def _time_stream(spark, path, options, batches, flush=False):
         fired.update(got)
 
     buffer = WindowBuffer(spark, path, options, ["ts", "v"], keep, ts="ts")
+    assert not buffer.flush()
     for number, seconds in enumerate(batches):
         rows = [(start + dt.timedelta(seconds=s), s) for s in seconds]
         buffer(spark.createDataFrame(rows, "ts timestamp, v double"), number)
         if flush:
-            buffer.flush()
+            assert buffer.flush() and not buffer.flush()
     return fired
 
 
@@ -171,6 +172,13 @@ def test_edge_file_of_the_documented_format(spark, tmp_path):
     assert readers.edges_or_empty(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_weight_that_is_no_number_stops_the_job(spark, tmp_path):
+    path = tmp_path / "e.txt"
+    path.write_text('3#__tn,3$__tt,5$__idx,1$__cid\n"idx__0","tt__a",1,x\n')
+    with pytest.raises(Exception, match="not a weight: x"):
+        readers.read_edge_list(spark, str(path))[1].collect()
+
+
 def test_truth_lists_and_tests(spark, tmp_path, rows):
     (tmp_path / "t.txt").write_text("idx_1,idx_20\n")
     assert rows(readers.read_truth(spark, str(tmp_path / "t.txt"))) == [("idx__1", "idx__20")]
