@@ -8,6 +8,7 @@ from rowloom.operators import match as M
 from rowloom.options import MatchOptions, NodeTypes, StreamOptions, TrainOptions, WalkOptions
 from rowloom.plans import batch as B
 from rowloom.plans.experiment import list_against_list, list_against_truth
+from rowloom.plans.stream import start
 from rowloom.sources import readers, writers
 from rowloom.streaming.buffer import WindowBuffer
 from rowloom.streaming.matcher import StreamMatcher
@@ -229,3 +230,19 @@ def test_experiments(spark):
     assert list_against_truth(nested, truth, 1, 2).first().f1 == 1.0
     assert list_against_list(nested, nested, 3).first().average_tau == 1.0
     assert list_against_list(nested, nested, 9).first().average_tau is None
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    options = StreamOptions(window_count=8, walks_per_node=1, most_similar_k=2)
+    for number in range(2):
+        rows = spark.range(number * 10, number * 10 + 10).select(F.col("id").alias("v"), F.concat(F.lit("name"), (F.col("id") % 5).cast("string")).alias("name"))
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        records = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        run = start(
+            spark, records, str(tmp_path / "run"), options, ["v"], trigger={"availableNow": True}, cols=["name"],
+            walk=WalkOptions(sentence_length=4, backtrack=False), training=TrainOptions(dimensions=4, window=2), first_epochs=1, later_epochs=1,
+        )
+        run.finish()
+    assert sorted(r.rid_no for r in run.buffer.records().collect()) == list(range(20))
+    starts = {r.src for r in run.matcher.edges().collect() if r.src.startswith("idx__")}
+    assert starts == {f"idx__{i}" for i in range(20)}  # the two unfinished windows included
