@@ -4,8 +4,11 @@ Texts are cut into sentences: after ``.``, ``!``, ``?`` or a line break between
 more than ``LONG`` words is cut further, after words chosen by their hash, so that equal text is cut
 alike wherever it stands. Every run of ``span`` consecutive sentences is hashed (by the words, so case
 and punctuation do not matter) and joined over all documents. Its first place, by document id and
-position, stays; the sentences of all others are covered. Stretches of covered sentences with fewer
-than ``min_words`` words stay, all longer ones are removed.
+position, stays; the sentences of all others are covered. So are runs of ``RUN`` words, whatever
+sentences they stand in: of each ``NEXT`` neighbouring runs the one of the least hash is joined, so a
+repeated passage of ``RUN + NEXT - 1`` = 51 words or more always has a run in common with its first
+place, and at most ``NEXT - 1`` of its words at either end are not covered. Covered stretches with
+fewer than ``min_words`` words stay, all longer ones are removed.
 
 Cases: a null text stays null; an empty or wordless text stays as it is; rows of equal id and text are
 one document and are cut alike; a row without id comes before all others; a text of fewer sentences
@@ -25,13 +28,18 @@ from pyspark.sql import types as T
 
 from rowloom.llm.common import blocks, col, fresh, text_hash, written
 from rowloom.llm.registry import query, table
-from rowloom.llm.words import U64, WORD_BASE, Words, mix, words_of
+from rowloom.llm.words import U64, WORD_BASE, Words, mix, windows, words_of
 
 SPAN = 2
 MIN_WORDS = 25
 LONG = 40
 #: One word in so many ends a piece of a long sentence.
 CUT = 12
+#: Words of a run, and of how many neighbouring runs one is joined.
+RUN = 40
+NEXT = 12
+#: Added to the first word of a run, to tell its place from the number of a sentence.
+WORD_PLACE = 1 << 30
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
@@ -69,8 +77,27 @@ def _span_hashes(w: Words, first: np.ndarray, begin: np.ndarray, span: int) -> t
     return total[at], at
 
 
+def _run_hashes(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of the least of each ``NEXT`` neighbouring runs of ``RUN`` words, the last of equal ones."""
+    found, at = windows(w, RUN)
+    n = len(found) - NEXT + 1
+    if n <= 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    least, place = found[:n].copy(), np.arange(n)
+    for j in range(1, NEXT):
+        lower = found[j : j + n] <= least
+        least[lower] = found[j : j + n][lower]
+        place[lower] = np.flatnonzero(lower) + j
+    owner = w.owner[at]
+    chosen = np.unique(place[owner[:n] == owner[NEXT - 1 :]])
+    return found[chosen], at[chosen]
+
+
 def spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """``h, k, r, p``: hash of every span, id and text hash of its document, number of its first sentence."""
+    """``h, k, r, p``: hash of every span, id and text hash of its document, number of its first sentence.
+
+    For runs of words ``p`` is ``WORD_PLACE`` plus the number of the first word.
+    """
     narrow = docs.filter(col(text).isNotNull()).select(col(id).alias("k"), text_hash(text).alias("r"), col(text).alias("t"))
     schema = T.StructType([T.StructField("h", T.LongType()), *narrow.schema.fields[:2], T.StructField("p", T.IntegerType())])
 
@@ -80,16 +107,18 @@ def spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", span: int
                 w = words_of(part.column(2))
                 first, begin = sentences(w)
                 found, at = _span_hashes(w, first, begin, span)
-                owner = np.searchsorted(begin, at, "right") - 1
-                who = part.select([0, 1]).take(pa.array(owner)).columns
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), *who, pa.array((at - begin[owner]).astype(np.int32))], schema.names)
+                runs, word = _run_hashes(w)
+                for hashes, places, base, zero in ((found, at, begin, 0), (runs, word, w.first, WORD_PLACE)):
+                    owner = np.searchsorted(base, places, "right") - 1
+                    who = part.select([0, 1]).take(pa.array(owner)).columns
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes.view(np.int64)), *who, pa.array((places - base[owner] + zero).astype(np.int32))], schema.names)
 
     return narrow.mapInArrow(run, schema)
 
 
 def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """``k, r, places``: the first sentences of all non-first spans of a document."""
+    """``k, r, places``: the places of all non-first spans and runs of a document."""
     found = written(spans(docs, id=id, text=text, span=span), "spans")
     # rows of equal id and text have equal places, so they are first together
     first = found.groupBy("h").agg(F.min(F.struct("k", "r", "p")).alias("f"), F.max(F.struct("k", "r", "p")).alias("g"))
@@ -99,19 +128,21 @@ def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", span: in
 
 
 def _covered(w: Words, first: np.ndarray, begin: np.ndarray, text: int, places: list[int], span: int, min_words: int) -> list[tuple[int, int]]:
-    """Byte spans of a text that go: stretches of covered sentences with ``min_words`` words or more."""
-    a, b = int(begin[text]), int(begin[text + 1])
-    marks = np.zeros(b - a + 1, np.int64)
+    """Byte spans of a text that go: covered stretches with ``min_words`` words or more."""
+    a, b = int(w.first[text]), int(w.first[text + 1])
+    begins = np.append(first, len(w.hash))
     at = np.array(places)
-    np.add.at(marks, at, 1)
-    np.add.at(marks, np.minimum(at + span, b - a), -1)
+    word = at >= WORD_PLACE
+    sentence, run = at[~word] + begin[text], at[word] - WORD_PLACE + a
+    marks = np.zeros(b - a + 1, np.int64)
+    np.add.at(marks, np.concatenate((begins[sentence], run)) - a, 1)
+    np.add.at(marks, np.concatenate((begins[np.minimum(sentence + span, begin[text + 1])], run + RUN)) - a, -1)
     flags = np.concatenate(([0], np.cumsum(marks[:-1]) > 0, [0])).astype(np.int8)
     out = []
-    begins = np.append(first, len(w.hash))
     for i, j in zip(np.flatnonzero(np.diff(flags) == 1) + a, np.flatnonzero(np.diff(flags) == -1) + a, strict=True):
-        if begins[j] - begins[i] >= min_words:
-            low = w.start[first[i]] if i > a else w.offset[text]
-            high = w.start[first[j]] if j < b else w.offset[text + 1]
+        if j - i >= min_words:
+            low = w.start[i] if i > a else w.offset[text]
+            high = w.start[j] if j < b else w.offset[text + 1]
             out.append((int(low - w.offset[text]), int(high - w.offset[text])))
     return out
 

@@ -199,6 +199,23 @@ def test_long_passage_without_punctuation(spark):
     assert got[1] == f"a b {words} c" and len(got[2]) < len(words) / 2
 
 
+def test_passages_of_51_words_at_any_word(spark):
+    rng, rows, parts = random.Random(5), [], {}
+    for n in range(0, 120, 2):
+        own = [[f"{c}{n}x{i}" + ("." if i % 19 == 18 else "") for i in range(120)] for c in "pab"]
+        passage = [w if n % 4 else w.strip(".") for w in own[0][:51]]
+        for k in (0, 1):
+            at = rng.randrange(20, 100)
+            rows.append((n + k, " ".join(own[1 + k][:at] + passage + own[1 + k][at:])))
+        parts[n + 1] = passage, own[2]
+    got = {r.doc_id: r.text for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[n] == text for n, text in rows if n % 2 == 0)
+    for n, (passage, own) in parts.items():
+        left = got[n].split()
+        assert [w for w in left if w in own] == own, "words of the document itself stay"
+        assert len(left) - len(own) <= 2 * (sentence_spans.NEXT - 1), n
+
+
 def test_resharding(docs, none, spark):
     found = resharding.assign(docs, 3, 2)
     assert "_shard" in found.columns and found.count() == len(ROWS)
