@@ -2,12 +2,11 @@
 
 A list of rules decides the urls that it covers; the verdicts of those are the labels from which the
 others are judged. Per host the path segments form a tree. Segments with a digit or of more than
-``LONG`` characters are variable and become ``*``; so do siblings that are rare (under one in ``RARE``
-of the pages at their parent). A branch whose share of blocked labels does not differ from that of
-all its siblings (chi-square with one degree of freedom under ``CHI2``, or no labels) is merged into
-``*`` as well. What is left is the page's template. A template is blocked if its share of blocked
-labels, smoothed by that of its host and this by that of all, is at least ``PURITY``. Segments beyond
-``LEVELS`` are one wildcard.
+``LONG`` characters are variable and become ``*``. A branch whose share of blocked labels does not
+differ from that of all its siblings (chi-square with one degree of freedom under ``CHI2``, or no
+labels) is merged into ``*`` as well, however many or few its pages are. What is left is the page's
+template, at any depth. A template is blocked if its share of blocked labels, smoothed by that of its
+host and this by that of all, is at least ``PURITY``.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is judged like any other host;
 an empty url or path has one empty segment; equal urls are judged alike, each in its own row; without
@@ -22,8 +21,9 @@ from pyspark.sql import functions as F
 from rowloom.llm.common import col, written
 from rowloom.llm.registry import query, table
 
-LEVELS = 6
 LONG = 24
+#: Of the SQL alone, which has a fixed number of levels and merges siblings of under one in ``RARE`` pages untested.
+LEVELS = 6
 RARE = 50
 CHI2 = 3.84
 SMOOTHING = 4.0
@@ -56,7 +56,7 @@ def _ruled(rules: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def _segments() -> Column:
-    parts = F.slice(F.split(F.regexp_replace("path", "^/", ""), "/", -1), 1, LEVELS)
+    parts = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     return F.transform(parts, lambda s: F.when(F.regexp_like(s, F.lit("[0-9]")) | (F.char_length(s) > LONG), "*").otherwise(s))
 
 
@@ -67,14 +67,18 @@ def templates(pages: DataFrame, key: str) -> DataFrame:
     for level in range(levels):
         own = state.withColumn("seg", F.col("segs")[level] if level == 0 else F.when(F.size("segs") > level, F.get("segs", F.lit(level))))
         stats = own.filter("seg is not null").groupBy("host", "template", "seg").agg(
-            F.count("*").alias("n"), F.count("bad").alias("labels"), F.sum("bad").alias("bads"))
+            F.count("bad").alias("labels"), F.sum("bad").alias("bads"))
         stats = written(stats.withColumn("bads", F.coalesce("bads", F.lit(0))), "segments")
-        whole = stats.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("labels").alias("all_labels"), F.sum("bads").alias("all_bads"))
-        literal = stats.join(written(whole, "parents"), ["host", "template"]).filter("seg <> '*'").filter(F.col("n") * RARE >= F.col("all_n"))
+        whole = stats.groupBy("host", "template").agg(F.sum("labels").alias("all_labels"), F.sum("bads").alias("all_bads"))
+        whole = written(whole.filter("all_bads > 0 and all_bads < all_labels"), "parents")
+        if whole.isEmpty():  # no branch below can be told apart any more
+            rest = F.expr(f"repeat('/*', greatest(size(segs) - {level}, 0))")
+            return state.withColumn("template", F.concat("template", rest))
+        literal = stats.join(whole, ["host", "template"]).filter("seg <> '*'")
         expected = F.col("labels").cast("double") * F.col("all_bads") / F.col("all_labels")
         spread = expected * (F.col("all_labels") - F.col("all_bads")) / F.col("all_labels")
         apart = (F.col("bads") - expected) * (F.col("bads") - expected)
-        literal = literal.filter("labels > 0 and all_bads > 0 and all_bads < all_labels").filter(apart >= CHI2 * spread)
+        literal = literal.filter("labels > 0").filter(apart >= CHI2 * spread)
         literal = written(literal.select("host", "template", "seg", F.lit(True).alias("literal")), "literal")
         own = own.join(literal, ["host", "template", "seg"], "left")
         step = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*"))

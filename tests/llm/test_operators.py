@@ -120,6 +120,18 @@ def test_url_templates(spark):
     assert url_templates.judge(pages.limit(0)).count() == 0
 
 
+def test_url_templates_of_many_sections_and_deep_paths(spark):
+    deep = "http://d.com/a/b/c/d/e/f/{}/x/y"
+    urls = [(f"http://s.com/s{chr(97 + k // 26)}{chr(97 + k % 26)}/p", int(k % 4 == 0)) for k in range(80) for _ in range(20)]
+    urls += [(deep.format("bad" if i % 2 else "good"), i % 2) for i in range(60)]
+    urls += [("http://s.com/saa/q", None), ("http://s.com/sab/q", None), (deep.format("bad"), None), (deep.format("good"), None)]
+    pages = spark.createDataFrame([(i, *u) for i, u in enumerate(urls)], "page_id long, url string, label int")
+    got = {r.page_id: r for r in url_templates.judge(pages, rules=[], label="label").collect()}
+    assert all((got[i].verdict == "block") == (u[1] == 1) for i, u in enumerate(urls) if u[1] is not None)
+    assert [got[len(urls) - n].verdict for n in (4, 3, 2, 1)] == ["block", "allow", "block", "allow"]
+    assert got[len(urls) - 1].template == "/*/*/*/*/*/*/good/*/*"
+
+
 def test_bpe(docs, none, spark):
     from tokenizers import Tokenizer
 
