@@ -5,8 +5,7 @@ A document is given the language whose profile has the least out-of-place distan
 own list: the sum of the differences in rank, and ``PROFILE`` for each n-gram that the profile lacks.
 Equal frequencies are ordered by length and code points, equal distances by the name of the language.
 
-Profiles are learned from a sample of at most about ``sample_rows`` labelled documents a language,
-drawn by a hash of the text; all else covers all documents and whole texts.
+Profiles are learned from all labelled documents and whole texts.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if nothing
 could be learned. A text that shares no n-gram with any profile has score 0. Rows without a label
@@ -29,7 +28,6 @@ from rowloom.llm.common import blocks, col
 from rowloom.llm.registry import query, table
 
 PROFILE = 400
-SAMPLE_ROWS = 5000
 MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Positions whose n-grams are sorted at once.
@@ -83,18 +81,13 @@ def _most_frequent(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarra
 
 def fit(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Column | None = None,
-    profile: int = PROFILE, sample_rows: int = SAMPLE_ROWS,
+    profile: int = PROFILE,
 ) -> dict[str, np.ndarray]:
-    """Profile of each language: its n-grams, the most frequent first."""
+    """Profile of each language: its n-grams, the most frequent first. A language without a letter has none."""
     known = docs.filter(col(lang).isNotNull() & col(text).isNotNull() & (F.lit(True) if where is None else where))
     known = known.select(col(lang).alias("l"), col(text).alias("t"))
-    rows = dict(tuple(r) for r in known.groupBy("l").count().limit(MAX_LANGUAGES + 1).collect())
-    if len(rows) > MAX_LANGUAGES:
+    if known.select("l").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not rows:
-        return {}
-    share = F.create_map(*(F.lit(x) for n, k in rows.items() for x in (n, min(1.0, sample_rows / k))))
-    sample = known.filter(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < F.element_at(share, F.col("l")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,13 +102,13 @@ def fit(
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([name] * len(keys)), pa.array(keys), pa.array(counts)], ["l", "g", "n"])
 
-    grams = sample.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    grams = known.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
     # the most frequent of each of 16 parts first, so that no task orders all n-grams of a language
     best = grams.withColumn("part", F.pmod("g", F.lit(16)))
     for groups in (("l", "part"), ("l",)):
         order = Window.partitionBy(*groups).orderBy(F.desc("n"), "g")
         best = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= profile)
-    found = {n: np.zeros(0, np.int64) for n in rows}
+    found = {}
     for row in best.orderBy("l", "r").toPandas().groupby("l"):  # ``profile`` rows a language
         found[row[0]] = row[1]["g"].to_numpy(np.int64)
     return found

@@ -66,6 +66,17 @@ def test_language(docs, none):
     assert language.keep_known(docs, {}).count() == len(ROWS) - 3
 
 
+def test_language_learns_from_every_row(spark):
+    rows = [("aaa", "x")] * 5_500 + [(f"{chr(98 + i % 20)}{chr(98 + i // 20)}", "x") for i in range(400)] + [("12", "y")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    profiles = language.fit(df)
+    own = {k for t in dict.fromkeys(t for t, lang in rows if lang == "x") for k in language.ngrams(t)[0].tolist()}
+    assert set(profiles) == {"x"} and len(own) > language.PROFILE == len(profiles["x"])
+    assert set(language.fit(df, profile=len(own))["x"].tolist()) == own
+    digits = df.filter("lang = 'y'")
+    assert language.keep_known(df, language.fit(digits)).count() == len(rows) - 1
+
+
 def test_near_duplicates(docs, none):
     got = sorted(((r.doc_id, r.class_id) for r in near_dup.near_duplicates(docs).collect()), key=repr)
     want = [(1, 1), (2, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8), (8, 8), (9, 9), (None, 1), (None, None)]
