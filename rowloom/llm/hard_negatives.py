@@ -181,9 +181,13 @@ def _met(rows: DataFrame, anchors: DataFrame, length: int, primes: list[int], fi
     def run(group: pa.Table) -> pa.Table:
         held = [np.zeros(0, np.int64)] * len(names_out)
         sides = group.column("side").to_pylist()
-        (at,) = np.flatnonzero(np.array(sides) == 0)  # the one block of anchors
-        own = _Block(group.slice(at, 1).to_pylist()[0], length, extra)
-        for i in np.flatnonzero(np.array(sides) == 1):
+        own = None
+        for i in np.argsort(sides, kind="stable"):  # the one block of anchors comes first
+            if sides[i] == 0:
+                own = _Block(group.slice(i, 1).to_pylist()[0], length, extra)
+                continue
+            if own is None:
+                break
             other = _Block(group.slice(i, 1).to_pylist()[0], length)
             for start in range(0, len(own.r), ROWS):
                 piece = slice(start, start + ROWS)
