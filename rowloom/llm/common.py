@@ -47,13 +47,13 @@ def text_hash(name: str) -> Column:
     return F.when(col(name).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(col(name)))
 
 
-def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` that hold about ``limit`` bytes in a text column."""
+def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES, most: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` that hold about ``limit`` bytes in a text column, and ``most`` rows at most."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size.astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        stop = min(max(start + 1, int(np.searchsorted(ends, before + limit, "right"))), start + most)
         yield batch.slice(start, stop - start)
         start = stop

@@ -41,6 +41,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Coordinates of the longer signatures that pairs of different components are sifted by.
 SKETCH = 512
+#: Darts or elements that a task holds at once; their number follows the sets, not the bytes of text.
+DARTS = 1 << 18
+#: Signatures that a task holds at once, whatever the length of their texts.
+SETS = 2048
 #: Bits of the map that texts are sifted by before they are shuffled: 4 MB are broadcast, whatever the data.
 SIEVE_BITS = 1 << 25
 _SLAB, _DART, _PLACE, _BAND = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, U64(0x8EBC6AF09C88C6E3), 0x589965CC75374CC3
@@ -51,31 +55,45 @@ def _times(n: int, factor: int) -> np.uint64:
 
 
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
-    """Signature of each set of weighted elements (hashes); zeros for an empty set."""
+    """Signature of each set of weighted elements (hashes); zeros for an empty set.
+
+    Works on so many sets at once that they have about ``DARTS`` darts, and on ``DARTS`` elements of a larger set.
+    """
     sets = len(begin) - 1
     out = np.zeros((sets, k), U64)
+    most = max(1, int(DARTS / (k * (math.log(k) + 2))))
+    for start in range(0, sets, most):
+        stop = min(start + most, sets)
+        cut = slice(begin[start], begin[stop])
+        _signatures(elements[cut], weights[cut], begin[start:stop + 1] - begin[start], k, out[start:stop])
+    return out
+
+
+def _signatures(elements: np.ndarray, weights: np.ndarray, begin: np.ndarray, k: int, out: np.ndarray) -> None:
+    sets = len(out)
     owner = np.repeat(np.arange(sets), np.diff(begin))
     total = np.bincount(owner, weights, sets)
     with np.errstate(divide="ignore"):
         limit = k * (math.log(k) + 2) / total  # ranks looked at first; about k ln k + 2k darts
     open_ = np.flatnonzero(total > 0)
+    signature = out.reshape(-1)
     while len(open_):
         chosen = np.zeros(sets, bool)
         chosen[open_] = True
         at = np.flatnonzero(chosen[owner] & (weights > 0))
-        slot, rank, dart = _throw(elements[at], weights[at], owner[at], limit, k)
         best = np.full(sets * k, np.inf)
-        np.minimum.at(best, slot, rank)
-        first = rank == best[slot]
-        out.reshape(-1)[slot[first]] = dart[first]
+        for start in range(0, len(at), DARTS):
+            part = at[start:start + DARTS]
+            for slot, rank, dart in _throw(elements[part], weights[part], owner[part], limit, k):
+                np.minimum.at(best, slot, rank)
+                first = rank == best[slot]
+                signature[slot[first]] = dart[first]
         open_ = open_[np.isinf(best.reshape(sets, k)[open_]).any(axis=1)]
         limit[open_] *= 2
-    return out
 
 
 def _throw(elements, weights, owner, limit, k):
-    """Coordinate slot, rank and number of all darts below the weights and up to the rank limits."""
-    slots, ranks, darts = [], [], []
+    """Coordinate slot, rank and number of all darts below the weights and up to the rank limits, a few at a time."""
     slab, low, width = 0, 0.0, 1.0
     while len(elements):
         key = mix(elements ^ _times(slab, _SLAB))
@@ -89,13 +107,10 @@ def _throw(elements, weights, owner, limit, k):
             place = mix(dart ^ _PLACE)
             inside = low + (place & U64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * width < w
             coordinate = ((place >> U64(32)) * U64(k)) >> U64(32)
-            slots.append((o * k + coordinate.astype(np.int64))[inside])
-            ranks.append(rank[inside])
-            darts.append(dart[inside])
+            yield (o * k + coordinate.astype(np.int64))[inside], rank[inside], dart[inside]
         slab, low, width = slab + 1, low + width, max(1.0, low + width)
         heavy = weights > low
         elements, weights, owner = elements[heavy], weights[heavy], owner[heavy]
-    return np.concatenate(slots), np.concatenate(ranks), np.concatenate(darts)
 
 
 def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -128,7 +143,7 @@ def _band_rows(texts: DataFrame, bands: int, rows: int, shingle: int, weighted:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, most=SETS):
                 names = part.column(0).to_pylist()
                 first = list({name: i for i, name in reversed(list(enumerate(names)))}.values())
                 part = part.take(pa.array(sorted(first), pa.int64()))
@@ -234,7 +249,7 @@ def _details(loose: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, most=SETS):
                 x, w, begin = unpacked(part)
                 lists = _lists(_sketch(dart_signatures(x.view(U64), w.astype(np.float64), begin, SKETCH)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.add.reduceat(w, begin[:-1])), lists], ["d", "n", "z"])

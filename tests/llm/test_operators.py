@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,27 @@ def test_near_duplicates(docs, none):
     assert near_dup.near_duplicates(docs, weighted=True).count() == len(ROWS)
 
 
+def test_signatures_of_many_short_texts_take_little_memory():
+    rng = np.random.default_rng(6)
+    elements, begin = rng.integers(0, 2**63, 60_000).astype(np.uint64), np.arange(10_001) * 6  # ten words, six shingles
+    few = near_dup.dart_signatures(elements[:600], np.ones(600), begin[:101], 100)
+    tracemalloc.start()
+    all_ = near_dup.dart_signatures(elements, np.ones(len(elements)), begin, 100)
+    peak = tracemalloc.get_traced_memory()[1] - all_.nbytes
+    tracemalloc.stop()
+    assert (all_[:100] == few).all() and peak < 60 << 20
+
+
+def test_weighted_signatures_agree_as_often_as_the_similarity_says(monkeypatch):
+    monkeypatch.setattr(near_dup, "DARTS", 500)  # sets in pieces too
+    elements = np.concatenate((np.arange(1, 41), np.arange(21, 61))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weights = np.concatenate((np.arange(1, 41) % 5 + 0.5, np.arange(21, 61) % 3 + 1.0))
+    a, b = near_dup.dart_signatures(elements, weights, np.array([0, 40, 80]), 4000)
+    x, y = dict(zip(range(1, 41), weights[:40])), dict(zip(range(21, 61), weights[40:]))
+    least, most = (sum(f(x.get(i, 0), y.get(i, 0)) for i in range(1, 61)) for f in (min, max))
+    assert abs((a == b).mean() - least / most) < 0.04
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(5)
     texts = []
