@@ -139,14 +139,27 @@ def split_hub_slots(spark, sf_dir):
     return G.uniform_slots(part_adjacency(spark, sf_dir), chunk=100).select("node", "slot", "nbr", "degree")
 
 
-_WEIGHTED = f"""exact AS (SELECT node, nbr, CAST(weight AS DECIMAL(20, 12)) AS w FROM adj),
-cumulated AS (SELECT node, nbr, w, count(*) OVER (PARTITION BY node) AS degree, CAST(sum(w) OVER (PARTITION BY node) AS DOUBLE) AS total,
-  sum(w) OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr ROWS UNBOUNDED PRECEDING) AS upto FROM exact),
-ranged AS (SELECT node, nbr, degree, CAST(ceil(CAST(upto - w AS DOUBLE) / total * 4294967296.0) AS BIGINT) AS lo,
-  CAST(ceil(CAST(upto AS DOUBLE) / total * 4294967296.0) AS BIGINT) AS hi FROM cumulated)"""
+_FULL = 1 << 60
 
 
-@query("alias_probabilities", f"WITH {PART_GRAPH}, {_WEIGHTED} SELECT node, nbr, {rounded('(hi - lo) / 4294967296.0')} AS probability FROM ranged WHERE lo < hi")
+def ranges_sql(name: str, source: str, weight: str) -> str:
+    """CTEs that divide the 60-bit range of each node of ``source (node, nbr, <weight>)`` by weight."""
+    bound = f"CAST(ceil(CAST({{}} AS DOUBLE) / CAST(total AS DOUBLE) * CAST({_FULL} AS DOUBLE)) AS BIGINT)"
+    return f"""{name}_sized AS (SELECT node, nbr, CAST({weight} AS DOUBLE) AS weight, count(*) OVER (PARTITION BY node) AS degree, max(CAST({weight} AS DOUBLE)) OVER (PARTITION BY node) AS largest FROM {source}),
+{name}_whole AS (SELECT node, nbr, degree, greatest(1, CAST(floor(weight / largest * CAST((1::BIGINT << (61 - length(bin(degree)))) AS DOUBLE)) AS BIGINT)) AS w FROM {name}_sized),
+{name}_sums AS (SELECT node, nbr, degree, w, CAST(sum(w) OVER (PARTITION BY node) AS BIGINT) AS total,
+  CAST(sum(w) OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM {name}_whole),
+{name} AS (SELECT node, nbr, degree, {bound.format('upto - w')} AS lo, {bound.format('upto')} AS hi FROM {name}_sums)"""
+
+
+def scaled_sql(draw: str, size: str) -> str:
+    return f"CAST((CAST({draw} AS HUGEINT) * {size}) // {_FULL} AS BIGINT)"
+
+
+_WEIGHTED = ranges_sql("ranged", "adj", "weight")
+
+
+@query("alias_probabilities", f"WITH {PART_GRAPH}, {_WEIGHTED} SELECT node, nbr, {rounded(f'(hi - lo) / CAST({_FULL} AS DOUBLE)')} AS probability FROM ranged WHERE lo < hi")
 def alias_probabilities(spark, sf_dir):
     return G.slot_probability(G.weighted_slots(part_adjacency(spark, sf_dir)))
 
@@ -154,7 +167,7 @@ def alias_probabilities(spark, sf_dir):
 @query(
     "weighted_slots",
     f"""WITH {PART_GRAPH}, {_WEIGHTED} SELECT r.node, s AS slot, lo, hi, nbr, r.degree, d.degree AS nbr_degree
-FROM (SELECT node, nbr, degree, lo, hi, unnest(range((lo * degree) >> 32, (((hi - 1) * degree) >> 32) + 1)) AS s FROM ranged WHERE lo < hi) r
+FROM (SELECT node, nbr, degree, lo, hi, unnest(range({scaled_sql('lo', 'degree')}, {scaled_sql('(hi - 1)', 'degree')} + 1)) AS s FROM ranged WHERE lo < hi) r
 JOIN deg d ON r.nbr = d.node""",
 )
 def weighted_slots(spark, sf_dir):
@@ -207,37 +220,37 @@ HIDDEN = NodeTypes.parse(("3#__tn", "2$__tt", "5$__idx", "1$__cid"))
 
 
 def _hash(*parts: str) -> str:
-    return _HASH.format(" || '|' || ".join(parts))
+    return _HASH.format(" || '|' || ".join(parts)).replace("1, 8)", "1, 15)")
 
 
-def walks_sql(graph: str, walks: str, length: int, weighted: bool = False, redraw: str = "false", hidden: str = "", max_draws: int = 0) -> str:
-    """Recursive SQL for the walks of the table expression ``walks`` (``walk_id, root``)."""
-    draw = _hash(f"'{SEED}'", "s.walk_id", "s.step", "s.salt")
+def walks_sql(graph: str, walks: str, length: int, weighted: bool = False, avoid: str = "", hidden: str = "") -> str:
+    """Recursive SQL for the walks of the table expression ``walks`` (``walk_id, root``); ``avoid`` is not drawn."""
+    draw = _hash(f"'{SEED}'", "s.walk_id", "s.step")
     start = _hash(f"'{SEED}'", "walk_id", "'start'", "'0'")
     appear = f"split_part(nbr, '__', 1) NOT IN ({hidden})" if hidden else "true"
-    pick = "h >= t.lo AND h < t.hi" if weighted else "t.slot = (h * s.degree) >> 32"
     slot_table = "ranged" if weighted else "slots"
     slot_cte = _WEIGHTED if weighted else _SLOTS
+    size, low, share = (str(_FULL), "e.lo", "(e.hi - e.lo)") if weighted else ("s.degree", "e.slot", "1")
+    out = f"LEFT JOIN {slot_table} e ON e.node = s.cur AND e.nbr = {avoid}" if avoid else ""
+    free = f"({size} - CASE WHEN e.nbr IS NULL THEN 0 ELSE {share} END)" if avoid else size
+    skip = f"CASE WHEN k >= x_lo THEN x_share ELSE 0 END" if avoid else "0"
+    pick = "d.place >= t.lo AND d.place < t.hi" if weighted else "t.slot = d.place"
     return f"""WITH RECURSIVE {graph}, {slot_cte},
-bag AS (SELECT node, nbr AS first, n_edges, sum(n_edges) OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr) AS upto, sum(n_edges) OVER (PARTITION BY node) AS total
-  FROM adj WHERE split_part(nbr, '__', 1) = 'idx'),
-bounds AS (SELECT node, first, CAST(ceil(CAST(upto - n_edges AS DOUBLE) / CAST(total AS DOUBLE) * 4294967296.0) AS BIGINT) AS lo,
-  CAST(ceil(CAST(upto AS DOUBLE) / CAST(total AS DOUBLE) * 4294967296.0) AS BIGINT) AS hi FROM bag),
+{ranges_sql("bounds", "(SELECT * FROM adj WHERE split_part(nbr, '__', 1) = 'idx')", "n_edges")},
 walks AS ({walks}),
-started AS (SELECT walk_id, root, b.first, d.degree FROM (SELECT *, {start} AS h FROM walks) w JOIN deg d ON w.root = d.node
+started AS (SELECT walk_id, root, b.nbr AS first, d.degree FROM (SELECT *, {start} AS h FROM walks) w JOIN deg d ON w.root = d.node
   LEFT JOIN bounds b ON b.node = w.root AND h >= b.lo AND h < b.hi),
 steps AS (
-  SELECT walk_id, 0 AS draws, root AS cur, degree, CAST(NULL AS VARCHAR) AS prev, root AS last, CASE WHEN first IS NULL OR first = root THEN 1 ELSE 2 END AS n,
-    1 AS step, 0 AS salt, CASE WHEN first IS NULL OR first = root THEN root ELSE first || ' ' || root END AS walk FROM started
+  SELECT walk_id, root AS cur, degree, CAST(NULL AS VARCHAR) AS prev, root AS last, CASE WHEN first IS NULL OR first = root THEN 1 ELSE 2 END AS n,
+    1 AS step, CASE WHEN first IS NULL OR first = root THEN root ELSE first || ' ' || root END AS walk FROM started
   UNION ALL
-  SELECT walk_id, draws + 1, CASE WHEN again THEN cur ELSE nbr END, CASE WHEN again THEN degree ELSE nbr_degree END,
-    CASE WHEN again THEN prev ELSE cur END, CASE WHEN NOT again AND {appear} THEN nbr ELSE last END,
-    n + CASE WHEN NOT again AND {appear} THEN 1 ELSE 0 END, step + CASE WHEN again THEN 0 ELSE 1 END, CASE WHEN again THEN salt + 1 ELSE 0 END,
-    CASE WHEN NOT again AND {appear} THEN walk || ' ' || nbr ELSE walk END
-  FROM (SELECT s.*, t.nbr, n.degree AS nbr_degree, coalesce({redraw}, false) AS again
-    FROM (SELECT s.*, {draw} AS h FROM steps s WHERE n < {length} {f'AND draws < {max_draws}' if max_draws else ''}) s
-    JOIN {slot_table} t ON t.node = s.cur AND {pick} JOIN deg n ON t.nbr = n.node) x)
-SELECT walk_id, arg_max(walk, draws) AS walk FROM steps GROUP BY walk_id"""
+  SELECT walk_id, nbr, nbr_degree, cur, CASE WHEN {appear} THEN nbr ELSE last END, n + CASE WHEN {appear} THEN 1 ELSE 0 END, step + 1,
+    CASE WHEN {appear} THEN walk || ' ' || nbr ELSE walk END
+  FROM (SELECT d.*, t.nbr, n.degree AS nbr_degree
+    FROM (SELECT *, k + {skip} AS place FROM (SELECT s.*, {scaled_sql(draw, free)} AS k {f", {low} AS x_lo, {share} AS x_share" if avoid else ""}
+      FROM steps s {out} WHERE n < {length} {f"AND {free} > 0" if avoid else ""}) s) d
+    JOIN {slot_table} t ON t.node = d.cur AND {pick} JOIN deg n ON t.nbr = n.node) x)
+SELECT walk_id, arg_max(walk, step) AS walk FROM steps GROUP BY walk_id"""
 
 
 _SPREAD = "SELECT node || '#' || rep AS walk_id, node AS root FROM nodes, (SELECT unnest(range(1, 4)) AS rep) WHERE split_part(node, '__', 1) IN ('tn', 'tt')"
@@ -260,12 +273,12 @@ def walks_weighted(spark, sf_dir):
     return _walks(spark, sf_dir, WalkOptions(sentence_length=LENGTH, seed=SEED), weighted=True)
 
 
-@query("walks_no_backtrack", walks_sql(PART_GRAPH, _SPREAD, LENGTH, redraw="t.nbr = s.prev AND s.degree > 1", max_draws=20 * LENGTH))
+@query("walks_no_backtrack", walks_sql(PART_GRAPH, _SPREAD, LENGTH, avoid="CASE WHEN s.degree > 1 THEN s.prev END"))
 def walks_no_backtrack(spark, sf_dir):
     return _walks(spark, sf_dir, WalkOptions(sentence_length=LENGTH, seed=SEED, backtrack="strict", steps_per_checkpoint=5))
 
 
-@query("walks_hidden_nodes", walks_sql(PART_GRAPH, _SPREAD, LENGTH, redraw="t.nbr = s.last", hidden="'tt'", max_draws=20 * LENGTH))
+@query("walks_hidden_nodes", walks_sql(PART_GRAPH, _SPREAD, LENGTH, avoid="s.last", hidden="'tt'"))
 def walks_hidden_nodes(spark, sf_dir):
     opts = WalkOptions(sentence_length=LENGTH, seed=SEED, backtrack="reference", steps_per_checkpoint=8)
     return _walks(spark, sf_dir, opts, types=HIDDEN)
@@ -280,7 +293,7 @@ _ROOTS = "rootlist AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS no,
 # as many sentences as the graph has nodes: some per root, the rest from random roots
 _PLANNED = f"""WITH {_ROOTS}, total AS (SELECT count(*) AS k FROM nodes), per AS (SELECT k // n AS reps, k % n AS needed, n FROM total, (SELECT max(n) AS n FROM rootlist))
 SELECT node || '#' || rep AS walk_id, node AS root FROM rootlist, (SELECT unnest(range(1, reps + 1)) AS rep FROM per)
-UNION ALL SELECT walk_id, node FROM (SELECT 'extra#' || i AS walk_id, ({_hash("'42'", "'extra#' || i", "'extra'", "'0'")} * n) >> 32 AS pick
+UNION ALL SELECT walk_id, node FROM (SELECT 'extra#' || i AS walk_id, {scaled_sql(_hash("'42'", "'extra#' || i", "'extra'", "'0'"), "n")} AS pick
   FROM (SELECT unnest(range(1, needed + 1)) AS i, n FROM per)) e JOIN rootlist r ON r.no = e.pick"""
 
 
@@ -388,7 +401,7 @@ def tripartite_graph(spark, sf_dir):
     "left_right_step",
     f"""WITH {_TRI}, slots AS (SELECT node, nbr, row_number() OVER (PARTITION BY node ORDER BY {_HASH.format('nbr')}, nbr) - 1 AS slot, count(*) OVER (PARTITION BY node) AS degree
   FROM tri WHERE (node_kind = 'cell' AND nbr_kind = 'row') OR (node_kind = 'column' AND nbr_kind = 'cell'))
-SELECT s.node AS walk_id, s.node, s.nbr FROM slots s WHERE slot = ({_hash("'42'", 's.node', "'left'", "'0'")} * degree) >> 32""",
+SELECT s.node AS walk_id, s.node, s.nbr FROM slots s WHERE slot = {scaled_sql(_hash("'42'", 's.node', "'left'", "'0'"), "degree")}""",
 )
 def left_right_step(spark, sf_dir):
     graph = _tripartite(spark, sf_dir)

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from rowloom.catalog.base import GRAPH_COLS, GRAPH_EDGES, PART_GRAPH, query, rounded, table
+from rowloom.catalog.base import GRAPH_COLS, GRAPH_EDGES, PART_GRAPH, cells_sql, graph_sql, query, rounded, table
 from rowloom.catalog.graphs import LENGTH, _SPREAD, part_adjacency, part_nodes, walks_sql
 from rowloom.catalog.matching import _MERGED, record_table, scored_pairs
 from rowloom.catalog.tables import TYPES, part_edges
@@ -18,9 +18,10 @@ from rowloom.operators import edges as E
 from rowloom.operators import graph as G
 from rowloom.operators import match as M
 from rowloom.operators import walks as W
+from rowloom.operators.graph_store import GraphStore
 from rowloom.options import StreamOptions, TrainOptions, WalkOptions
 from rowloom.plans.stream import start
-from rowloom.session import ensure_checkpoint_dir
+from rowloom.session import ensure_checkpoint_dir, freeze
 from rowloom.sources import readers, writers
 from rowloom.streaming.buffer import WindowBuffer
 from rowloom.streaming.metrics import StreamMetrics
@@ -206,6 +207,29 @@ def stream_er(spark, sf_dir):
     return run.finish()
 
 
+_BATCH_EDGES = f"""cells AS (SELECT *, rid_no % 3 AS win FROM ({cells_sql("part", "p_partkey", GRAPH_COLS)})),
+freq AS (SELECT win, value, count(*) AS frequency FROM cells GROUP BY win, value),
+weighted AS (SELECT c.*, 1.0 / (ln(f.frequency) / ln(10.0) + 1.0) AS w, 'tt__' || c.value AS token FROM cells c JOIN freq f ON c.win = f.win AND c.value = f.value),
+edges AS (
+  SELECT ((win * 1000000000 + rid_no) * 100 + col_no) * 2 AS seq, rid AS src, token AS dst, CAST(1.0 AS DOUBLE) AS w_fwd, CAST(w AS DOUBLE) AS w_back FROM weighted
+  UNION ALL SELECT ((win * 1000000000 + rid_no) * 100 + col_no) * 2 + 1, token, 'cid__' || col, CAST(w AS DOUBLE), CAST(1.0 AS DOUBLE) FROM weighted)"""
+
+
+@query(
+    "graph_delta",
+    f"""WITH {graph_sql(_BATCH_EDGES)} SELECT a.node, nbr, {rounded('weight')} AS weight, n_edges, degree FROM adj a JOIN deg d ON a.node = d.node""",
+)
+def graph_delta(spark, sf_dir):
+    """The stored graph after three batches, merged after the second; the SQL makes it anew from all edges."""
+    store = GraphStore(spark, scratch(spark), TYPES, merge_every=2)
+    part = table(spark, sf_dir, "part").withColumn("window", F.col("p_partkey") % 3)
+    cells = C.cells(part, "p_partkey", list(GRAPH_COLS), carry=("window",))
+    edges = freeze(E.edge_list(cells, Smoothing.parse("log"), window="window"))
+    for batch in range(3):
+        store.add(edges.filter(F.col("edge_seq.window") == batch), batch)
+    return store.adjacency().join(store.degrees(), "node")
+
+
 @query("stream_metrics")
 def stream_metrics(spark, sf_dir):
     path = scratch(spark)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.functions.hashing import TWO_60, scaled
 from rowloom.functions.text import node_name, node_prefix
 from rowloom.options import NodeTypes
 from rowloom.operators.numbering import GROUP_CHUNK, group_totals, number_in_groups
 
-#: Exact sums of weights: below 10^16 each; a positive weight below 10^-12 counts as 10^-12.
+#: Exact sums of weights: below 10^16 each.
 WEIGHT = "decimal(28,12)"
-_LEAST = "0.000000000001"
 
 
 def _flat_tokens(node, prefixes: list[str]):
@@ -67,28 +67,33 @@ def node_catalog(edges: DataFrame, types: NodeTypes, flatten=()) -> DataFrame:
     )
 
 
+def both_ways(flat: DataFrame, *carry: str) -> DataFrame:
+    """``edge_seq, way, node, nbr, weight`` of both directions of each edge; a missing way back is left out."""
+    ends = (("src", "dst", "w_fwd"), ("dst", "src", "w_back"))
+    ways = [
+        F.struct("edge_seq", F.lit(way).alias("way"), F.col(a).alias("node"), F.col(b).alias("nbr"), F.col(w).alias("weight"), *carry)
+        for way, (a, b, w) in enumerate(ends)
+    ]
+    return flat.select(F.inline(F.array(*ways))).filter(F.col("weight").isNotNull())
+
+
 def adjacency(flat: DataFrame) -> DataFrame:
     """``node, nbr, weight, n_edges`` with both directions; the last edge of a pair sets the weight."""
-    both = flat.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("edge_seq"), F.lit(0).alias("way"), F.col("src").alias("node"), F.col("dst").alias("nbr"),
-                         F.col("w_fwd").alias("weight")),
-                F.struct(F.col("edge_seq"), F.lit(1).alias("way"), F.col("dst").alias("node"), F.col("src").alias("nbr"),
-                         F.col("w_back").alias("weight")),
-            )
-        )
-    ).filter(F.col("weight").isNotNull())
-    return both.groupBy("node", "nbr").agg(
+    return both_ways(flat).groupBy("node", "nbr").agg(
         F.max_by("weight", F.struct("edge_seq", "way")).alias("weight"), F.count(F.lit(1)).alias("n_edges")
     )
 
 
-def is_uniform(edges: DataFrame) -> DataFrame:
-    """One row: do all edges weigh the same in both directions?"""
+def same_both_ways():
+    """Aggregate: do all edges weigh the same in both directions?"""
     weighted = F.col("w_fwd").isNotNull()
     same = F.when(weighted, F.coalesce(F.col("w_fwd") == F.col("w_back"), F.lit(False))).otherwise(True)
-    return edges.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("is_uniform"))
+    return F.coalesce(F.bool_and(same), F.lit(True))
+
+
+def is_uniform(edges: DataFrame) -> DataFrame:
+    """One row: do all edges weigh the same in both directions?"""
+    return edges.agg(same_both_ways().alias("is_uniform"))
 
 
 def roots(nodes: DataFrame) -> DataFrame:
@@ -127,59 +132,62 @@ def first_bag(adj: DataFrame, types: NodeTypes) -> DataFrame:
     )
 
 
-def uniform_slots(adj: DataFrame, chunk: int = GROUP_CHUNK) -> DataFrame:
+def uniform_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, far: bool = True) -> DataFrame:
     """``node, slot, nbr, degree, nbr_degree``: the neighbours of a node, numbered from 0.
 
-    A uniform draw is then an equi-join on (node, slot), which spreads a hub over its slots.
+    A uniform draw is then an equi-join on (node, slot), which spreads a hub over its slots. Without
+    ``far`` the degrees of the neighbours are left out.
     """
     degree = group_totals(adj, "node").select("node", F.col("group_size").alias("degree"))
     sized = adj.select("node", "nbr").join(degree, "node")
     numbered = number_in_groups(sized, "node", "nbr", "degree", chunk=chunk)
+    if not far:
+        return numbered.select("node", F.col("position").alias("slot"), "nbr", "degree")
     nbr_degree = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("nbr_degree"))
     return numbered.join(nbr_degree, "nbr", "left").select(
         "node", F.col("position").alias("slot"), "nbr", "degree", "nbr_degree"
     )
 
 
-def weighted_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, weight: str = "weight") -> DataFrame:
+def whole_weights(adj: DataFrame, weight: str = "weight") -> DataFrame:
+    """``node, nbr, w, degree, total``: positive weights as whole numbers relative to the node's largest one.
+
+    A node's largest weight becomes 2^(61 - bits of its degree), so its total is at most 2^61, and a weight
+    that would become 0 is 1. Sums are then exact, and a neighbour with a share of 2^-40 keeps its draws.
+    """
+    exact = adj.filter(F.col(weight) > 0).select("node", "nbr", F.col(weight).cast("double").alias("weight"))
+    sizes = exact.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("largest"))
+    unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), 61 - F.length(F.bin(F.col("degree")))).cast("double")
+    w = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("weight") / F.col("largest") * unit))
+    sized = exact.join(sizes, "node").select("node", "nbr", w.alias("w"), "degree")
+    return sized.join(sized.groupBy("node").agg(F.sum("w").alias("total")), "node")
+
+
+def weighted_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, weight: str = "weight", far: bool = True) -> DataFrame:
     """``node, slot, lo, hi, nbr, degree, nbr_degree``: draws by weight in constant expected time.
 
-    The 32-bit range is divided among the neighbours by weight (``lo <= draw < hi``), and also into
+    The 60-bit range is divided among the neighbours by weight (``lo <= draw < hi``), and also into
     ``degree`` equal slots. A neighbour is listed in each slot that its range touches, fewer than
     two rows per neighbour on average, so a draw is an equi-join on (node, slot) and a filter.
     """
-    w = F.greatest(F.col(weight).cast(WEIGHT), F.lit(_LEAST).cast(WEIGHT))
-    exact = adj.filter(F.col(weight) > 0).select("node", "nbr", w.alias("w"))
-    totals = group_totals(exact, "node", F.col("w"))
-    sized = exact.join(totals, "node")
-    numbered = number_in_groups(sized, "node", "nbr", "group_size", weight="w", chunk=chunk)
-    total = F.col("group_weight").cast("double")
-    before = F.col("weight_before").cast("double")
-    after = (F.col("weight_before") + F.col("w")).cast("double")
-    degree = F.col("group_size")
-    full = F.lit(4294967296.0)
+    numbered = number_in_groups(whole_weights(adj, weight), "node", "nbr", "degree", weight="w", chunk=chunk)
+    total, full = F.col("total").cast("double"), F.lit(float(TWO_60))
+    bound = lambda upto: F.ceil(upto.cast("double") / total * full).cast("bigint")
     ranged = numbered.select(
-        "node",
-        "nbr",
-        degree.alias("degree"),
-        F.ceil(before / total * full).cast("bigint").alias("lo"),
-        F.ceil(after / total * full).cast("bigint").alias("hi"),
+        "node", "nbr", "degree", bound(F.col("weight_before")).alias("lo"), bound(F.col("weight_before") + F.col("w")).alias("hi"),
     ).filter("lo < hi")
-    slots = F.sequence(
-        F.shiftright(F.col("lo") * F.col("degree"), 32), F.shiftright((F.col("hi") - 1) * F.col("degree"), 32)
-    )
-    nbr_degree = totals.select(F.col("node").alias("nbr"), F.col("group_size").alias("nbr_degree"))
-    return (
-        ranged.select("node", F.explode(slots).alias("slot"), "lo", "hi", "nbr", "degree")
-        .join(nbr_degree, "nbr", "left")
-        .select("node", "slot", "lo", "hi", "nbr", "degree", "nbr_degree")
-    )
+    slots = F.sequence(scaled(F.col("lo"), F.col("degree")), scaled(F.col("hi") - 1, F.col("degree")))
+    spread = ranged.select("node", F.explode(slots).alias("slot"), "lo", "hi", "nbr", "degree")
+    if not far:
+        return spread
+    nbr_degree = adj.filter(F.col(weight) > 0).groupBy(F.col("node").alias("nbr")).agg(F.count(F.lit(1)).alias("nbr_degree"))
+    return spread.join(nbr_degree, "nbr", "left").select("node", "slot", "lo", "hi", "nbr", "degree", "nbr_degree")
 
 
 def slot_probability(slots: DataFrame) -> DataFrame:
     """The neighbour probabilities that a weighted draw table stands for."""
     return slots.select("node", "nbr", "lo", "hi").distinct().select(
-        "node", "nbr", ((F.col("hi") - F.col("lo")) / F.lit(4294967296.0)).alias("probability")
+        "node", "nbr", ((F.col("hi") - F.col("lo")) / F.lit(float(TWO_60))).alias("probability")
     )
 
 

@@ -54,7 +54,7 @@ def group_totals(df: DataFrame, group: str, weight: Column | None = None) -> Dat
 def number_in_groups(
     df: DataFrame, group: str, order: str, size: str, weight: str | None = None, chunk: int = GROUP_CHUNK
 ) -> DataFrame:
-    """Add ``position`` (0-based, within ``group``) and, for a weight, ``weight_before``.
+    """Add ``position`` (0-based, within ``group``) and, for a weight in whole numbers, ``weight_before``.
 
     ``size`` names a column with the group size. Rows are ordered by (hash of ``order``, ``order``), and
     groups of more than ``chunk`` rows are cut into ranges of that hash, so that one hot group is
@@ -87,7 +87,6 @@ def number_in_groups(
         "position", F.col("_pos") + F.coalesce("_n_before", F.lit(0).cast("bigint"))
     )
     if weight is not None:
-        # both parts in one type, so that their sum keeps all digits
-        exact = lambda c: F.coalesce(F.col(c).cast("decimal(36,12)"), F.lit(0).cast("decimal(36,12)"))
-        joined = joined.withColumn("weight_before", exact("_wpos") + exact("_w_before")).drop("_wpos", "_w_before")
+        none = F.lit(0).cast("bigint")
+        joined = joined.withColumn("weight_before", F.coalesce("_wpos", none) + F.coalesce("_w_before", none)).drop("_wpos", "_w_before")
     return joined.drop("_hash", "_bucket", "_pos", "_n_before")

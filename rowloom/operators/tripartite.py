@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.functions.hashing import hash32, scaled
+from rowloom.functions.hashing import hash60, scaled
 from rowloom.functions.smoothing import Smoothing
 from rowloom.functions.text import canonical
 from rowloom.operators.graph import uniform_slots
@@ -73,6 +73,6 @@ def left_right_step(walkers: DataFrame, graph: DataFrame, direction: str, seed:
     """Move walkers (``walk_id, node``) one step; those of a kind that cannot go there drop out."""
     slots = step_slots(graph, direction)
     sizes = slots.filter("slot = 0").select("node", "degree")
-    draw = hash32(seed, F.col("walk_id"), direction, 0)
+    draw = hash60(seed, F.col("walk_id"), direction, 0)
     keyed = walkers.join(sizes, "node").withColumn("slot", scaled(draw, F.col("degree")))
     return keyed.join(slots.select("node", "slot", "nbr"), ["node", "slot"]).select("walk_id", "node", "nbr")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.functions.hashing import hash32, normal, scaled
+from rowloom.functions.hashing import TWO_60, hash32, hash60, normal, scaled
 from rowloom.functions.text import node_name
 from rowloom.operators.graph import first_bag, uniform_slots, weighted_slots
 from rowloom.operators.numbering import GROUP_CHUNK, dense_index
@@ -17,6 +17,8 @@ from rowloom.session import freeze, shuffle_partitions
 
 # |offset| of a numeric replacement: a Box-Muller number from 32-bit draws is below 6.7
 _NEAR = 7
+# steps per written node after which a walk among hidden nodes stops the job
+_LONGEST = 1000
 
 
 @dataclass(frozen=True)
@@ -53,9 +55,7 @@ def walk_tables(
     if keep:
         parts = shuffle_partitions(adj.sparkSession)
         slots = freeze(slots.repartition(parts, "node", "slot").sortWithinPartitions("node", "slot"))
-    firsts = first_bag(adj, types).select("node", F.col("first").alias("nbr"), "copies")
-    starts = weighted_slots(firsts, chunk, weight="copies").select("node", "slot", "lo", "hi", F.col("nbr").alias("first"))
-    bag = firsts.groupBy("node").agg(F.count(F.lit(1)).alias("bag_degree"))
+    starts, bag = start_tables(first_bag(adj, types), chunk)
     if similar is not None:
         stays = weighted_slots(similar.select("node", "nbr", "probability"), chunk, weight="probability")
         other = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("other_degree"))
@@ -70,6 +70,13 @@ def walk_tables(
     return WalkTables(slots, starts, degree, bag, weighted, similar)
 
 
+def start_tables(firsts: DataFrame, chunk: int = GROUP_CHUNK) -> tuple[DataFrame, DataFrame]:
+    """Draws of the node that a walk begins with, and from how many of them each node chooses."""
+    firsts = firsts.select("node", F.col("first").alias("nbr"), "copies")
+    starts = weighted_slots(firsts, chunk, weight="copies", far=False).select("node", "slot", "lo", "hi", F.col("nbr").alias("first"))
+    return starts, firsts.groupBy("node").agg(F.count(F.lit(1)).alias("bag_degree"))
+
+
 def numeric_neighbourhood(numeric_nodes: DataFrame, degree: DataFrame) -> DataFrame:
     """Per numeric node the offsets -7..7 at which another such node exists, with its degree."""
     values = numeric_nodes.select("node", node_name(F.col("node")).try_cast("bigint").alias("v")).filter("v is not null")
@@ -101,7 +108,7 @@ def remainder_walks(root_nodes: DataFrame, needed: int, seed: int) -> DataFrame:
         spark.range(1, needed + 1)
         .select(walk_id.alias("walk_id"), F.col("id").cast("int").alias("rep"))
         .join(F.broadcast(n_roots), F.lit(True))
-        .withColumn("root_no", scaled(hash32(seed, F.col("walk_id"), "extra", 0), F.col("n_roots")))
+        .withColumn("root_no", scaled(hash60(seed, F.col("walk_id"), "extra", 0), F.col("n_roots")))
     )
     return draws.join(indexed, "root_no").select("walk_id", F.col("node").alias("root"), "rep")
 
@@ -132,7 +139,7 @@ def _start(walks: DataFrame, tables: WalkTables, seed: int) -> DataFrame:
     per_root = walks.join(tables.degree.withColumnRenamed("node", "root"), "root").join(
         tables.bag.withColumnRenamed("node", "root"), "root", "left"
     )
-    draw = hash32(seed, F.col("walk_id"), "start", 0)
+    draw = hash60(seed, F.col("walk_id"), "start", 0)
     keyed = per_root.withColumn("_h", draw).withColumn(
         "_slot", F.coalesce(scaled(F.col("_h"), F.col("bag_degree")), F.lit(-1).cast("bigint"))
     )
@@ -151,7 +158,6 @@ def _start(walks: DataFrame, tables: WalkTables, seed: int) -> DataFrame:
         F.col("root").alias("last"),
         F.when(lone, 1).otherwise(2).alias("n"),
         F.lit(1).alias("step"),
-        F.lit(0).alias("salt"),
         F.when(lone, F.array("root")).otherwise(F.array("first", "root")).alias("seg"),
     )
 
@@ -160,33 +166,63 @@ def _number_replacement(seed: int) -> tuple[Column, Column]:
     """Replacement of a numeric node by a near one, or null: (node, degree)."""
     hits = []
     for attempt in range(3):
-        draws = [hash32(seed, F.col("walk_id"), F.col("step"), F.col("salt"), f"n{attempt}{part}") for part in "ab"]
+        draws = [hash32(seed, F.col("walk_id"), F.col("step"), f"n{attempt}{part}") for part in "ab"]
         offset = F.rint(normal(*draws)).cast("int")
         hits.append(F.get(F.filter("near", lambda e, o=offset: e["offset"] == o), F.lit(0)))
     hit = F.coalesce(*hits)
     return hit["other"], hit["degree"]
 
 
-def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOptions) -> DataFrame:
+def _places(tables: WalkTables) -> DataFrame:
+    """``node, nbr, x_lo, x_hi``: which draws of a node lead to a neighbour, laid out by the pair."""
+    slots = tables.slots
+    if tables.weighted:
+        places = slots.select("node", "nbr", F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi")).dropDuplicates(["node", "nbr"])
+    else:
+        places = slots.select("node", "nbr", F.col("slot").alias("x_lo"), (F.col("slot") + 1).alias("x_hi"))
+    places = places.withColumnsRenamed({"node": "x_node", "nbr": "x_nbr"})
+    parts = shuffle_partitions(slots.sparkSession)
+    return freeze(places.repartition(parts, "x_node", "x_nbr").sortWithinPartitions("x_node", "x_nbr"))
+
+
+def _drawn(state: DataFrame, tables: WalkTables, opts: WalkOptions, places: DataFrame | None) -> DataFrame:
+    """``state`` with the neighbour drawn. One draw suffices, as the share of a neighbour that must not be
+    drawn is taken out of the range first; ``nbr`` is null where no other neighbour is left."""
     # keys that cannot be null spare a second evaluation of the hash in a null filter
     never = F.lit(-1).cast("bigint")
-    draw = F.coalesce(hash32(opts.seed, F.col("walk_id"), F.col("step"), F.col("salt")), never)
-    keyed = state.withColumn("_h", draw).withColumn("_slot", F.coalesce(scaled(F.col("_h"), F.col("degree")), never))
+    keyed = state.withColumn("_h", F.coalesce(hash60(opts.seed, F.col("walk_id"), F.col("step")), never))
+    size = F.lit(TWO_60) if tables.weighted else F.col("degree")
+    if places is None:
+        keyed = keyed if tables.weighted else keyed.withColumn("_h", scaled(F.col("_h"), size))
+        keyed = keyed.withColumn("_ends", F.lit(False))
+    else:
+        avoided = F.when(F.col("degree") > 1, F.col("prev")) if opts.redraw == "strict" else F.col("last")
+        keyed = keyed.withColumn("_x", avoided).join(places, (F.col("cur") == F.col("x_node")) & (F.col("_x") == F.col("x_nbr")), "left")
+        share = F.coalesce(F.col("x_hi") - F.col("x_lo"), F.lit(0))
+        place = scaled(F.col("_h"), size - share)
+        place = place + F.when(place >= F.col("x_lo"), share).otherwise(0)
+        keyed = keyed.withColumn("_ends", F.coalesce(share == size, F.lit(False))).withColumn("_h", F.when(~F.col("_ends"), place))
+        keyed = keyed.drop("x_node", "x_nbr", "x_lo", "x_hi")
+    slot = scaled(F.col("_h"), F.col("degree")) if tables.weighted else F.col("_h")
+    keyed = keyed.withColumn("_slot", F.coalesce(slot, never))
     slots = tables.slots
     on = (keyed.cur == slots.node) & (keyed._slot == slots.slot)
     if tables.weighted:
         on = on & (keyed._h >= slots.lo) & (keyed._h < slots.hi)
     # a walker that finds no neighbour stops the job, so that no walk is lost in silence
-    drawn = keyed.join(slots, on, "left").withColumn(
-        "nbr", F.coalesce("nbr", F.raise_error(F.concat(F.lit("walk at a node without neighbours: "), F.col("cur")))))
+    lost = F.raise_error(F.concat(F.lit("walk at a node without neighbours: "), F.col("cur")))
+    return keyed.join(slots, on, "left").withColumn("nbr", F.coalesce("nbr", F.when(~F.col("_ends"), lost)))
+
+
+def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOptions, places: DataFrame | None) -> DataFrame:
+    drawn = _drawn(state, tables, opts, places)
     if opts.replace_numbers:
         other, other_degree = _number_replacement(opts.seed)
-        drawn = (
-            drawn.withColumn("_other", other)
-            .withColumn("_other_degree", other_degree)
-            .withColumn("nbr_degree", F.coalesce("_other_degree", "nbr_degree"))
-            .withColumn("nbr", F.coalesce("_other", "nbr"))
-        )
+        drawn = drawn.withColumn("_other", other).withColumn("_other_degree", other_degree)
+        if places is not None:  # what must not be drawn replaces nothing either
+            other = F.when(F.coalesce(F.col("_other") != F.col("_x"), F.lit(True)), F.col("_other"))
+            drawn = drawn.withColumn("_other", other).withColumn("_other_degree", F.when(F.col("_other").isNotNull(), F.col("_other_degree")))
+        drawn = drawn.withColumn("nbr_degree", F.coalesce("_other_degree", "nbr_degree")).withColumn("nbr", F.coalesce("_other", "nbr"))
     drawn = drawn.withColumn("written", F.col("nbr")).select(
         *state.columns, "nbr", "nbr_degree", "written"
     )
@@ -194,26 +230,21 @@ def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOpti
         drawn = _replace_strings(drawn, tables, opts)
 
     active = F.col("n") < opts.sentence_length
-    redrawn = F.lit(False)
-    if opts.redraw == "reference":
-        redrawn = F.col("nbr") == F.col("last")
-    elif opts.redraw == "strict":
-        redrawn = (F.col("nbr") == F.col("prev")) & (F.col("degree") > 1)
-    redrawn = F.coalesce(redrawn, F.lit(False))
     target, target_degree = F.col("nbr"), F.col("nbr_degree")
     if opts.replace_strings and tables.similar is not None and opts.follow_replacement:
         target, target_degree = F.col("written"), F.coalesce("other_degree", "nbr_degree")
-    moves = active & ~redrawn
+    moves = active & F.col("nbr").isNotNull()
     writes = moves & types.flag(target, "is_appear")
+    # a walk whose node has no neighbour but the one to avoid ends here
+    ended = active & F.col("nbr").isNull()
     return drawn.select(
         "walk_id",
         F.when(moves, target).otherwise(F.col("cur")).alias("cur"),
         F.when(moves, target_degree).otherwise(F.col("degree")).alias("degree"),
         F.when(moves, F.col("cur")).otherwise(F.col("prev")).alias("prev"),
         F.when(writes, F.col("written")).otherwise(F.col("last")).alias("last"),
-        (F.col("n") + writes.cast("int")).alias("n"),
+        F.when(ended, opts.sentence_length).otherwise(F.col("n") + writes.cast("int")).alias("n"),
         (F.col("step") + moves.cast("int")).alias("step"),
-        F.when(moves, 0).otherwise(F.col("salt") + (active & redrawn).cast("int")).alias("salt"),
         F.when(writes, F.array_append("seg", F.col("written"))).otherwise(F.col("seg")).alias("seg"),
     )
 
@@ -222,7 +253,7 @@ def _replace_strings(drawn: DataFrame, tables: WalkTables, opts: WalkOptions) ->
     """Draw the token written in place of the node reached; the node itself where none is similar."""
     # every node has its slot 0, once per neighbour that reaches into it
     sizes = tables.similar.filter("slot = 0 and lo = 0").select(F.col("node").alias("nbr"), "similar_degree")
-    draw = hash32(opts.seed, F.col("walk_id"), F.col("step"), F.col("salt"), "s")
+    draw = hash60(opts.seed, F.col("walk_id"), F.col("step"), "s")
     keyed = drawn.join(sizes, "nbr", "left").withColumn("_h", draw).withColumn(
         "_slot", F.coalesce(scaled(F.col("_h"), F.col("similar_degree")), F.lit(-1).cast("bigint"))
     )
@@ -244,29 +275,35 @@ def random_walks(walks: DataFrame, tables: WalkTables, types: NodeTypes, opts: W
     """
     length = opts.sentence_length
     state = _start(walks.select("walk_id", "root"), tables, opts.seed)
-    plain = opts.redraw is None and all(t.is_appear for t in types.types)
-    if plain and length - 1 <= opts.steps_per_checkpoint:
+    all_written = all(t.is_appear for t in types.types)
+    replaced = opts.replace_numbers or opts.replace_strings
+    # where every node is written as it is, the node written last is the one the walk stands at
+    avoids = opts.redraw == "strict" or (opts.redraw == "reference" and (replaced or not all_written))
+    places = _places(tables) if avoids else None
+    if all_written and length - 1 <= opts.steps_per_checkpoint:
         for _ in range(length - 1):
-            state = _step(state, tables, types, opts)
+            state = _step(state, tables, types, opts, places)
         return state.select("walk_id", F.col("seg").alias("walk"))
 
-    max_draws = opts.max_draws_per_token * length
     segments, done, number = [], 0, 0
     state = freeze(state)
     while True:
-        open_walks = state.filter(F.col("n") < length)
-        steps = min(opts.steps_per_checkpoint, (length - 1 if plain else max_draws) - done)
         segments.append(state.select("walk_id", F.lit(number).alias("number"), "seg").filter(F.size("seg") > 0))
-        if steps <= 0 or open_walks.isEmpty():
+        open_walks = state.filter(F.col("n") < length)
+        shortest = open_walks.agg(F.min("n")).first()[0]
+        if shortest is None:
             break
+        if done > _LONGEST * length:
+            raise RuntimeError(f"a walk at {open_walks.first().cur} meets no node that is written")
+        steps = min(opts.steps_per_checkpoint, (length - shortest) * (1 if all_written else 2))
         state = open_walks.withColumn("seg", F.array().cast("array<string>"))
         for _ in range(steps):
-            state = _step(state, tables, types, opts)
+            state = _step(state, tables, types, opts, places)
         state = freeze(state)
         done += steps
         number += 1
     pieces = reduce(DataFrame.unionByName, segments)
-    # a walk has at most sentence_length + 1 pieces
+    # a walk writes something in each piece, so it has at most sentence_length + 1 of them
     ordered = F.array_sort(F.collect_list(F.struct("number", "seg")))
     return pieces.groupBy("walk_id").agg(F.flatten(F.transform(ordered, lambda p: p["seg"])).alias("walk"))
 

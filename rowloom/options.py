@@ -91,8 +91,8 @@ class GraphOptions:
 
 @dataclass(frozen=True)
 class WalkOptions:
-    """``backtrack`` is True, ``"reference"`` (redraw the node written last) or ``"strict"``
-    (redraw the node come from, unless it is the only neighbour)."""
+    """``backtrack`` is True, ``"reference"`` (never draw the node written last; a walk without another
+    neighbour ends) or ``"strict"`` (never draw the node come from, unless it is the only neighbour)."""
 
     sentence_length: int = 60
     n_sentences: int | None = None
@@ -101,7 +101,6 @@ class WalkOptions:
     backtrack: bool | str = True
     sampler: str = "auto"
     seed: int = 42
-    max_draws_per_token: int = 20
     steps_per_checkpoint: int = 8
     replace_strings: bool = False
     replace_numbers: bool = False

@@ -89,6 +89,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def stored_versions(spark: SparkSession, folder: str) -> list[int]:
+    """The versions for which ``folder`` has a subfolder ``version=<n>``, in rising order."""
+    if not path_exists(spark, folder):
+        return []
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
+
+
 def read_walks(spark: SparkSession, path: str) -> DataFrame:
     """One sentence per line."""
     return spark.read.text(path).filter("value <> ''").select(

@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from rowloom.operators import embed
 from rowloom.operators.cells import cells
 from rowloom.operators.edges import edge_list
-from rowloom.operators.graph import adjacency, flattened_edges, is_uniform, node_catalog, roots
+from rowloom.operators.graph import node_catalog, roots
+from rowloom.operators.graph_store import GraphStore
 from rowloom.operators.knn import knn, mixed_neighbours, record_vectors
 from rowloom.operators.match import flat_list, from_source, merge_lists, symmetric
-from rowloom.operators.walks import random_walks, spread_walks, walk_tables
+from rowloom.operators.walks import random_walks, spread_walks
 from rowloom.options import GraphOptions, StreamOptions, TrainOptions, WalkOptions
 from rowloom.session import freeze
-from rowloom.sources.readers import path_exists
+from rowloom.sources.readers import stored_versions
 from rowloom.sources.writers import latest_list, upsert_list, write_list
 
 
 class StreamMatcher:
     """Handler for :class:`~rowloom.streaming.buffer.WindowBuffer`.
 
-    For the due windows of a micro-batch: edges with frequencies per window are appended to the
-    graph, walks start at the root nodes touched, the model is trained on from its last version,
+    For the due windows of a micro-batch: edges with frequencies per window are added to the stored
+    graph (:class:`~rowloom.operators.graph_store.GraphStore`), walks start at the root nodes touched, the model is trained on from its last version,
     and the similarity lists of the records in the windows, and of their neighbours, are renewed.
     All steps are set-based, also over several windows, and stored by version.
     """
@@ -43,31 +44,20 @@ class StreamMatcher:
         self.delta_tokens = delta_tokens
         self.first_epochs = first_epochs
         self.later_epochs = later_epochs
+        self.store = GraphStore(spark, f"{state_path}/graph", graph.node_types, graph.flatten, walk.sampler)
 
     # --- stored tables ---
 
-    def edges(self, before: int | None = None) -> DataFrame | None:
-        """All edges so far; of a record seen in several windows only those of the last one."""
-        if not path_exists(self.spark, f"{self.path}/edges"):
-            return None
-        stored = self.spark.read.option("basePath", f"{self.path}/edges").parquet(f"{self.path}/edges")
-        return stored if before is None else stored.filter(F.col("version") < before)
+    def edges(self) -> DataFrame:
+        """All edges so far, with the version that they came in."""
+        return self.spark.read.option("basePath", f"{self.path}/edges").parquet(f"{self.path}/edges")
 
     def model(self, before: int | None = None) -> DataFrame | None:
         """The newest model version."""
-        versions = self._versions("model")
+        versions = stored_versions(self.spark, f"{self.path}/model")
         usable = [v for v in versions if before is None or v < before]
         return self.spark.read.parquet(f"{self.path}/model/version={max(usable)}") if usable else None
 
-    def _versions(self, name: str) -> list[int]:
-        folder = f"{self.path}/{name}"
-        if not path_exists(self.spark, folder):
-            return []
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        listed = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(hadoop_path)
-        names = [s.getPath().getName() for s in listed]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-
     def similarity(self) -> DataFrame:
         """``id, word, score, rank`` of the current lists."""
         return flat_list(latest_list(self.spark, f"{self.path}/lists"))
@@ -78,39 +68,25 @@ class StreamMatcher:
     # --- steps ---
 
     def __call__(self, windows: DataFrame, version: int) -> None:
-        edges, fresh = self._extend_graph(windows, version)
-        walks = self._walks(edges, fresh)
-        vectors = self._train(walks, version)
+        fresh = self._extend_graph(windows, version)
+        vectors = self._train(self._walks(fresh), version)
         targets = windows.select(F.col("rid").alias("key")).distinct()
         self._match(vectors, targets, version)
 
-    def _extend_graph(self, windows: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    def _extend_graph(self, windows: DataFrame, version: int) -> DataFrame:
+        """Store the edges of the windows and add them to the graph; returns them."""
         data = self.cols or [c for c in windows.columns if c not in ("rid", "rid_no", "seq", "window", "version", "timestamp")]
         table = cells(windows, cols=data, carry=("window",))
         target = f"{self.path}/edges/version={version}"
         edge_list(table, self.options.smoothing, window="window").write.mode("overwrite").parquet(target)
         fresh = self.spark.read.parquet(target)
-        earlier = self.edges(before=version)
-        merged = fresh if earlier is None else earlier.drop("version").unionByName(fresh)
-        if self.options.update_frequency:
-            # windows overlap: a record's edges count once, with the weights of its last window
-            place = [F.col(f"edge_seq.{f}").alias(f) for f in ("rid", "col", "pos", "sub", "side")]
-            merged = (
-                merged.select("*", *place)
-                .groupBy("rid", "col", "pos", "sub", "side", "src", "dst")
-                .agg(F.max_by(F.struct("edge_seq", "w_fwd", "w_back"), "edge_seq").alias("e"))
-                .select("e.edge_seq", "src", "dst", "e.w_fwd", "e.w_back")
-            )
-        return merged, fresh
-
-    def _walks(self, edges: DataFrame, fresh: DataFrame) -> DataFrame:
+        self.store.add(fresh, version)
+        return fresh
+
+    def _walks(self, fresh: DataFrame) -> DataFrame:
         types = self.graph.node_types
-        flat = flattened_edges(edges, types, self.graph.flatten, directed_back_edge=True)
-        weighted = self.walk.sampler == "weighted" or (
-            self.walk.sampler == "auto" and not is_uniform(edges).first().is_uniform
-        )
-        tables = walk_tables(adjacency(flat), types, weighted)
-        delta = roots(node_catalog(fresh, types, self.graph.flatten if self.delta_tokens else ()))
+        delta = freeze(roots(node_catalog(fresh, types, self.graph.flatten if self.delta_tokens else ())))
+        tables = self.store.walk_tables(delta)
         return freeze(random_walks(spread_walks(delta, self.options.walks_per_node), tables, types, self.walk))
 
     def _train(self, walks: DataFrame, version: int) -> DataFrame:

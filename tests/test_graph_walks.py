@@ -3,12 +3,14 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from rowloom.functions.hashing import TWO_60, scaled
 from rowloom.functions.smoothing import Smoothing
 from rowloom.operators import cells as C
 from rowloom.operators import edges as E
 from rowloom.operators import graph as G
 from rowloom.operators import similar as R
 from rowloom.operators import walks as W
+from rowloom.operators.graph_store import GraphStore
 from rowloom.options import NodeTypes, WalkOptions
 
 TYPES = NodeTypes.parse()
@@ -80,7 +82,7 @@ def test_weighted_slots_give_probabilities(table_graph, chunk):
     cover = defaultdict(int)
     for r in slots.select("node", "lo", "hi").distinct().collect():
         cover[r.node] += r.hi - r.lo
-    assert set(cover.values()) == {2**32}
+    assert set(cover.values()) == {2**60}
 
 
 def check_walks(walks, adj, length, hidden=()):
@@ -138,7 +140,7 @@ def test_hidden_nodes_are_crossed_not_written(table_graph):
 def test_endless_walk_ends(spark):
     types = NodeTypes.parse(("2$__tt", "5$__idx"))
     adj = G.adjacency(G.flattened_edges(edges_of(spark, ("tt__a", "idx__0")), types))
-    opts = WalkOptions(sentence_length=5, backtrack=False, max_draws_per_token=3)
+    opts = WalkOptions(sentence_length=5, backtrack=False)
     walks = W.random_walks(W.spread_walks(spark.createDataFrame([("tt__a",)], "node string"), 1), W.walk_tables(adj, TYPES), types, opts)
     assert walks.first().walk == ["idx__0", "tt__a", "idx__0"]
 
@@ -194,3 +196,73 @@ def test_a_walk_into_a_dead_end_stops_the_job(spark):
     seeds = W.spread_walks(adj.select("node"), 1)
     with pytest.raises(Exception, match="without neighbours"):
         W.random_walks(seeds, W.walk_tables(adj, TYPES), TYPES, WalkOptions(sentence_length=4)).collect()
+
+
+def test_wide_draws(spark):
+    pairs = [(0, 5), (TWO_60 - 1, 1), (TWO_60 - 1, TWO_60), (TWO_60 - 1, 3_000_000_001), (123456789 << 30, 7 << 33), (1 << 59, 2), (987654321987654321, 1 << 60)]
+    got = spark.createDataFrame(pairs, "h long, n long").select("h", "n", scaled(F.col("h"), F.col("n")).alias("s")).collect()
+    assert all(r.s == r.h * r.n >> 60 for r in got)
+
+
+def test_a_tiny_share_keeps_its_draws(spark):
+    adj = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0**-40), ("a", "d", 3e-300)], "node string, nbr string, weight double")
+    shares = {r.nbr: r.probability for r in G.slot_probability(G.weighted_slots(adj)).collect()}
+    assert abs(shares["c"] * 2**40 - 1) < 1e-3 and 0 < shares["d"] < 2**-50
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_the_node_come_from_is_never_drawn(spark, weighted):
+    """The other neighbours keep their shares, and one draw is enough."""
+    links = [("tt__hub", f"tt__n{i}", w) for i, w in enumerate((1000.0, 1.0, 2.0, 3.0))] + [(f"tt__n{i}", "tt__hub", 1.0) for i in range(4)]
+    adj = spark.createDataFrame([(a, b, w, 1) for a, b, w in links], "node string, nbr string, weight double, n_edges long")
+    types = NodeTypes.parse(("3$__tt",))
+    start = spark.range(3000).select(F.lit("tt__n0").alias("root"), F.col("id").cast("string").alias("walk_id"))
+    walks = W.random_walks(start, W.walk_tables(adj, types, weighted), types, WalkOptions(sentence_length=4, backtrack="strict")).collect()
+    assert all(r.walk[:2] + r.walk[3:] == ["tt__n0", "tt__hub", "tt__hub"] for r in walks)
+    shares = Counter(r.walk[2][4:] for r in walks)
+    want = {"n1": 1 / 6, "n2": 2 / 6, "n3": 3 / 6} if weighted else {f"n{i}": 1 / 3 for i in (1, 2, 3)}
+    assert set(shares) == set(want) and all(abs(shares[n] / 3000 - p) < 0.05 for n, p in want.items())
+
+
+def grown(spark, path, batches, **options):
+    store = GraphStore(spark, path, TYPES, **options)
+    for version, edges in batches:
+        store.add(edges, version)
+    return store
+
+
+@pytest.mark.parametrize("smoothing,merge_every", [("log", 2), ("no", 8)])
+def test_a_stored_graph_equals_one_made_at_once(spark, tmp_path, rows, smoothing, merge_every):
+    """Windows overlap, a version is added twice, and merged versions are forgotten."""
+    rid = [(w, w * 6 + i, f"name{(w * 6 + i) % 4} x{(w * 6 + i) % 3}", "blue") for w in range(5) for i in range(9)]
+    records = spark.createDataFrame(rid, "window long, rid_no long, name string, colour string").withColumn("rid", F.concat(F.lit("idx__"), "rid_no"))
+    edges = E.edge_list(C.cells(records, cols=["name", "colour"], carry=("window",)), Smoothing.parse(smoothing), window="window")
+    batches = [(2 * w, edges.filter(F.col("edge_seq.window") == w)) for w in range(5)]
+    store = grown(spark, str(tmp_path), [*batches[:3], batches[2], *batches[3:]], merge_every=merge_every)
+    place = [F.col(f"edge_seq.{f}").alias(f) for f in ("rid", "col", "pos", "sub", "side")]
+    last = edges.select("*", *place).groupBy("rid", "col", "pos", "sub", "side", "src", "dst").agg(F.max_by(F.struct("edge_seq", "w_fwd", "w_back"), "edge_seq").alias("e"))
+    adj = G.adjacency(G.flattened_edges(last.select("e.edge_seq", "src", "dst", "e.w_fwd", "e.w_back"), TYPES, "tt"))
+    names = ["node", "nbr", "weight", "n_edges"]
+    assert rows(store.adjacency().select(names)) == rows(adj.select(names))
+    weighted = smoothing != "no"
+    roots = G.roots(G.node_catalog(edges, TYPES, "tt"))
+    got, want = store.walk_tables(roots), W.walk_tables(adj, TYPES, weighted)
+    assert got.weighted == weighted
+    assert rows(got.slots.select(want.slots.columns)) == rows(want.slots)
+    assert rows(got.degree.select("node", "degree")) == rows(want.degree)
+    assert rows(got.bag) == rows(want.bag.join(roots, "node", "left_semi"))
+    assert len(list((tmp_path / "pairs").iterdir())) <= (5 if merge_every > 5 else 2 * merge_every + 1)
+
+
+def test_draws_turn_to_weights_when_they_first_differ(spark, tmp_path, rows):
+    def batch(window, weight):
+        seq = lambda side: F.struct(F.lit(window).alias("window"), F.lit(window).cast("long").alias("rid"), F.lit(0).alias("col"),
+                                    F.lit(0).alias("pos"), F.lit(0).alias("sub"), F.lit(side).alias("side")).alias("edge_seq")
+        return spark.createDataFrame([(f"idx__{window}", "tt__a", 1.0, weight)], "src string, dst string, w_fwd double, w_back double").select(seq(0), "*")
+
+    store = grown(spark, str(tmp_path), [(0, batch(0, 1.0)), (1, batch(1, 1.0))])
+    tables = store.walk_tables(store.degrees())
+    assert not tables.weighted and "lo" not in tables.slots.columns
+    store.add(batch(2, 0.25), 2)
+    tables = store.walk_tables(store.degrees())
+    assert tables.weighted and rows(tables.slots) == rows(W.walk_tables(store.adjacency(), TYPES, True).slots.select(tables.slots.columns))
