@@ -316,14 +316,34 @@ def kendall_per_key(spark, sf_dir):
     return V.kendall(*_two_lists(spark, sf_dir)).select("id", "n_common", "discordant", "tau")
 
 
-@query("kendall_significance")
+def _permutations() -> str:
+    """CTEs ``perm<n> (i, c)``: how many permutations of n items have i inversions, and ``shares`` of all of them."""
+    ctes = ["perm1 AS (SELECT 0 AS i, CAST(1 AS HUGEINT) AS c)"]
+    for n in range(2, 11):
+        ctes.append(f"perm{n} AS (SELECT i + j AS i, sum(c) AS c FROM perm{n - 1}, range({n}) r(j) GROUP BY 1)")
+    every = " UNION ALL ".join(f"SELECT {n} AS n, i, c FROM perm{n}" for n in range(2, 11))
+    ctes.append(f"shares AS (SELECT n, i, sum(c) OVER (PARTITION BY n ORDER BY i)::DOUBLE / sum(c) OVER (PARTITION BY n)::DOUBLE AS share FROM ({every}))")
+    return ", ".join(ctes)
+
+
+_TESTED = f"""{_KENDALL}, {_permutations()}, tested AS (SELECT id, n_common, discordant, tau,
+  CASE WHEN n_common >= 2 THEN CASE WHEN 4 * discordant = n_common * (n_common - 1) THEN 1.0 ELSE least(1.0, 2 * share) END END AS p_value
+  FROM taus LEFT JOIN shares ON n = n_common AND i = least(discordant, n_common * (n_common - 1) // 2 - discordant))"""
+
+
+@query("kendall_significance", f"WITH {_TESTED} SELECT id, n_common, discordant, {rounded('tau')} AS tau, {rounded('p_value')} AS p_value FROM tested")
 def kendall_significance(spark, sf_dir):
+    """Lists have at most ten entries, so the SQL counts permutations."""
     return V.kendall(*_two_lists(spark, sf_dir))
 
 
-@query("kendall_summary", f"WITH {_KENDALL} SELECT {rounded('avg(tau)')} AS average_tau, count(*) FILTER (tau IS NULL) AS n_undefined FROM taus")
+@query(
+    "kendall_summary",
+    f"""WITH {_TESTED} SELECT {rounded('avg(tau)')} AS average_tau, count(*) FILTER (tau IS NULL) AS n_undefined,
+count(*) FILTER (p_value < 0.5) AS n_significant, count(*) FILTER (p_value < 0.5 AND tau > 0) AS n_positive FROM tested""",
+)
 def kendall_summary(spark, sf_dir):
-    return V.kendall_summary(V.kendall(*_two_lists(spark, sf_dir))).select("average_tau", "n_undefined")
+    return V.kendall_summary(V.kendall(*_two_lists(spark, sf_dir)))
 
 
 # --- columns --------------------------------------------------------------------------------
@@ -392,29 +412,33 @@ def sm_report(spark, sf_dir):
 
 
 def quality_tests(spark, sf_dir):
-    """Three rows of one label and one of the next label, from each run of 100 rows.
+    """All rows in groups of three of one label, from each run of 100 rows, each with one row of the next label.
 
-    The file name follows the label. No group is larger than such a run.
+    What is left over of a label makes a smaller group; after the last label of a run comes its first. Runs
+    of one label have no tests. The file name follows the label. No group is larger than a run.
     """
     numbered = record_table(spark, sf_dir).withColumn("run", F.floor(F.col("vec_id") / 100)).withColumn(
         "place", F.row_number().over(Window.partitionBy("label", "run").orderBy("vec_id"))
     )
-    groups = numbered.filter("place <= 3").groupBy("label", "run").agg(
+    groups = numbered.groupBy("label", "run", F.floor((F.col("place") - 1) / 3).alias("third")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "key"))), lambda e: e["key"]).alias("same")
-    ).filter(F.size("same") == 3)
-    other = numbered.filter("place = 1").select((F.col("label") - 1).alias("label"), "run", F.col("key").alias("odd"))
+    )
+    labels = Window.partitionBy("run").orderBy("label")
+    odd = F.coalesce(F.lead("key").over(labels), F.first("key").over(labels.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    other = numbered.filter("place = 1").select("label", "run", "key", odd.alias("odd")).filter("odd <> key").drop("key")
     family = F.when(F.col("label") % 3 == 0, "nmr").when(F.col("label") % 3 == 1, "nmcon").otherwise("nmc")
     return groups.join(other, ["label", "run"]).select(
-        F.concat_ws("#", "label", "run").alias("test_id"), F.concat(family, F.lit("-"), F.col("label").cast("string")).alias("file"),
+        F.concat_ws("#", "label", "run", "third").alias("test_id"), F.concat(family, F.lit("-"), F.col("label").cast("string")).alias("file"),
         F.array_append("same", F.col("odd")).alias("terms"), F.col("odd").alias("expected"),
     )
 
 
 _TESTS = f"""{_V}, u AS (SELECT key, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) AS x FROM v),
 numbered AS (SELECT key, label, vec_id, vec_id // 100 AS g, row_number() OVER (PARTITION BY label, vec_id // 100 ORDER BY vec_id) AS rn FROM v),
-groups AS (SELECT label, g, list(key ORDER BY vec_id) AS same FROM numbered WHERE rn <= 3 GROUP BY 1, 2 HAVING count(*) = 3),
-tests AS (SELECT a.label || '#' || a.g AS test_id, CASE a.label % 3 WHEN 0 THEN 'nmr' WHEN 1 THEN 'nmcon' ELSE 'nmc' END || '-' || a.label AS file,
-  list_append(same, b.key) AS terms, b.key AS expected FROM groups a JOIN numbered b ON b.label - 1 = a.label AND b.rn = 1 AND b.g = a.g),
+groups AS (SELECT label, g, (rn - 1) // 3 AS third, list(key ORDER BY vec_id) AS same FROM numbered GROUP BY 1, 2, 3),
+odds AS (SELECT label, g, key AS own, coalesce(lead(key) OVER (PARTITION BY g ORDER BY label), first_value(key) OVER (PARTITION BY g ORDER BY label)) AS key FROM numbered WHERE rn = 1),
+tests AS (SELECT a.label || '#' || a.g || '#' || third AS test_id, CASE a.label % 3 WHEN 0 THEN 'nmr' WHEN 1 THEN 'nmcon' ELSE 'nmc' END || '-' || a.label AS file,
+  list_append(same, b.key) AS terms, b.key AS expected FROM groups a JOIN odds b ON b.label = a.label AND b.g = a.g AND b.key <> b.own),
 parts AS (SELECT test_id, unnest(terms) AS key FROM tests), found AS (SELECT test_id, p.key, x FROM parts p JOIN u ON u.key = p.key),
 centre AS (SELECT test_id, i, avg(x[i]) AS m FROM found, (SELECT unnest(range(1, 65)) AS i) GROUP BY 1, 2),
 close AS (SELECT f.test_id, f.key, round(sum(f.x[i] * m), 9) AS closeness FROM found f JOIN centre c ON f.test_id = c.test_id GROUP BY 1, 2),

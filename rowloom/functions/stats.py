@@ -44,7 +44,10 @@ def kendall_p(n: int, discordant: int) -> float | None:
 
 @F.pandas_udf(T.DoubleType())
 def _kendall_p(n: pd.Series, discordant: pd.Series) -> pd.Series:
-    return pd.Series([kendall_p(int(a), int(b)) for a, b in zip(n, discordant)], dtype="float64")
+    pairs = pd.DataFrame({"n": n, "d": discordant})
+    once = pairs.drop_duplicates()  # lists are short, so a batch has few different pairs
+    once = once.assign(p=[kendall_p(int(a), int(b)) for a, b in zip(once.n, once.d)])
+    return pairs.merge(once, on=["n", "d"], how="left").p.astype("float64")
 
 
 def kendall_p_value(n: Column, discordant: Column) -> Column:

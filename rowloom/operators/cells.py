@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.functions import text
+from rowloom.operators.hot_keys import frequent, lookup_join
 from rowloom.operators.numbering import dense_index
 
 ROW_PREFIX = "idx__"
@@ -113,7 +114,7 @@ def tokens(cell_table: DataFrame, flatten: bool = False, keep: DataFrame | None
     parts = F.split("value", "_")
     if keep is not None:
         kept = keep.select("value").distinct().withColumn("_keep", F.lit(True))
-        cell_table = cell_table.join(kept, "value", "left")
+        cell_table = lookup_join(cell_table, kept, ["value"], frequent(cell_table, "value"), "left")
         parts = F.when(F.col("_keep"), F.array("value")).otherwise(parts)
     columns = [c for c in cell_table.columns if c not in ("value", "_keep")]
     return cell_table.select(*columns, F.posexplode(parts).alias("sub", "value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.smoothing import Smoothing
 from rowloom.operators.cells import value_frequency
+from rowloom.operators.hot_keys import frequent_by_count, lookup_join
 from rowloom.operators.numbering import dense_index
 
 EDGE_SCHEMA = "src string, dst string, w_fwd double, w_back double"
@@ -30,9 +31,9 @@ def edge_list(
         weighted = token_table.withColumn("w", F.lit(1.0))
     else:
         counts = value_frequency(token_table, by) if frequency is None else frequency
-        weighted = token_table.join(counts, [*by, "value"], "left").withColumn(
-            "w", F.coalesce(smoothing.weight(F.col("frequency")), F.lit(1.0))
-        )
+        on = [*by, "value"]
+        found = lookup_join(token_table, counts, on, frequent_by_count(counts, on, "frequency"), "left")
+        weighted = found.withColumn("w", F.coalesce(smoothing.weight(F.col("frequency")), F.lit(1.0)))
     sub = F.col("sub") if "sub" in token_table.columns else F.lit(0)
     token = F.concat(F.when(F.col("is_numeric"), "tn__").otherwise("tt__"), F.col("value"))
 

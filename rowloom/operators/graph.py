@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.hashing import TWO_60, scaled
 from rowloom.functions.text import node_name, node_prefix
 from rowloom.options import NodeTypes
+from rowloom.operators.hot_keys import frequent_by_count, lookup_join
 from rowloom.operators.numbering import GROUP_CHUNK, group_totals, number_in_groups
 
 #: Exact sums of weights: below 10^16 each.
@@ -119,8 +120,8 @@ def degrees(adj: DataFrame) -> DataFrame:
 
 def transition_probability(adj: DataFrame) -> DataFrame:
     """``node, nbr, probability``: weight over the weight of all neighbours of the node."""
-    totals = adj.groupBy("node").agg(F.sum(F.col("weight").cast(WEIGHT)).alias("total"))
-    return adj.join(totals, "node").select(
+    totals = adj.groupBy("node").agg(F.sum(F.col("weight").cast(WEIGHT)).alias("total"), F.count(F.lit(1)).alias("n"))
+    return lookup_join(adj, totals.select("node", "total"), ["node"], frequent_by_count(totals, ["node"], "n")).select(
         "node", "nbr", (F.col("weight") / F.col("total").cast("double")).alias("probability")
     )
 
@@ -132,6 +133,12 @@ def first_bag(adj: DataFrame, types: NodeTypes) -> DataFrame:
     )
 
 
+def _with_nbr_degree(slots: DataFrame, degree: DataFrame) -> DataFrame:
+    """``slots`` with the degree of each neighbour; a node of many neighbours is the neighbour of many."""
+    far = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("nbr_degree"))
+    return lookup_join(slots, far, ["nbr"], frequent_by_count(far, ["nbr"], "nbr_degree"), "left")
+
+
 def uniform_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, far: bool = True) -> DataFrame:
     """``node, slot, nbr, degree, nbr_degree``: the neighbours of a node, numbered from 0.
 
@@ -139,14 +146,11 @@ def uniform_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, far: bool = True) ->
     ``far`` the degrees of the neighbours are left out.
     """
     degree = group_totals(adj, "node").select("node", F.col("group_size").alias("degree"))
-    sized = adj.select("node", "nbr").join(degree, "node")
+    sized = lookup_join(adj.select("node", "nbr"), degree, ["node"], frequent_by_count(degree, ["node"], "degree"))
     numbered = number_in_groups(sized, "node", "nbr", "degree", chunk=chunk)
     if not far:
         return numbered.select("node", F.col("position").alias("slot"), "nbr", "degree")
-    nbr_degree = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("nbr_degree"))
-    return numbered.join(nbr_degree, "nbr", "left").select(
-        "node", F.col("position").alias("slot"), "nbr", "degree", "nbr_degree"
-    )
+    return _with_nbr_degree(numbered.select("node", F.col("position").alias("slot"), "nbr", "degree"), degree)
 
 
 def whole_weights(adj: DataFrame, weight: str = "weight") -> DataFrame:
@@ -159,8 +163,9 @@ def whole_weights(adj: DataFrame, weight: str = "weight") -> DataFrame:
     sizes = exact.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("largest"))
     unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), 61 - F.length(F.bin(F.col("degree")))).cast("double")
     w = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("weight") / F.col("largest") * unit))
-    sized = exact.join(sizes, "node").select("node", "nbr", w.alias("w"), "degree")
-    return sized.join(sized.groupBy("node").agg(F.sum("w").alias("total")), "node")
+    hot = frequent_by_count(sizes, ["node"], "degree")
+    sized = lookup_join(exact, sizes, ["node"], hot).select("node", "nbr", w.alias("w"), "degree")
+    return lookup_join(sized, sized.groupBy("node").agg(F.sum("w").alias("total")), ["node"], hot)
 
 
 def weighted_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, weight: str = "weight", far: bool = True) -> DataFrame:
@@ -180,8 +185,7 @@ def weighted_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, weight: str = "weig
     spread = ranged.select("node", F.explode(slots).alias("slot"), "lo", "hi", "nbr", "degree")
     if not far:
         return spread
-    nbr_degree = adj.filter(F.col(weight) > 0).groupBy(F.col("node").alias("nbr")).agg(F.count(F.lit(1)).alias("nbr_degree"))
-    return spread.join(nbr_degree, "nbr", "left").select("node", "slot", "lo", "hi", "nbr", "degree", "nbr_degree")
+    return _with_nbr_degree(spread, group_totals(adj.filter(F.col(weight) > 0), "node").select("node", F.col("group_size").alias("degree")))
 
 
 def slot_probability(slots: DataFrame) -> DataFrame:

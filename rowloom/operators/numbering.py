@@ -10,6 +10,8 @@ from rowloom.session import freeze, shuffle_partitions
 
 # Rows of one group that a single task sorts; larger groups are split by hash.
 GROUP_CHUNK = 200_000
+# Keys that one task puts in order for running sums.
+RANGE = 1 << 12
 
 
 def dense_index(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
@@ -43,6 +45,31 @@ def dense_index(df: DataFrame, order: list[str], name: str, start: int = 0) -> D
     )
 
 
+def running_before(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over all rows of a smaller ``key``, a whole number without repeats.
+
+    Keys are summed up in ranges of ``RANGE`` keys, the ranges in ranges of ranges, and so on, so that no
+    task orders more rows than a range has keys.
+    """
+    ends = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    low, width = (0, 0) if ends.lo is None else (ends.lo, ends.hi - ends.lo)
+    return _before(df.withColumn("_at", (F.col(key) - F.lit(low)).cast("bigint")), value, name, width).drop("_at")
+
+
+def _before(df: DataFrame, value: str, name: str, width: int) -> DataFrame:
+    bits = RANGE.bit_length() - 1
+    ranged = df.withColumn("_range", F.shiftright("_at", bits))
+    order = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    inside = ranged.withColumn(name, F.coalesce(F.sum(value).over(order), none))
+    if width < RANGE:
+        return inside.drop("_range")
+    ranges = ranged.groupBy(F.col("_range").alias("_at")).agg(F.sum(value).alias("_sum"))
+    above = f"{name}_above"
+    ranges = _before(ranges, "_sum", above, width >> bits).select(F.col("_at").alias("_range"), above)
+    return inside.join(ranges, "_range").withColumn(name, F.col(name) + F.col(above)).drop("_range", above)
+
+
 def group_totals(df: DataFrame, group: str, weight: Column | None = None) -> DataFrame:
     """Size, and optionally total weight, of every group (partial aggregation, no skew)."""
     aggregates = [F.count(F.lit(1)).alias("group_size")]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions.text import base36, node_name, node_prefix, strip_prefix
 from rowloom.operators.cells import raw_values
+from rowloom.operators.hot_keys import frequent, lookup_join
 from rowloom.operators.numbering import dense_index
 from rowloom.options import NodeTypes
 
@@ -55,7 +56,7 @@ def _translate(names: DataFrame, lookup: DataFrame, fixed: list[str], keep_unkno
     Words in ``fixed`` are prefixes and get one more underscore. Other words are kept or dropped.
     """
     words = names.select("name", F.posexplode(_words(F.col("name"))).alias("at", "word"))
-    found = words.join(lookup, "word", "left")
+    found = lookup_join(words, lookup, ["word"], frequent(words, "word"), "left")
     is_fixed = F.col("word").isin(fixed) if fixed else F.lit(False)
     other = F.col("word") if keep_unknown else F.lit(None).cast("string")
     new = F.when(is_fixed, F.concat(F.col("word"), F.lit("_"))).otherwise(F.coalesce("new", other))
@@ -70,7 +71,8 @@ def compress_edges(edges: DataFrame, dictionary: DataFrame, types: NodeTypes) ->
     coded = _translate(names, lookup, types.prefixes, keep_unknown=False)
     src = coded.select(F.col("name").alias("src"), F.col("out").alias("_src"))
     dst = coded.select(F.col("name").alias("dst"), F.col("out").alias("_dst"))
-    joined = edges.join(src, "src").join(dst, "dst")
+    joined = lookup_join(edges, src, ["src"], frequent(edges, "src"))
+    joined = lookup_join(joined, dst, ["dst"], frequent(edges, "dst"))
     return joined.withColumns({"src": F.col("_src"), "dst": F.col("_dst")}).select(edges.columns)
 
 

@@ -10,6 +10,7 @@ from rowloom.functions.hashing import hash60, scaled
 from rowloom.functions.smoothing import Smoothing
 from rowloom.functions.text import canonical
 from rowloom.operators.graph import uniform_slots
+from rowloom.operators.hot_keys import frequent_by_count, lookup_join
 
 # kinds of neighbour that a step to the left or right leads to, by kind of node
 DIRECTIONS = {"left": {"cell": "row", "column": "cell"}, "right": {"row": "cell", "cell": "column"}}
@@ -38,7 +39,8 @@ def tripartite_graph(
         weighted = long.withColumn("w", F.lit(1.0))
     else:
         counts = long.groupBy("cell").agg(F.count(F.lit(1)).alias("frequency"))
-        weighted = long.join(counts, "cell").withColumn("w", smoothing.weight(F.col("frequency")))
+        found = lookup_join(long, counts, ["cell"], frequent_by_count(counts, ["cell"], "frequency"))
+        weighted = found.withColumn("w", smoothing.weight(F.col("frequency")))
 
     # a column takes its escaped name when some cell is spelled like it (at most one row per column)
     clash = long.filter(F.col("cell").isin(cols)).select(F.col("cell").alias("col")).distinct().withColumn("clash", F.lit(True))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.functions.times import epoch_micros
+from rowloom.operators.numbering import running_before
 
 
 def count_windows(
@@ -50,16 +51,19 @@ def idle_sessions(df: DataFrame, ts: str, idle_seconds: int) -> DataFrame:
     """``session, session_start, session_end, n_rows``: runs of rows with no idle time between.
 
     Two rows of one time bucket of ``idle_seconds`` are never that far apart, so the rows shrink to
-    one per bucket first, and the only ordered pass is over buckets: time range / idle time.
+    one per bucket first. A bucket is compared with the one before by a join, and sessions are numbered
+    by running sums over ranges of buckets, so no task sees the whole time.
     """
-    bucket = F.floor(epoch_micros(df, ts) / F.lit(idle_seconds * 1_000_000))
+    bucket = F.floor(epoch_micros(df, ts) / F.lit(micros(idle_seconds)))
     buckets = df.groupBy(bucket.alias("bucket")).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
-    order = Window.orderBy("bucket")
-    gap = epoch_micros(buckets, "first") - F.lag(epoch_micros(buckets, "last")).over(order)
-    starts = F.coalesce((gap >= idle_seconds * 1_000_000).cast("int"), F.lit(1))
-    marked = buckets.withColumn("starts", starts).withColumn("session", F.sum("starts").over(order) - 1)
+    # only the row before a bucket can be near enough, and where that has none, idle time went by
+    before = buckets.select((F.col("bucket") + 1).alias("bucket"), F.col("last").alias("before"))
+    joined = buckets.join(before, "bucket", "left")
+    gap = epoch_micros(joined, "first") - epoch_micros(joined, "before")
+    marked = joined.withColumn("starts", F.coalesce((gap >= micros(idle_seconds)).cast("bigint"), F.lit(1).cast("bigint")))
+    marked = running_before(marked, "bucket", "starts", "earlier").withColumn("session", F.col("earlier") + F.col("starts") - 1)
     return marked.groupBy("session").agg(
         F.min("first").alias("session_start"), F.max("last").alias("session_end"), F.sum("n").alias("n_rows")
     )
