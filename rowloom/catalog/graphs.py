@@ -314,6 +314,23 @@ def walks_both(spark, sf_dir):
     return W.both_walks(_walks(spark, sf_dir, WalkOptions(sentence_length=4, seed=SEED)))
 
 
+_SHARED = """halves AS (SELECT count(*) // 2 AS n_items FROM part), shared AS (SELECT value FROM cells, halves WHERE rid_no < n_items
+  INTERSECT SELECT value FROM cells, halves WHERE rid_no >= n_items)"""
+_FROM_SHARED = """SELECT node || '#' || rep AS walk_id, node AS root FROM nodes, (SELECT unnest(range(1, 4)) AS rep)
+WHERE substr(node, instr(node, '__') + 2) IN (SELECT value FROM shared)"""
+
+
+@query("walks_intersecting", walks_sql(f"{PART_GRAPH}, {_SHARED}", _FROM_SHARED, LENGTH, weighted=True))
+def walks_intersecting(spark, sf_dir):
+    """Weighted walks that begin at the nodes of values which both halves of the table have."""
+    halves = [C.cells(x, "p_partkey", list(GRAPH_COLS)) for x in part_halves(spark, sf_dir)]
+
+    def seeds(nodes):
+        return W.spread_walks(W.roots_or_all(S.intersecting_nodes(nodes, S.shared_values(*halves)), G.roots(nodes)), 3)
+
+    return _walks(spark, sf_dir, WalkOptions(sentence_length=LENGTH, seed=SEED), weighted=True, seeds=seeds)
+
+
 @query("walk_lines", f"WITH w AS ({walks_sql(PART_GRAPH, _SPREAD, 3)}) SELECT walk_id, walk AS sentence FROM w")
 def walk_lines(spark, sf_dir):
     return W.sentences(_walks(spark, sf_dir, WalkOptions(sentence_length=3, seed=SEED)))

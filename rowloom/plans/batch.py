@@ -25,6 +25,7 @@ from rowloom.operators.similar import replacement_probability, similar_nodes
 from rowloom.operators.walks import planned_walks, random_walks, roots_or_all, spread_walks, walk_tables
 from rowloom.options import GraphOptions, MatchOptions, TrainOptions, WalkOptions
 from rowloom.session import freeze
+from rowloom.sources.writers import append_result
 
 
 @dataclass
@@ -125,6 +126,31 @@ def test_rows(vectors: DataFrame, truth: DataFrame, n_items: int, options: Match
     return er_report(found, record_vectors(vectors).select("key"), truth, n_items, options.n_top)
 
 
+def run_rows(
+    edges: DataFrame,
+    truth: DataFrame,
+    n_items: int,
+    results: str,
+    graph: GraphOptions = GraphOptions(),
+    walk: WalkOptions = WalkOptions(),
+    training: TrainOptions = TrainOptions(),
+    match: MatchOptions = MatchOptions(),
+    **train,
+) -> DataFrame:
+    """Train on an edge list, test the row matches, and append one row on the run to the table ``results``.
+
+    The row holds all options, the seconds of each stage, and the scores. ``train`` goes to :func:`train_edges`.
+    """
+    stages = Stages()
+    vectors = train_edges(edges, graph, walk, training, stages=stages, **train)
+    with stages.timed("test"):
+        report = freeze(test_rows(vectors, truth, n_items, match))
+    options = {"graph": graph, "walk": walk, "training": training, "match": match}
+    parameters = {f"{kind}.{name}": value for kind, o in options.items() for name, value in vars(o).items()}
+    append_result(edges.sparkSession, results, parameters, stages.metrics, report)
+    return report
+
+
 def matched_rows(vectors: DataFrame, n_items: int, options: MatchOptions = MatchOptions()) -> DataFrame:
     """``left, right`` ids of matched rows."""
     pairs = match_pairs(row_candidates(vectors, n_items, options))

@@ -222,6 +222,11 @@ def test_whole_batch_run(spark, tmp_path):
     report = B.test_rows(vectors, truth, 30, MatchOptions(n_top=10)).first()
     assert report.r > 0.8 and report.p > 0.8
     assert B.matched_rows(vectors, 30).count() >= 30
+    small = TrainOptions(dimensions=8, window=2, epochs=1)
+    done = B.run_rows(edges, truth, 30, str(tmp_path / "results"), walk=WalkOptions(sentence_length=4, walks_per_node=2), training=small).first()
+    row = spark.read.parquet(str(tmp_path / "results")).first()
+    assert row.parameters["walk.sentence_length"] == "4" and row.parameters["training.dimensions"] == "8"
+    assert set(row.metrics) == {"time_graph", "time_walks", "time_training", "time_test"} and float(row.scores["p"]) == done.p
 
 
 def test_experiments(spark):
