@@ -134,9 +134,8 @@ def first_bag(adj: DataFrame, types: NodeTypes) -> DataFrame:
 
 
 def _with_nbr_degree(slots: DataFrame, degree: DataFrame) -> DataFrame:
-    """``slots`` with the degree of each neighbour; a node of many neighbours is the neighbour of many."""
-    far = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("nbr_degree"))
-    return lookup_join(slots, far, ["nbr"], frequent_by_count(far, ["nbr"], "nbr_degree"), "left")
+    """``slots`` with the degree of each neighbour."""
+    return slots.join(degree.select(F.col("node").alias("nbr"), F.col("degree").alias("nbr_degree")), "nbr", "left").select(*slots.columns, "nbr_degree")
 
 
 def uniform_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, far: bool = True) -> DataFrame:
@@ -146,7 +145,7 @@ def uniform_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, far: bool = True) ->
     ``far`` the degrees of the neighbours are left out.
     """
     degree = group_totals(adj, "node").select("node", F.col("group_size").alias("degree"))
-    sized = lookup_join(adj.select("node", "nbr"), degree, ["node"], frequent_by_count(degree, ["node"], "degree"))
+    sized = adj.select("node", "nbr").join(degree, "node")
     numbered = number_in_groups(sized, "node", "nbr", "degree", chunk=chunk)
     if not far:
         return numbered.select("node", F.col("position").alias("slot"), "nbr", "degree")
@@ -163,9 +162,8 @@ def whole_weights(adj: DataFrame, weight: str = "weight") -> DataFrame:
     sizes = exact.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max("weight").alias("largest"))
     unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), 61 - F.length(F.bin(F.col("degree")))).cast("double")
     w = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("weight") / F.col("largest") * unit))
-    hot = frequent_by_count(sizes, ["node"], "degree")
-    sized = lookup_join(exact, sizes, ["node"], hot).select("node", "nbr", w.alias("w"), "degree")
-    return lookup_join(sized, sized.groupBy("node").agg(F.sum("w").alias("total")), ["node"], hot)
+    sized = exact.join(sizes, "node").select("node", "nbr", w.alias("w"), "degree")
+    return sized.join(sized.groupBy("node").agg(F.sum("w").alias("total")), "node")
 
 
 def weighted_slots(adj: DataFrame, chunk: int = GROUP_CHUNK, weight: str = "weight", far: bool = True) -> DataFrame:
