@@ -51,6 +51,12 @@ def knn_pruned(spark, sf_dir):
     return K.knn(record_table(spark, sf_dir), k=K_NEAR, block_rows=64)
 
 
+@query("knn_tree", f"WITH {_COS} SELECT key, nbr, {rounded('score')} AS score, rank FROM near")
+def knn_tree(spark, sf_dir):
+    """The same search with few pivots a cell, so that large cells are cut into cells of their own."""
+    return K.knn(record_table(spark, sf_dir), k=K_NEAR, block_rows=16, max_pivots=8)
+
+
 _L2 = f"""{_V}, l2s AS (SELECT a.key, b.key AS nbr, round(pow(list_distance(a.x, b.x), 2), 9) AS score FROM v a JOIN v b ON a.key <> b.key),
 near_l2 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, nbr) AS rank FROM l2s QUALIFY rank <= {K_NEAR})"""
 
@@ -94,6 +100,15 @@ def knn_approximate(spark, sf_dir):
     return K.knn(record_table(spark, sf_dir), k=K_NEAR, block_rows=64, probes=4)
 
 
+@query("knn_recall", f"WITH {_COS} SELECT key, count(*) AS n_near, (SELECT count(*) FROM near) AS n_all, TRUE AS recall_reached FROM near GROUP BY key")
+def knn_recall(spark, sf_dir):
+    """Approximate search with as many probes as a sample needs for 0.95: is the recall over all vectors 0.9?"""
+    records = record_table(spark, sf_dir)
+    probes = K.probes_for(records, k=K_NEAR, block_rows=16)
+    return K.recall(K.knn(records, k=K_NEAR, block_rows=16, probes=probes), K.knn(records, k=K_NEAR)).select(
+        "key", "n_near", "n_all", (F.col("recall_all") >= 0.9).alias("recall_reached"))
+
+
 @query("index_extension", f"WITH {_V} SELECT key, {_total(sql=True)} FROM v")
 def index_extension(spark, sf_dir):
     records = record_table(spark, sf_dir).select("key", "vector", "label")

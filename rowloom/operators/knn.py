@@ -1,59 +1,23 @@
 """Exact and approximate nearest neighbours without comparing all pairs.
 
-Vectors are assigned to the nearest of a bounded number of pivots, and the cells so made are cut
-into blocks of bounded size. Each block first searches itself, which bounds the distance of every
+Vectors are assigned to the nearest of some pivots, in a tree of cells (:mod:`~rowloom.operators.vector_cells`),
+and the cells so made are cut into blocks of bounded size. Each block first searches itself, which bounds the distance of every
 query's k-th neighbour; then a query visits only blocks whose cell can, by the triangle inequality,
 hold something nearer. The result is the exact one. With ``probes`` a query visits only the cells
-nearest to it, which is the approximate search.
+nearest to it, at each level of the tree, which is the approximate search.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import hash32
+from rowloom.operators.vector_cells import BLOCK_ROWS, MAX_PIVOTS, SCORE_DIGITS, build, matrix
 from rowloom.session import freeze
 
-# rows of a block; two blocks and their products are what one task holds
-BLOCK_ROWS = 4096
-# pivots live on the driver and in every task: at most this many vectors, whatever the data size
-MAX_PIVOTS = 4096
-# scores are ranked after rounding, so that engines agree on ties
-SCORE_DIGITS = 9
-_SLACK = 1e-6
-
-
-@dataclass(frozen=True)
-class _Layout:
-    """Pivots and, per cell, the radii and the blocks. Bounded by the number of pivots."""
-
-    metric: str
-    pivots: np.ndarray
-    r_min: np.ndarray
-    r_max: np.ndarray
-    first_block: np.ndarray
-    n_blocks: np.ndarray
-
-    def distances(self, matrix: np.ndarray) -> np.ndarray:
-        square = (
-            (matrix * matrix).sum(1)[:, None] + (self.pivots * self.pivots).sum(1)[None, :] - 2 * matrix @ self.pivots.T
-        )
-        return np.sqrt(np.maximum(square, 0.0))
-
-
-def _matrix(vectors: pd.Series, metric: str) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
-    if metric == "cosine":
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        m = m / np.where(size > 0, size, 1.0)
-    return m
-
 
 def _scores(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer: cosine, or minus the squared distance."""
@@ -84,7 +48,7 @@ def _search(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, metric: str, fl
         return empty
     corpus = corpus.sort_values("key", kind="stable")
     names = corpus["key"].to_numpy(dtype=object)
-    scores = _scores(_matrix(queries["vector"], metric), _matrix(corpus["vector"], metric), metric)
+    scores = _scores(matrix(queries["vector"], metric), matrix(corpus["vector"], metric), metric)
     if floor is not None:
         scores[scores <= floor] = -np.inf
     rows, cols = _best(scores, k)
@@ -92,52 +56,6 @@ def _search(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, metric: str, fl
     return pd.DataFrame({"key": keys[rows], "nbr": names[cols], "score": scores[rows, cols]})
 
 
-def _place(df: DataFrame, layout: _Layout) -> DataFrame:
-    """``key, vector, cell, radius``: the nearest pivot of every vector."""
-
-    def assign(batches):
-        for batch in batches:
-            distance = layout.distances(_matrix(batch["vector"], layout.metric))
-            cell = distance.argmin(1)
-            yield batch.assign(cell=cell.astype("int32"), radius=distance[np.arange(len(batch)), cell])
-
-    return df.select("key", "vector").mapInPandas(assign, "key string, vector array<float>, cell int, radius double")
-
-
-def _layout(corpus: DataFrame, metric: str, block_rows: int) -> tuple[_Layout, DataFrame]:
-    n = corpus.count()
-    wanted = max(1, min(MAX_PIVOTS, math.ceil(n / block_rows)))
-    # a top-n by hash: bounded by MAX_PIVOTS rows
-    chosen = corpus.orderBy(hash32(F.col("key")), "key").limit(wanted).toPandas()
-    pivots = _matrix(chosen["vector"], metric) if len(chosen) else np.zeros((1, 1))
-    bare = _Layout(metric, pivots, *(np.zeros(0),) * 4)
-    placed = freeze(_place(corpus, bare))
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi"))
-    r_min, r_max = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
-    n_blocks = np.zeros(len(pivots), dtype=np.int64)
-    for row in stats.collect():  # one row per pivot
-        r_min[row.cell], r_max[row.cell] = row.lo, row.hi
-        n_blocks[row.cell] = math.ceil(row.n / block_rows)
-    first = np.concatenate([[0], np.cumsum(n_blocks)[:-1]])
-    return _Layout(metric, pivots, r_min, r_max, first, n_blocks), placed
-
-
-def _with_block(placed: DataFrame, layout: _Layout, n_blocks: np.ndarray, first: np.ndarray) -> DataFrame:
-    """Cut every cell into its blocks by hash of the key; hot cells just have more blocks."""
-    sizes = F.array(*[F.lit(int(b)) for b in n_blocks])
-    starts = F.array(*[F.lit(int(b)) for b in first])
-    cell = F.col("cell")
-    within = F.shiftright(hash32(F.col("key"), "block") * F.get(sizes, cell), 32)
-    return placed.withColumn("block", (F.get(starts, cell) + within).cast("bigint"))
-
-
-def _cell_blocks(counts: DataFrame, n_cells: int, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    n_blocks = np.zeros(n_cells, dtype=np.int64)
-    for row in counts.collect():  # one row per pivot
-        n_blocks[row.cell] = math.ceil(row.n / block_rows)
-    return n_blocks, np.concatenate([[0], np.cumsum(n_blocks)[:-1]])
-
-
 _RESULT = "key string, nbr string, score double"
 
 
@@ -149,6 +67,7 @@ def knn(
     floor: float | None = None,
     probes: int | None = None,
     block_rows: int = BLOCK_ROWS,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """``key, nbr, score, rank``: the k nearest vectors of ``corpus`` for every query.
 
@@ -169,7 +88,7 @@ def knn(
     found = _distinct_knn(
         wanted.select("key", "vector"),
         None if corpus is None else stored.select("key", "vector"),
-        k + 1, metric, floor, probes, block_rows,
+        k + 1, metric, floor, probes, block_rows, max_pivots,
     )
     # (k + 1) vectors with (k + 1) names each, cut to (k + 1) names
     named = found.join(stored.select(F.col("key").alias("nbr"), "names"), "nbr").select(
@@ -209,34 +128,19 @@ def _copies(df: DataFrame, n_names: int) -> DataFrame:
 
 
 def _distinct_knn(
-    queries: DataFrame, corpus: DataFrame | None, k: int, metric: str, floor: float | None, probes: int | None, block_rows: int
+    queries: DataFrame, corpus: DataFrame | None, k: int, metric: str, floor: float | None, probes: int | None, block_rows: int,
+    max_pivots: int,
 ) -> DataFrame:
     """``key, nbr, score`` for distinct vectors; a key may find itself. Larger scores are nearer."""
     same = corpus is None
-    corpus = queries if same else corpus
-    layout, placed = _layout(corpus, metric, block_rows)
-    n_cells = len(layout.pivots)
-    right = _with_block(placed, layout, layout.n_blocks, layout.first_block)
-    if same:
-        left = right
-    else:
-        asked = freeze(_place(queries, layout))
-        counts = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-        left = _with_block(asked, layout, *_cell_blocks(counts, n_cells, block_rows))
+    tree, right = build(queries if same else corpus, metric, block_rows, max_pivots)
+    left = right.withColumn("home", F.col("block")) if same else tree.place(queries)
 
     # first pass: every query searches one block of the cell it lies in
-    blocks_of = F.array(*[F.lit(int(b)) for b in layout.n_blocks])
-    start_of = F.array(*[F.lit(int(b)) for b in layout.first_block])
-    cell = F.col("cell")
-    if same:
-        home = F.col("block")
-    else:
-        there = F.shiftright(hash32(F.col("key"), "home") * F.get(blocks_of, cell), 32)
-        home = F.when(F.get(blocks_of, cell) > 0, F.get(start_of, cell) + there).otherwise(F.lit(-1))
-    left = left.withColumn("home", home.cast("bigint")).withColumnRenamed("block", "q_block")
+    left = left.withColumnRenamed("block", "q_block")
     asked_home = left.select("q_block", F.col("home").alias("t_block"), "key", "vector").filter("t_block >= 0")
     near = freeze(_join_blocks(asked_home, right, k, metric, floor))
-    if int(layout.n_blocks.sum()) <= 1:
+    if tree.single():
         return near
 
     # second pass: only blocks that may hold something nearer
@@ -244,46 +148,10 @@ def _distinct_knn(
     bounded = left.join(kth, "key", "left").select(
         "key", "vector", "q_block", "home", F.when(F.col("found") >= k, F.col("worst")).alias("worst")
     )
-
-    def visits(batches):
-        for batch in batches:
-            yield _visits(batch, layout, floor, probes)
-
-    targets = bounded.mapInPandas(visits, "key string, vector array<float>, q_block bigint, t_block bigint")
-    far = _join_blocks(targets, right, k, metric, floor)
+    far = _join_blocks(tree.targets(bounded, floor, probes), right, k, metric, floor)
     return _ranked(near.unionByName(far), k).drop("rank")
 
 
-def _visits(batch: pd.DataFrame, layout: _Layout, floor: float | None, probes: int | None) -> pd.DataFrame:
-    """One row per query and block to visit."""
-    distance = layout.distances(_matrix(batch["vector"], layout.metric))
-    worst = batch["worst"].to_numpy(dtype=np.float64)
-    if layout.metric == "cosine":
-        limit = np.sqrt(np.maximum(2.0 - 2.0 * np.where(np.isnan(worst), -1.5, worst), 0.0))
-        if floor is not None:
-            limit = np.minimum(limit, math.sqrt(max(2.0 - 2.0 * floor, 0.0)))
-    else:
-        limit = np.where(np.isnan(worst), np.inf, np.sqrt(np.maximum(-worst, 0.0)))
-    # nothing in a cell is nearer than the ring of radii around its pivot allows
-    lower = np.maximum(np.maximum(distance - layout.r_max[None, :], layout.r_min[None, :] - distance), 0.0)
-    open_cells = (lower <= (limit * (1 + _SLACK) + _SLACK)[:, None]) & (layout.n_blocks > 0)[None, :]
-    if probes is not None:
-        nearest = np.argsort(np.where(layout.n_blocks[None, :] > 0, distance, np.inf), axis=1, kind="stable")[:, :probes]
-        chosen = np.zeros_like(open_cells)
-        np.put_along_axis(chosen, nearest, True, axis=1)
-        open_cells &= chosen
-    rows, cells = np.nonzero(open_cells)
-    counts = layout.n_blocks[cells]
-    rows = np.repeat(rows, counts)
-    starts = np.repeat(layout.first_block[cells], counts)
-    within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-    target = (starts + within).astype(np.int64)
-    fresh = target != batch["home"].to_numpy()[rows]
-    rows, target = rows[fresh], target[fresh]
-    out = batch.iloc[rows][["key", "vector", "q_block"]].reset_index(drop=True)
-    return out.assign(t_block=target)
-
-
 def _join_blocks(asked: DataFrame, right: DataFrame, k: int, metric: str, floor: float | None) -> DataFrame:
     """Search block against block; each group is one block of queries and one of vectors."""
     pairs = asked.select(F.col("q_block").alias("from_block"), F.col("t_block").alias("to_block")).distinct()
@@ -306,6 +174,39 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Per key of ``exact``: ``n_near`` neighbours and the share ``recall`` of them in ``found``; the same over all keys.
+
+    Both are results of :func:`knn` with the same k; a neighbour as near as the last exact one counts as found.
+    """
+    last = exact.groupBy("key").agg(F.count(F.lit(1)).alias("n_near"), F.max_by("score", "rank").alias("last"), F.min_by("score", "rank").alias("first"))
+    near = F.when(F.col("last") <= F.col("first"), F.col("score") >= F.col("last")).otherwise(F.col("score") <= F.col("last"))
+    hits = found.join(last.select("key", "last", "first"), "key").filter(near).groupBy("key").agg(F.count(F.lit(1)).alias("n_found"))
+    each = freeze(last.join(hits, "key", "left").select(
+        "key", "n_near", (F.least(F.coalesce("n_found", F.lit(0)), "n_near") / F.col("n_near")).alias("recall")))
+    total = each.agg(F.sum("n_near").alias("n_all"), (F.sum(F.col("recall") * F.col("n_near")) / F.sum("n_near")).alias("recall_all"))
+    return each.join(F.broadcast(total), F.lit(True))  # one row
+
+
+def probes_for(
+    queries: DataFrame, corpus: DataFrame | None = None, k: int = 10, goal: float = 0.95, n_sample: int = 256, **search
+) -> int:
+    """The least power of two of ``probes`` with which ``n_sample`` queries, picked by hash, reach a recall of ``goal``.
+
+    The sample only sets the number of probes; it is searched in the whole corpus, once exactly and once per trial.
+    """
+    stored = queries if corpus is None else corpus
+    sample = freeze(queries.select("key", "vector").orderBy(hash32(F.col("key"), "sample"), "key").limit(n_sample))
+    exact = freeze(knn(sample, stored, k=k, **search))
+    probes = 1
+    while probes < MAX_PIVOTS:  # so many probes leave no cell out
+        row = recall(knn(sample, stored, k=k, probes=probes, **search), exact).first()
+        if row is None or row.recall_all >= goal:
+            break
+        probes *= 2
+    return probes
+
+
 def record_vectors(vectors: DataFrame) -> DataFrame:
     """Only the vectors of rows (``idx__<number>``)."""
     return vectors.filter(F.col("key").rlike("^idx__[0-9]+$"))

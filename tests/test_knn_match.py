@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from rowloom.functions.stats import kendall_p
 from rowloom.operators import evaluate as V
 from rowloom.operators import knn as K
+from rowloom.operators import vector_cells as C
 from rowloom.operators import match as M
 
 
@@ -50,6 +51,39 @@ def test_knn_is_exact(vectors, metric, block, floor):
     assert found(got) == brute(vectors, 7, metric, floor)
 
 
+@pytest.mark.parametrize("metric, pivots, floor", [("cosine", 4, None), ("l2", 2, None)])
+def test_knn_is_exact_in_a_tree_of_cells(vectors, metric, pivots, floor):
+    got = K.knn(vectors, k=7, metric=metric, block_rows=3, max_pivots=pivots, floor=floor)
+    assert found(got) == brute(vectors, 7, metric, floor)
+
+
+def test_cells_of_a_tree_are_bounded(vectors):
+    different = vectors.dropDuplicates(["vector"]).cache()
+    tree, blocked = C.build(different, "cosine", block_rows=2, max_pivots=3)
+    assert len(tree.levels) == 2 and tree.top.split.any() and tree.levels[0].filter("split").count() > 0
+    assert blocked.count() == different.count() == blocked.select("key").distinct().count()
+    assert tree.leaves.agg(F.max("n_blocks")).first()[0] <= C.SPLIT_BLOCKS
+    for level in tree.levels:  # rings hold all radii, parents are cells of the level above
+        assert level.filter("lo > hi and n_blocks > 0").isEmpty()
+
+
+def test_queries_of_another_table_go_down_the_tree(vectors):
+    a, b = vectors.filter("key like '%1'"), vectors.filter("key not like '%1'")
+    got = found(K.knn(a, b, k=3, block_rows=3, max_pivots=4))
+    assert got == found(K.knn(a, b, k=3)) and len(got) == a.count()
+
+
+def test_vectors_that_cannot_be_told_apart(spark):
+    df = spark.createDataFrame([(f"idx__{i}", [1.0, i * 1e-7]) for i in range(200)], "key string, vector array<float>")
+    got = found(K.knn(df, k=2, block_rows=2, max_pivots=2))
+    assert got == brute(df, 2, "cosine")
+
+
+def test_knn_of_no_vectors(spark):
+    none = spark.createDataFrame([], "key string, vector array<float>")
+    assert K.knn(none, k=3, block_rows=2, max_pivots=2).count() == 0
+
+
 def test_knn_of_two_tables(vectors):
     a, b = vectors.filter("key like '%1'"), vectors.filter("key not like '%1'")
     got = found(K.knn(a, b, k=3, block_rows=30))
@@ -68,6 +102,18 @@ def test_probes_trade_recall(vectors):
     assert recall > 0.5
 
 
+def test_recall_and_probes_for_it(vectors):
+    exact = K.knn(vectors, k=7)
+    assert K.recall(exact, exact).filter("recall < 1 or recall_all < 1").isEmpty()
+    few = K.knn(vectors, k=7, block_rows=8, probes=1)
+    ours = K.recall(few, exact).first().recall_all
+    known = brute(vectors, 7, "cosine")
+    got = found(few)
+    assert ours >= np.sum([len(set(got.get(k, [])) & set(v)) for k, v in known.items()]) / sum(map(len, known.values())) - 1e-9
+    probes = K.probes_for(vectors, k=7, n_sample=40, block_rows=8)
+    assert K.recall(K.knn(vectors, k=7, block_rows=8, probes=probes), exact).first().recall_all >= 0.9
+
+
 def test_similarity_list_example(spark):
     pairs = [("banana", 0.8), ("cherry", 0.9), ("grape", 0.85), ("orange", 0.7), ("pear", 0.95), ("watermelon", 0.92)]
     df = spark.createDataFrame([("apple", w, s, i) for i, (w, s) in enumerate(pairs)], "id string, word string, score double, seq long")
