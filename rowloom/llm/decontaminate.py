@@ -4,8 +4,8 @@ The windows of all benchmark items (13 consecutive words; an item of fewer words
 one window) form a hash set. A scan of the documents looks up every word window in it, compares the
 words of each hit, and marks the words inside as hit.
 
-The set is broadcast only while the items' texts are within ``broadcast_bytes``. Beyond that the
-windows of the documents are joined to those of the items by a 128-bit hash.
+The set, as arrays, is broadcast only while its built size is within ``broadcast_bytes``. Beyond that the
+windows of the documents are joined to those of the items by a 128-bit hash, whose words are not compared.
 
 Cases: a null or wordless text has no hits; a null or wordless item has no windows; an item without
 id marks words, but is not counted or named; items of the same id count once; repeated documents
@@ -31,6 +31,9 @@ from rowloom.llm.words import LOWER, U64, Words, mix, windows, words_of
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
+#: Of the built set: a window has a hash, two places, an item and the place of its items; an item its name.
+WINDOW_BYTES = 36
+ITEM_BYTES = 64
 #: A document is contaminated if at least one in so many of its words is hit.
 HIT_SHARE = 20
 
@@ -38,61 +41,95 @@ FINDINGS = "n_words long, n_hit long, n_items long, items_sha256 string, contami
 
 
 class WindowSet:
-    """Windows of the items: by length the sorted hashes, and by their words the items' ids."""
+    """Different windows of the items in arrays, by length, and the numbers of the items that hold them.
+
+    ``names`` are the ids of the items, sorted as strings; an item without id has the number -1. The words
+    of all items, joined by spaces, are kept once to compare the words of a hit.
+    """
 
     def __init__(self, rows: list[tuple], window: int):
-        self.items: dict[bytes, set] = defaultdict(set)
-        hashes = defaultdict(list)
+        self.names = sorted({str(item) for item, _ in rows if item is not None})
+        number = {name: i for i, name in enumerate(self.names)}
+        numbers = np.array([-1 if item is None else number[str(item)] for item, _ in rows], np.int32)
         w = words_of(pa.array([text for _, text in rows], pa.string()))
         lowered = LOWER[w.buffer].tobytes()
-        for i, (item, _) in enumerate(rows):
-            begin, stop = int(w.first[i]), int(w.first[i + 1])
-            length = min(window, stop - begin)
-            for at in range(begin, stop - length + 1) if length else ():
-                self.items[phrase(w, lowered, at, length)].add(item)
-                hashes[length].append(_hash_at(w, at, length))
-        self.hashes = {n: np.unique(np.array(h, U64)) for n, h in hashes.items()}
-        self.items = dict(self.items)
+        self.words = b" ".join([lowered[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)])
+        sizes = w.end - w.start
+        start = np.cumsum(sizes + 1) - sizes - 1
+        self.by_length = {}
+        for length in range(1, window + 1):
+            hashes, at = windows(w, length)
+            owner = np.searchsorted(w.first, at, "right") - 1
+            if length < window:
+                whole = w.counts[owner] == length
+                hashes, at, owner = hashes[whole], at[whole], owner[whole]
+            if len(at):
+                last = at + length - 1
+                self.by_length[length] = self._grouped(hashes, start[at], start[last] + sizes[last], numbers[owner])
+
+    def _grouped(self, hashes, begin, end, item) -> tuple[np.ndarray, ...]:
+        """Hash, first and last byte of each different window, and where its items begin among all ``item``."""
+        order = np.argsort(hashes, kind="stable")
+        hashes, begin, end, item = hashes[order], begin[order], end[order], item[order]
+        text = lambda i: self.words[begin[i] : end[i]]
+        new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        again = np.flatnonzero(~new)
+        if any(text(i) != text(i - 1) for i in again.tolist()):  # two texts of one hash: order its windows by text
+            order = np.array(sorted(range(len(hashes)), key=lambda i: (hashes[i], text(i))))
+            hashes, begin, end, item = hashes[order], begin[order], end[order], item[order]
+            new[again] = [text(i) != text(i - 1) for i in again.tolist()]
+        first = np.flatnonzero(new)
+        return hashes[first], begin[first], end[first], np.append(first, len(item)), item
+
+    def find(self, length: int, hash: int, at: int, text: bytes) -> int:
+        """Number of the window among those of its length, or -1; ``at`` is the first one of its hash."""
+        hashes, begin, end, *_ = self.by_length[length]
+        while at < len(hashes) and hashes[at] == hash:
+            if self.words[begin[at] : end[at]] == text:
+                return at
+            at += 1
+        return -1
+
+    def named(self, found: set[tuple[int, int]]) -> tuple[int, str]:
+        """How many items hold the windows (length and number), and the digest of their ids."""
+        held = [np.zeros(0, np.int32)]
+        for length, at in found:
+            *_, first, item = self.by_length[length]
+            held.append(item[first[at] : first[at + 1]])
+        numbers = np.unique(np.concatenate(held))
+        names = [self.names[i] for i in numbers[numbers >= 0].tolist()]
+        return len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
 def phrase(w: Words, lowered: bytes, at: int, length: int) -> bytes:
     return b" ".join([lowered[w.start[i] : w.end[i]] for i in range(at, at + length)])
 
 
-def _hash_at(w: Words, at: int, length: int) -> np.uint64:
-    part = Words(w.hash[at : at + length], w.start, w.end, np.array([0, length]), w.buffer, w.offset)
-    return windows(part, length)[0][0]
-
-
-def _named(ids: set) -> tuple[int, str]:
-    names = sorted({str(i) for i in ids if i is not None})
-    return len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
-
-
 def scan(texts: pa.Array, known: WindowSet) -> dict[str, list]:
     """Findings for each text of a block, and the byte spans that are hit."""
     w = words_of(texts)
     lowered = LOWER[w.buffer].tobytes()
     change = np.zeros(len(w.hash) + 1, np.int64)
     items: dict[int, set] = defaultdict(set)
-    for length, hashes in known.hashes.items():
+    for length, (hashes, *_) in known.by_length.items():
         found, at = windows(w, length)
         likely = np.zeros(1 << 20, bool)  # by 20 bits of the hash, so that few windows need a search
         likely[(hashes >> U64(44)).astype(np.int64)] = True
         chosen = np.flatnonzero(likely[(found >> U64(44)).astype(np.int64)])
         place = np.minimum(np.searchsorted(hashes, found[chosen]), len(hashes) - 1)
-        chosen = chosen[hashes[place] == found[chosen]]
+        same = hashes[place] == found[chosen]
+        chosen, place = chosen[same], place[same]
         owners = np.searchsorted(w.first, at[chosen], "right") - 1
-        for i, owner in zip(at[chosen].tolist(), owners.tolist(), strict=True):
-            ids = known.items.get(phrase(w, lowered, i, length))
-            if ids is not None:
+        for i, h, p, owner in zip(at[chosen].tolist(), found[chosen], place.tolist(), owners.tolist(), strict=True):
+            number = known.find(length, h, p, phrase(w, lowered, i, length))
+            if number >= 0:
                 change[i] += 1
                 change[i + length] -= 1
-                items[owner] |= ids
+                items[owner].add((length, number))
     hit = np.cumsum(change[:-1]) > 0
     sums = np.concatenate(([0], np.cumsum(hit)))
     n_hit = sums[w.first[1:]] - sums[w.first[:-1]]
-    named = [_named(items.get(i, set())) for i in range(len(texts))]
+    named = [known.named(items.get(i, set())) for i in range(len(texts))]
     return {
         "n_words": w.counts.tolist(),
         "n_hit": n_hit.tolist(),
@@ -115,9 +152,13 @@ def _spans(w: Words, hit: np.ndarray, text: int) -> list[tuple[int, int]]:
     return [(int(w.start[i]) - base, int(w.end[j]) - base) for i, j in zip(begin, end, strict=True)]
 
 
-def _small(items: DataFrame, text: str, limit: int) -> bool:
-    size = items.agg(F.sum(F.octet_length(col(text)) + F.lit(64))).first()[0] or 0
-    return size <= limit
+def _small(items: DataFrame, item: str, text: str, limit: int) -> bool:
+    """Whether the built set of windows is within ``limit`` bytes: texts, ids, and ``WINDOW_BYTES`` a word."""
+    word = F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")
+    size = F.octet_length(col(text)) + F.regexp_count(col(text), word) * WINDOW_BYTES
+    name = F.octet_length(col(item).cast("string")) + ITEM_BYTES
+    total = items.agg(F.sum(F.coalesce(size, F.lit(0)) + F.coalesce(name, F.lit(ITEM_BYTES)))).first()[0] or 0
+    return total <= limit
 
 
 def _window_set(items: DataFrame, item: str, text: str, window: int):
@@ -130,7 +171,7 @@ def contamination(
     item_text: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """One row per document: its id and the findings (``FINDINGS``)."""
-    if not _small(items, item_text, broadcast_bytes):
+    if not _small(items, item, item_text, broadcast_bytes):
         return _joined(docs, items, id, text, item, item_text, window)
     known = _window_set(items, item, item_text, window)
     narrow = docs.select(col(id).alias(id), col(text).alias("t"))
@@ -162,9 +203,9 @@ def remove(
     """``docs`` without its contaminated documents, or (``what="spans"``) without their hit words."""
     if what not in ("documents", "spans"):
         raise ValueError("what must be documents or spans")
-    if not _small(items, item_text, broadcast_bytes):
+    if not _small(items, item, item_text, broadcast_bytes):
         if what == "spans":
-            raise ValueError("spans are removed only with items that can be broadcast")
+            return _spans_cut(docs, _hits(docs, items, id, text, item, item_text, window), id, text)
         flag, row = fresh(docs, "found"), fresh(docs, "row_hash")
         found = _joined(docs, items, id, text, item, item_text, window, row).filter("contaminated")
         found = found.select(col(id).alias(flag), col(row).alias(f"{flag}_hash")).distinct()
@@ -214,15 +255,48 @@ def _window_rows(df: DataFrame, key: list[str], lengths, whole_short: bool, wind
     return df.mapInArrow(run, schema)
 
 
-def _joined(docs, items, id, text, item, item_text, window, row="row_hash") -> DataFrame:
-    """As :func:`contamination`, for item sets of any size; ``row`` is added as a column."""
+def _hits(docs, items, id, text, item, item_text, window) -> DataFrame:
+    """``k, h, at, length, item``: windows of the documents that an item holds, by id and hash of the text."""
     wanted = written(
         _window_rows(items.select(col(item).alias("item"), col(item_text).alias("t")), ["item"], (), True, window)
         .select("item", "length", "h1", "h2").distinct(), "windows")
     lengths = [r[0] for r in wanted.select("length").distinct().collect()]  # at most ``window`` numbers
+    narrow = docs.select(col(id).alias("k"), text_hash(text).alias("h"), col(text).alias("t")).dropDuplicates(["k", "h"])
+    hits = _window_rows(narrow, ["k", "h"], lengths, False, window).join(wanted, ["length", "h1", "h2"])
+    return written(hits.select("k", "h", "at", "length", "item").distinct(), "hits")
+
+
+def _spans_cut(docs: DataFrame, hits: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` with the hit words of contaminated documents cut out of their texts."""
+    flag = fresh(docs, "found")
+    # a list of one text's windows, no longer than the text
+    marks = hits.groupBy("k", "h").agg(F.collect_set(F.struct("at", "length")).alias("marks"))
+    marks = marks.select(F.col("k").alias(flag), F.col("h").alias(f"{flag}_hash"), F.col("marks").alias(f"{flag}_marks"))
+    same = col(id).eqNullSafe(col(flag)) & (text_hash(text) == col(f"{flag}_hash"))
+    joined = docs.join(marks, same, "left").select(*(col(c) for c in docs.columns), f"{flag}_marks")
+    place, n = docs.columns.index(text), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for i, found in enumerate(batch.column(n).to_pylist()):
+                if found:
+                    w = words_of(batch.column(place).slice(i, 1))
+                    hit = np.zeros(len(w.hash), bool)
+                    for mark in found:
+                        hit[mark["at"] : mark["at"] + mark["length"]] = True
+                    if HIT_SHARE * int(hit.sum()) >= len(hit):
+                        texts[i] = _cut(texts[i], _spans(w, hit, 0))
+            kept = batch.select(range(n))
+            yield kept.set_column(place, kept.schema.field(place), pa.array(texts, kept.schema.field(place).type))
+
+    return joined.mapInArrow(run, docs.schema)
+
+
+def _joined(docs, items, id, text, item, item_text, window, row="row_hash") -> DataFrame:
+    """As :func:`contamination`, for item sets of any size; ``row`` is added as a column."""
+    hits = _hits(docs, items, id, text, item, item_text, window)
     narrow = docs.select(col(id).alias("k"), text_hash(text).alias("h"), col(text).alias("t"))
-    hits = _window_rows(narrow.dropDuplicates(["k", "h"]), ["k", "h"], lengths, False, window).join(wanted, ["length", "h1", "h2"])
-    hits = written(hits.select("k", "h", "at", "length", "item").distinct(), "hits")
     words = hits.select("k", "h", F.explode(F.sequence("at", F.col("at") + F.col("length") - 1)).alias("p")).distinct()
     words = words.groupBy("k", "h").agg(F.count("*").alias("n_hit"))
     names = hits.filter("item is not null").select("k", "h", F.col("item").cast("string").alias("item")).distinct()

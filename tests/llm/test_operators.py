@@ -7,11 +7,13 @@ import tracemalloc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rowloom.llm import bpe, decontaminate, fingerprints, language, near_dup, quotations, resharding, sentence_spans, url_templates, warc
 from rowloom.llm.components import components
+from rowloom.llm.words import windows
 from rowloom.session import ensure_checkpoint_dir
 
 SCHEMA = "doc_id long, text string, lang string, key string, DIGEST string, shard string"
@@ -301,12 +303,32 @@ def test_decontamination(docs, none, items):
         assert sorted((tuple(r) for r in got), key=repr) == want
         kept = decontaminate.remove(docs, items, broadcast_bytes=limit)
         assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((w[0] for w in want if not w[5]), key=repr)
-    spans = {r.doc_id: r.text for r in decontaminate.remove(docs, items, what="spans").collect()}
+    cut = [sorted(decontaminate.remove(docs, items, what="spans", broadcast_bytes=limit).collect(), key=repr) for limit in (1 << 20, 0)]
+    assert cut[0] == cut[1] and len(cut[0]) == len(ROWS)
+    spans = {r.doc_id: r.text for r in cut[0]}
     assert spans[4] == ROWS[4][1] and 0 < len(spans[1]) < len(BASE) and spans[5] is None
     assert decontaminate.contamination(none, items).count() == 0
     assert decontaminate.contamination(docs, items.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_windows_of_many_items_fit_their_estimate(spark):
+    rows = [(i, prose(i, 400)) for i in range(200)] + [(f"copy{i}", prose(7, 400)) for i in range(100)] + [(None, prose(9, 30)), (1000, "a b"), (1001, None)]
+    rows = [(None if i is None else str(i), t) for i, t in rows]
+    known = decontaminate.WindowSet(rows, 13)
+    built = len(known.words) + sum(a.nbytes for arrays in known.by_length.values() for a in arrays) + sum(len(n) for n in known.names)
+    texts = spark.createDataFrame(rows, "item_id string, text string")
+    assert decontaminate._small(texts, "item_id", "text", 2 * built) and not decontaminate._small(texts, "item_id", "text", built)
+    found = decontaminate.scan(pa.array([prose(7, 400), "A b", prose(9, 30)]), known)
+    assert found["n_items"] == [101, 1, 1 if any(i == "9" for i, _ in rows) else 0] and found["n_hit"] == [400, 2, 30]
+
+
+def test_windows_of_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "windows", lambda w, n: (windows(w, n)[0] & decontaminate.U64(3 << 62), windows(w, n)[1]))
+    rows = [(1, prose(1, 40)), (2, prose(2, 40)), (3, prose(1, 40)), (4, "c d")]
+    found = decontaminate.scan(pa.array([prose(1, 40), prose(2, 30), prose(3, 40), "C, d"]), decontaminate.WindowSet(rows, 13))
+    assert found["n_hit"] == [40, 30, 0, 2] and found["n_items"] == [2, 1, 0, 1]
+
+
 def test_fingerprints(docs, none):
     got = fingerprints.compare_with_next(docs).collect()
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
