@@ -2,11 +2,12 @@
 
 A list of rules decides the urls that it covers; the verdicts of those are the labels from which the
 others are judged. Per host the path segments form a tree. Segments with a digit or of more than
-``LONG`` characters are variable and become ``*``. A branch whose share of blocked labels does not
-differ from that of all its siblings (chi-square with one degree of freedom under ``CHI2``, or no
-labels) is merged into ``*`` as well, however many or few its pages are. What is left is the page's
-template, at any depth. A template is blocked if its share of blocked labels, smoothed by that of its
-host and this by that of all, is at least ``PURITY``.
+``LONG`` characters are variable and become ``*``. A branch with labels stays apart if its share of blocked
+ones differs (chi-square with one degree of freedom of at least ``CHI2``) from that of all its siblings together or,
+beside siblings without labels and where no branch above it stands apart yet, from that of all labels. All other branches, and those without
+labels, are merged into ``*``, however many or few their pages are. What is left is the page's template, at any
+depth. A template is blocked if its share of blocked labels is at least ``PURITY``, smoothed by that of the
+host's pages outside of branches that stand apart, and this by that of all labels.
 
 Cases: a null url, or one without ``://``, has an empty host and path and is judged like any other host;
 an empty url or path has one empty segment; equal urls are judged alike, each in its own row; without
@@ -22,9 +23,8 @@ from rowloom.llm.common import col, written
 from rowloom.llm.registry import query, table
 
 LONG = 24
-#: Of the SQL alone, which has a fixed number of levels and merges siblings of under one in ``RARE`` pages untested.
-LEVELS = 6
-RARE = 50
+#: Levels of the SQL alone, which has a fixed number of them; the given paths have three.
+LEVELS = 8
 CHI2 = 3.84
 SMOOTHING = 4.0
 PURITY = 0.5
@@ -60,29 +60,61 @@ def _segments() -> Column:
     return F.transform(parts, lambda s: F.when(F.regexp_like(s, F.lit("[0-9]")) | (F.char_length(s) > LONG), "*").otherwise(s))
 
 
-def templates(pages: DataFrame, key: str) -> DataFrame:
-    """``pages`` with a column ``template``. Needs ``host, path, bad`` (1, 0 or null) and ``key``."""
-    state = written(pages.select("host", "path", "bad", key).withColumn("segs", _segments()).withColumn("template", F.lit("")), "level0")
-    levels = state.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(levels):
-        own = state.withColumn("seg", F.col("segs")[level] if level == 0 else F.when(F.size("segs") > level, F.get("segs", F.lit(level))))
-        stats = own.filter("seg is not null").groupBy("host", "template", "seg").agg(
-            F.count("bad").alias("labels"), F.sum("bad").alias("bads"))
-        stats = written(stats.withColumn("bads", F.coalesce("bads", F.lit(0))), "segments")
-        whole = stats.groupBy("host", "template").agg(F.sum("labels").alias("all_labels"), F.sum("bads").alias("all_bads"))
-        whole = written(whole.filter("all_bads > 0 and all_bads < all_labels"), "parents")
-        if whole.isEmpty():  # no branch below can be told apart any more
-            rest = F.expr(f"repeat('/*', greatest(size(segs) - {level}, 0))")
-            return state.withColumn("template", F.concat("template", rest))
-        literal = stats.join(whole, ["host", "template"]).filter("seg <> '*'")
-        expected = F.col("labels").cast("double") * F.col("all_bads") / F.col("all_labels")
-        spread = expected * (F.col("all_labels") - F.col("all_bads")) / F.col("all_labels")
-        apart = (F.col("bads") - expected) * (F.col("bads") - expected)
-        literal = literal.filter("labels > 0").filter(apart >= CHI2 * spread)
-        literal = written(literal.select("host", "template", "seg", F.lit(True).alias("literal")), "literal")
-        own = own.join(literal, ["host", "template", "seg"], "left")
-        step = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise("*"))
-        state = written(own.select("host", "path", "bad", key, "segs", F.when(F.col("seg").isNull(), F.col("template")).otherwise(step).alias("template")), "level")
+def _apart(share: Column) -> Column:
+    """Whether the labels of a branch differ from a share; ``expected`` and its variance are of a binomial law."""
+    expected = F.col("labels").cast("double") * share
+    gap = F.col("bads") - expected
+    return gap * gap >= CHI2 * (expected * (1 - share))
+
+
+def templates(paths: DataFrame) -> DataFrame:
+    """``host, path, template, kept, labels, bads`` of different paths ``host, path, labels, bads``.
+
+    ``kept`` tells whether a branch of the template stands apart. Only paths below branches that labels may still
+    tell apart go on to the next level.
+    """
+    state = paths.withColumns({"segs": _segments(), "template": F.lit(""), "kept": F.lit(False)})
+    state = written(state, "paths")
+    labels, bads = state.agg(F.sum("labels"), F.sum("bads")).first()
+    overall = bads / labels if labels and 0 < bads < labels else None
+    columns = ["host", "path", "template", "kept", "labels", "bads"]
+    done, level = [], 0
+    while True:
+        rest = F.expr(f"repeat('/*', greatest(size(segs) - {level}, 0))")
+        stats = state.filter(F.size("segs") > level).groupBy("host", "template", "kept", F.col("segs")[level].alias("seg")).agg(
+            F.sum("labels").alias("labels"), F.sum("bads").alias("bads"))
+        stats = written(stats, "segments")
+        whole = stats.groupBy("host", "template", "kept").agg(
+            F.sum("labels").alias("labels"), F.sum("bads").alias("bads"), F.bool_or(F.col("labels") == 0).alias("bare"))
+        mixed = (F.col("bads") > 0) & (F.col("bads") < F.col("labels"))
+        # labels of one kind that don't stand apart as a whole have no part that does
+        against_all = ~F.col("kept") & (F.col("labels") > 0) & (mixed | _apart(F.lit(overall))) if overall is not None else F.lit(False)
+        parents = whole.filter(mixed | against_all).select(
+            F.col("host").alias("p_host"), F.col("template").alias("p_template"), "bare",
+            F.when(mixed, F.col("bads").cast("double") / F.col("labels")).alias("share"))
+        parents = written(parents, "parents")
+        of_parent = (F.col("host") == F.col("p_host")) & (F.col("template") == F.col("p_template"))
+        if parents.isEmpty():  # no branch below can be told apart any more
+            break
+        apart = F.coalesce(_apart(F.col("share")), F.lit(False))
+        if overall is not None:
+            apart = apart | (F.col("bare") & ~F.col("kept") & _apart(F.lit(overall)))
+        literal = stats.join(parents, of_parent).filter("seg <> '*' and labels > 0").filter(apart).select(
+            F.col("host").alias("l_host"), F.col("template").alias("l_template"), F.col("seg").alias("l_seg"))
+        literal = written(literal, "literal")
+        going = F.size("segs") > level
+        closed = state.join(parents, of_parent & going, "left_anti").withColumn("template", F.concat("template", rest))
+        done.append(written(closed.select(columns), "closed"))
+        seg = F.col("segs")[level]
+        same = (F.col("host") == F.col("l_host")) & (F.col("template") == F.col("l_template")) & (seg == F.col("l_seg"))
+        below = state.filter(going).join(parents, of_parent, "left_semi").join(literal, same, "left")
+        step = F.concat("template", F.lit("/"), F.coalesce("l_seg", F.lit("*")))
+        below = below.withColumns({"template": step, "kept": F.col("kept") | F.col("l_seg").isNotNull()})
+        state = written(below.select(*columns, "segs"), "level")
+        level += 1
+    state = state.withColumn("template", F.concat("template", rest)).select(columns)
+    for part in done:
+        state = state.unionByName(part)
     return state
 
 
@@ -96,17 +128,21 @@ def judge(pages: DataFrame, *, id: str = "page_id", url: str = "url", rules: lis
     base = base.select("k", "l", host.alias("host"), path.alias("path"))
     rule, verdict = _ruled(rules)
     bad = F.coalesce(F.when(verdict == "block", 1).when(verdict == "allow", 0), F.col("l"))
-    state = templates(base.withColumn("bad", bad), "k")
-    found = state.groupBy("host", "template").agg(F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
+    base = base.withColumn("bad", bad)
+    paths = base.groupBy("host", "path").agg(F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
+    state = written(templates(paths), "state")
+    found = state.groupBy("host", "template").agg(
+        F.first("kept").alias("kept"), F.sum("labels").alias("labels"), F.sum("bads").alias("bads"))
     found = written(found, "templates")
-    hosts = written(found.groupBy("host").agg(F.sum("labels").alias("host_labels"), F.sum("bads").alias("host_bads")), "hosts")
-    labels, bads = hosts.agg(F.sum("host_labels"), F.sum("host_bads")).first()
+    outside = lambda c: F.sum(F.when(F.col("kept"), 0).otherwise(F.col(c)))
+    hosts = written(found.groupBy("host").agg(outside("labels").alias("host_labels"), outside("bads").alias("host_bads")), "hosts")
+    labels, bads = found.agg(F.sum("labels"), F.sum("bads")).first()
     prior = ((bads or 0) + 1.0) / ((labels or 0) + 2.0) if labels else 0.0
     of_host = (F.col("host_bads") + SMOOTHING * F.lit(prior)) / (F.col("host_labels") + SMOOTHING)
     purity = (F.col("bads") + SMOOTHING * of_host) / (F.col("labels") + SMOOTHING)
     found = written(found.join(hosts, "host").select("host", "template", purity.alias("purity")), "purity")
-    rule, verdict = _ruled(rules)
-    return state.join(found, ["host", "template"]).select(
+    judged = state.select("host", "path", "template").join(found, ["host", "template"])
+    return base.select("k", "host", "path").join(judged, ["host", "path"]).select(
         F.col("k").alias(id), "host", "path", rule.alias("rule"),
         F.coalesce(verdict, F.when(F.col("purity") >= PURITY, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
@@ -122,30 +158,34 @@ WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 b AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
   regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM a),
 c AS (SELECT *, {cases['rule']} AS rule, {cases['verdict']} AS ruled FROM b),
-s0 AS (SELECT page_id, host, path, rule, ruled, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad, '' AS t,
+s0 AS (SELECT page_id, host, path, rule, ruled, CASE ruled WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS bad, '' AS t, FALSE AS kept,
   list_transform(list_slice(string_split(regexp_replace(path, '^/', ''), '/'), 1, {LEVELS}),
-    lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > {LONG} THEN '*' ELSE x END) AS segs FROM c)"""
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR length(x) > {LONG} THEN '*' ELSE x END) AS segs FROM c),
+o AS (SELECT sum(bad)::DOUBLE / count(bad) AS q FROM s0)"""
+    apart = "(bads - labels * {0}) * (bads - labels * {0}) >= " + f"{CHI2}::DOUBLE * " + "(labels * {0} * (1 - {0}))"
     for i in range(1, LEVELS + 1):
         sql += f""",
-n{i} AS (SELECT host, t, segs[{i}] AS seg, count(*) AS n, count(bad) AS labels, coalesce(sum(bad), 0) AS bads FROM s{i - 1} WHERE len(segs) >= {i} GROUP BY ALL),
-w{i} AS (SELECT host, t, sum(n) AS all_n, sum(labels) AS all_labels, sum(bads) AS all_bads FROM n{i} GROUP BY host, t),
-x{i} AS (SELECT host, t, seg, bads, labels::DOUBLE * all_bads / all_labels AS expected, all_bads, all_labels FROM n{i} JOIN w{i} USING (host, t)
-  WHERE seg <> '*' AND n * {RARE} >= all_n AND labels > 0 AND all_bads > 0 AND all_bads < all_labels),
-l{i} AS (SELECT host, t, seg FROM x{i} WHERE (bads - expected) * (bads - expected) >= {CHI2}::DOUBLE * (expected * (all_labels - all_bads) / all_labels)),
-s{i} AS (SELECT s.page_id, s.host, s.path, rule, ruled, bad, segs,
+n{i} AS (SELECT host, t, kept, segs[{i}] AS seg, count(bad)::DOUBLE AS labels, coalesce(sum(bad), 0)::DOUBLE AS bads FROM s{i - 1} WHERE len(segs) >= {i} GROUP BY ALL),
+w{i} AS (SELECT host, t, sum(bads) / sum(labels) AS share, bool_or(labels = 0) AS bare FROM n{i} GROUP BY host, t HAVING sum(labels) > 0),
+l{i} AS (SELECT host, t, seg FROM n{i} JOIN w{i} USING (host, t) CROSS JOIN o WHERE seg <> '*' AND labels > 0 AND (
+  (share > 0 AND share < 1 AND {apart.format('share')}) OR (bare AND NOT kept AND q > 0 AND q < 1 AND {apart.format('q')}))),
+s{i} AS (SELECT s.page_id, s.host, s.path, rule, ruled, bad, segs, s.kept OR l.seg IS NOT NULL AS kept,
   CASE WHEN len(segs) < {i} THEN s.t WHEN l.seg IS NULL THEN s.t || '/*' ELSE s.t || '/' || l.seg END AS t
   FROM s{i - 1} s LEFT JOIN l{i} l ON s.host = l.host AND s.t = l.t AND segs[{i}] = l.seg)"""
     return sql + f""",
-f AS (SELECT host, t, count(bad) AS labels, coalesce(sum(bad), 0) AS bads FROM s{LEVELS} GROUP BY host, t),
-h AS (SELECT host, sum(labels) AS hl, sum(bads) AS hb FROM f GROUP BY host),
-g AS (SELECT CASE WHEN sum(hl) > 0 THEN (sum(hb)::DOUBLE + 1.0::DOUBLE) / (sum(hl)::DOUBLE + 2.0::DOUBLE) ELSE 0 END AS prior FROM h),
-p AS (SELECT f.host, t, (bads::DOUBLE + {SMOOTHING}::DOUBLE * ((hb::DOUBLE + {SMOOTHING}::DOUBLE * prior) / (hl::DOUBLE + {SMOOTHING}::DOUBLE)))
-  / (labels::DOUBLE + {SMOOTHING}::DOUBLE) AS purity FROM f JOIN h USING (host) CROSS JOIN g)
+f AS (SELECT host, t, bool_or(kept) AS kept, count(bad)::DOUBLE AS labels, coalesce(sum(bad), 0)::DOUBLE AS bads FROM s{LEVELS} GROUP BY host, t),
+h AS (SELECT host, sum(CASE WHEN kept THEN 0 ELSE labels END) AS hl, sum(CASE WHEN kept THEN 0 ELSE bads END) AS hb FROM f GROUP BY host),
+g AS (SELECT CASE WHEN sum(labels) > 0 THEN (sum(bads) + 1.0::DOUBLE) / (sum(labels) + 2.0::DOUBLE) ELSE 0 END AS prior FROM f),
+p AS (SELECT f.host, t, (bads + {SMOOTHING}::DOUBLE * ((hb + {SMOOTHING}::DOUBLE * prior) / (hl + {SMOOTHING}::DOUBLE)))
+  / (labels + {SMOOTHING}::DOUBLE) AS purity FROM f JOIN h USING (host) CROSS JOIN g)
 SELECT page_id, s.host, path, rule, coalesce(ruled, CASE WHEN purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, s.t AS template, purity
 FROM s{LEVELS} s JOIN p ON s.host = p.host AND s.t = p.t
 """
 
 
-@query("op3_url_templates", _sql())
+OP3_SQL = _sql()
+
+
+@query("op3_url_templates", OP3_SQL)
 def op3_url_templates(spark, sf_dir):
     return judge(table(spark, sf_dir, "pages"))

@@ -156,6 +156,35 @@ def test_url_templates(spark):
     assert url_templates.judge(pages.limit(0)).count() == 0
 
 
+def test_labels_of_one_kind_condemn_their_section_only(spark):
+    urls = [("http://one.com/de/{}", 1)] * 12 + [("http://one.com/en/{}", None)] * 12 + [("http://other.org/fr/{}", 0)] * 15
+    urls += [("http://few.com/de/{}", 1)] * 2 + [("http://few.com/en/{}", None)] * 2
+    rows = [(i, u.format(i), label) for i, (u, label) in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, label int")
+    got = {r.page_id: r for r in url_templates.judge(pages, rules=[], label="label").collect()}
+    assert len(got) == len(rows) and {got[i].verdict for i in range(12)} == {"block"} and {got[i].verdict for i in range(12, 39)} == {"allow"}
+    assert got[0].template == "/de/*" and got[12].template == "/*/*"
+    assert {got[i].template for i in range(39, 43)} == {"/*/*"}, "two labels are too few to tell a section apart"
+
+
+def test_url_templates_next_to_their_sql(spark):
+    import duckdb
+
+    rng = random.Random(5)
+    hosts = ["example.com", "a.example.com", "x.net", "b.example.net", "y.org", "Z.org", "q.io", ""]
+    parts = ["de", "en", "fr", "a", "b", "", "*", "p1", "a" * 30]
+    urls = [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(parts) for _ in range(rng.randrange(0, 6))) for _ in range(1500)]
+    urls += ["http://y.org/de/1"] * 300 + [None, "", "http://x.net", "no scheme/de/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": list(range(len(urls))), "url": pa.array(urls, pa.string())}))
+    columns = ["page_id", "host", "path", "rule", "verdict", "template"]
+    want = con.execute(f"SELECT {', '.join(columns)}, round(purity, 9) FROM ({url_templates.OP3_SQL})").fetchall()
+    got = [(*r[:6], round(r[6], 9)) for r in url_templates.judge(pages).select(*columns, "purity").collect()]
+    assert sorted(got) == sorted(want, key=lambda r: r[0])
+    assert len({r[5] for r in got}) > 10
+
+
 def test_url_templates_of_many_sections_and_deep_paths(spark):
     deep = "http://d.com/a/b/c/d/e/f/{}/x/y"
     urls = [(f"http://s.com/s{chr(97 + k // 26)}{chr(97 + k % 26)}/p", int(k % 4 == 0)) for k in range(80) for _ in range(20)]
