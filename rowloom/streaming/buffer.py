@@ -9,10 +9,11 @@ in one task, which a keyed state with a single key would.
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions.times import epoch_micros
@@ -23,6 +24,9 @@ from rowloom.streaming.windows import count_windows, micros, time_windows
 
 Handler = Callable[[DataFrame, int], None]
 
+#: One row per micro-batch: ``n_waiting`` records are in no full window yet (count windows).
+BATCHES = "batch bigint, n_rows bigint, n_bad bigint, n_windows bigint, n_waiting bigint, seconds double"
+
 _PROGRESS = "version bigint, n_records bigint, base bigint, n_windows bigint, fired_until timestamp"
 
 
@@ -41,11 +45,16 @@ class WindowBuffer:
     ``order`` gives the order of arrival inside a micro-batch. ``handler(windows, version)`` gets
     the records of all due windows with a ``window`` number; ``first_id`` is the first row id, for
     streams that go on from a stored graph.
+
+    ``checks`` are conditions by name, made of expressions that don't fail (``try_cast``, ``try_to_timestamp``).
+    A record that doesn't fulfil all of them, or has no time where windows need one, goes to the table
+    ``quarantine`` with the names of what it broke, gets no id, and doesn't stop the others. Each micro-batch stores
+    its own measures (``BATCHES``).
     """
 
     def __init__(
         self, spark: SparkSession, state_path: str, options: StreamOptions, order: list[str], handler: Handler,
-        ts: str | None = None, first_id: int = 0,
+        ts: str | None = None, first_id: int = 0, checks: dict[str, Column] | None = None,
     ) -> None:
         if options.window_strategy == "time" and ts is None:
             raise ValueError("time windows need a timestamp column")
@@ -56,6 +65,8 @@ class WindowBuffer:
         self.handler = handler
         self.ts = ts
         self.first_id = first_id
+        timed = {} if ts is None else {ts: F.col(ts).isNotNull()}
+        self.checks = {**timed, **(checks or {})}
         # a flush comes from another thread than the micro-batches
         self._lock = threading.Lock()
 
@@ -79,16 +90,50 @@ class WindowBuffer:
         with self._lock:
             self._take(batch, batch_id)
 
+    def quarantine(self) -> DataFrame | None:
+        """Records that broke a check, with ``reasons`` and ``version``; None where no batch was checked."""
+        folder = f"{self.path}/quarantine"
+        if not path_exists(self.spark, folder):
+            return None
+        return self.spark.read.option("basePath", folder).parquet(folder)
+
+    def batches(self) -> DataFrame:
+        """Measures of every micro-batch so far."""
+        folder = f"{self.path}/batches"
+        if not path_exists(self.spark, folder):
+            return self.spark.createDataFrame([], BATCHES)
+        return self.spark.read.schema(BATCHES).parquet(f"{folder}/*")
+
+    def _set_apart(self, batch: DataFrame, version: int) -> tuple[DataFrame, int]:
+        """The records that fulfil all checks, and the number of the others, which are stored."""
+        if not self.checks:
+            return batch, 0
+        broken = F.array_compact(F.array(*[
+            F.when(F.coalesce(holds, F.lit(False)), F.lit(None)).otherwise(F.lit(name)) for name, holds in self.checks.items()]))
+        marked = batch.withColumn("reasons", broken)
+        target = f"{self.path}/quarantine/version={version}"
+        marked.filter(F.size("reasons") > 0).write.mode("overwrite").parquet(target)
+        n_bad = self.spark.read.schema(marked.schema).parquet(target).count()
+        return marked.filter(F.size("reasons") == 0).drop("reasons"), n_bad
+
     def _take(self, batch: DataFrame, batch_id: int) -> None:
         # even versions are micro-batches, odd ones are flushes between them
         version = 2 * batch_id
+        began = time.monotonic()
         done = self.progress(before=version)
-        numbered = row_ids(batch, order=self.order, start=done.n_records + self.first_id)
+        good, n_bad = self._set_apart(batch, version)
+        numbered = row_ids(good, order=self.order, start=done.n_records + self.first_id)
         numbered = numbered.withColumn("seq", F.col("rid_no") - F.lit(self.first_id))
         target = f"{self.path}/records/version={version}"
         numbered.write.mode("overwrite").parquet(target)
         n_new = self.spark.read.parquet(target).count()
-        self._fire(done, version, done.n_records + n_new, keep_rest=False)
+        now = self._fire(done, version, done.n_records + n_new, keep_rest=False)
+        waiting = now.n_records - now.base if self.options.window_strategy == "count" else None
+        row = (batch_id, n_new, n_bad, now.n_windows - done.n_windows, waiting, time.monotonic() - began)
+        self._store([row], BATCHES, f"batches/v{version}")
+
+    def _store(self, rows: list[tuple], schema: str, name: str) -> None:
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{name}")
 
     def flush(self) -> bool:
         """Process the rows of the last, partial window, as after a time without input.
@@ -103,7 +148,7 @@ class WindowBuffer:
             self._fire(done, done.version + 1, done.n_records, keep_rest=True)
             return True
 
-    def _fire(self, done: Progress, version: int, total: int, keep_rest: bool) -> None:
+    def _fire(self, done: Progress, version: int, total: int, keep_rest: bool) -> Progress:
         due = self._due_count(done, total, keep_rest) if self.options.window_strategy == "count" else self._due_time(
             done, version, keep_rest
         )
@@ -111,9 +156,8 @@ class WindowBuffer:
         if windows is not None:
             self.handler(windows, version)
         row = (version, total, progress.base, progress.n_windows, progress.fired_until)
-        self.spark.createDataFrame([row], _PROGRESS).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/progress/v{version}"
-        )
+        self._store([row], _PROGRESS, f"progress/v{version}")
+        return Progress(*row)
 
     def _due_count(self, done: Progress, total: int, keep_rest: bool):
         size = self.options.window_count

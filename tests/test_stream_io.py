@@ -58,6 +58,26 @@ def test_stream_windows_equal_batch(spark, tmp_path, slide):
     assert not buffer.flush()
 
 
+def test_bad_records_are_set_apart(spark, tmp_path):
+    rows = [("2024-01-01", "1.5"), ("2024-01-02", "2"), ("never", "3"), ("2024-01-03", "much"), (None, None), ("2024-01-04", "4")]
+    batch = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "no long, day string, price string")
+    checks = {"day": F.expr("try_to_timestamp(day) is not null"), "price": F.expr("price is null or try_cast(price as double) is not null")}
+    seen = []
+    options = StreamOptions(window_count=2)
+    buffer = WindowBuffer(spark, str(tmp_path), options, ["no"], lambda w, v: seen.extend((r.rid_no, r.no) for r in w.collect()), checks=checks)
+    for _ in range(2):  # a batch run again replaces its own rows
+        seen.clear()
+        buffer(batch, 0)
+    assert sorted(seen) == [(0, 0), (1, 1)]
+    assert {r.no: r.reasons for r in buffer.quarantine().collect()} == {2: ["day"], 3: ["price"], 4: ["day"]}
+    assert buffer.quarantine().count() == 3
+    buffer(batch.limit(0), 1)
+    buffer(batch.filter("no = 0"), 2)
+    measured = sorted(tuple(r)[:5] for r in buffer.batches().collect())
+    assert measured == [(0, 3, 3, 1, 1), (1, 0, 0, 0, 1), (2, 1, 0, 1, 0)]
+    assert sorted(seen) == [(0, 0), (1, 1), (2, 5), (3, 0)]
+
+
 def test_ids_go_on_after_restart(spark, tmp_path):
     rids = []
     options = StreamOptions(window_count=2)
