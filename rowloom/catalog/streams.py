@@ -245,6 +245,48 @@ def stream_metrics(spark, sf_dir):
     return listener.table(spark).select("batch", "n_rows")
 
 
+_BY_BATCH = """numbered AS (SELECT *, (event_id - low) // ((high - low + 3) // 3) AS batch, value >= 2 AND event_type <> 'error' AS good
+  FROM events, (SELECT min(event_id) AS low, max(event_id) AS high FROM events))"""
+
+
+def _checked(spark, sf_dir):
+    """Events in three batches, in windows of 500; small values and errors are set apart."""
+    path = scratch(spark)
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", "value")
+    _in_files(events, f"{path}/in", 3, "event_id")
+    checks = {"event_type": F.col("event_type") != "error", "value": F.col("value") >= 2}
+
+    def keep(windows, version):
+        _per_window(windows).write.mode("overwrite").parquet(f"{path}/out/version={version}")
+
+    buffer = WindowBuffer(spark, f"{path}/state", StreamOptions(window_count=500), ["ts", "event_id"], keep, checks=checks)
+    _run(f"{path}/in", events.schema, path, buffer, spark)
+    return buffer
+
+
+@query(
+    "stream_batches",
+    f"""WITH {_BY_BATCH},
+sizes AS (SELECT batch, count(*) FILTER (WHERE good) AS n_rows, count(*) FILTER (WHERE NOT good) AS n_bad FROM numbered GROUP BY batch),
+sums AS (SELECT *, sum(n_rows) OVER (ORDER BY batch) AS so_far FROM sizes)
+SELECT batch, n_rows, n_bad, CAST(so_far // 500 - (so_far - n_rows) // 500 AS BIGINT) AS n_windows, CAST(so_far % 500 AS BIGINT) AS n_waiting, TRUE AS timed FROM sums""",
+)
+def stream_batches(spark, sf_dir):
+    """Measures that each micro-batch stores itself."""
+    return _checked(spark, sf_dir).batches().select("batch", "n_rows", "n_bad", "n_windows", "n_waiting", (F.col("seconds") > 0).alias("timed"))
+
+
+@query(
+    "stream_quarantine",
+    f"""WITH {_BY_BATCH} SELECT event_id, batch, CASE WHEN event_type <> 'error' THEN 'value' WHEN value >= 2 THEN 'event_type' ELSE 'event_type,value' END AS reasons
+FROM numbered WHERE NOT good""",
+)
+def stream_quarantine(spark, sf_dir):
+    """Records that were set apart, and why."""
+    return _checked(spark, sf_dir).quarantine().select(
+        "event_id", F.floor(F.col("version") / 2).alias("batch"), F.array_join("reasons", ",").alias("reasons"))
+
+
 # --- files ----------------------------------------------------------------------------------
 
 
