@@ -46,7 +46,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-#: The banded search for near duplicates has no counterpart in SQL; tests/llm compares the stages with brute force.
+#: The banded search for near duplicates has no counterpart in SQL.
 ORACLE_SQL = None
 
 
