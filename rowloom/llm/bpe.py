@@ -1,15 +1,19 @@
 """Byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
 Texts are cut into chunks where a rolling hash of the last 16 bytes has zeros, so that equal passages
-give equal chunks wherever they stand. Chunks that several places share are encoded once: the
-``dictionary`` chunks that save the most bytes are encoded in a first pass and broadcast (bounded by
-their number and by ``longest`` bytes each); all others are encoded where they stand, once per task as
-long as its memo holds them.
-
-Joins are repaired: the text between the last sure position before a cut and the first one after it
-is encoded anew, over both chunks. A position is sure if a space stands there between two ASCII
-letters. No rule of the pre-tokenizer spans it, and none looks over it, so the encodings on both sides
-agree exactly with that of the whole text. A chunk without a sure position joins its neighbours.
+give equal chunks wherever they stand. Each chunk is encoded by itself, as if it were a text. Chunks that
+several places share are encoded once: the ``dictionary`` chunks that save the most bytes are encoded in a
+first pass and broadcast (bounded by their number and by ``LONGEST`` bytes each); all others are encoded
+where they stand, once per task as long as its memo holds them.
+
+Joins are repaired: the text around a cut is encoded anew, from a word boundary of the left chunk to one of
+the right chunk, and the ids of both chunks give way to the new ones in between. The window reaches one
+boundary further on either side than the word that is cut, and the ids there must agree with those of both
+chunks; while they do not, it is widened boundary by boundary, in the end to the whole text. A boundary is a place where the
+pre-tokenizer parts the text whatever stands around it: in front of white space, and where letters, digits
+and signs meet (but for an apostrophe in front of letters). What lies between two boundaries is therefore
+encoded as in the whole text, and ids that agree there agree everywhere. A chunk without boundaries gives
+way as a whole, and the window goes on into the next one.
 
 Encoding runs on ``tiktoken`` with the ranks of the given ``tokenizers`` file, which gives the same ids
 several times faster; the file must be byte-level BPE with its merges in the order of their ids.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -47,8 +52,18 @@ MEMO = 20_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-_LETTER = np.zeros(256, bool)
-_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+#: Kinds of ASCII characters; 0 is none of them.
+_LETTER, _DIGIT, _SIGN, _WHITE = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0x20] = _KIND[0x09:0x0E] = _WHITE
+#: White space outside ASCII, in any version of Unicode (fixed values): U+0085, U+00A0, U+1680, U+180E,
+#: U+2000 to U+200B, U+2028, U+2029, U+202F, U+205F and U+3000, by the last two bytes of their UTF-8.
+_WIDE_WHITE = np.array(sorted({int.from_bytes(chr(c).encode()[-2:]) for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}))
+#: Signs that end clauses where no spaces are written (fixed values): U+3001, U+3002 and U+FF0C, by their UTF-8.
+_WIDE_SIGNS = np.array(sorted(int.from_bytes(c.encode()) for c in "\u3001\u3002\uff0c"))
 
 
 class Codec:
@@ -81,6 +96,7 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (1 + max([*vocab.values(), *special.values()]))
         for token, i in [*vocab.items(), *((s.encode(), i) for s, i in special.items())]:
             self.tokens[i] = token
+        self.sizes = np.array([len(t) for t in self.tokens], np.int32)
         self.decimal = [str(i).encode() for i in range(len(self.tokens))]
 
     def encode(self, text: str) -> list[int]:
@@ -97,37 +113,62 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def chunk_ends(buffer: np.ndarray, offset: np.ndarray) -> list[list[int]]:
-    """For each text the ends of its parts: chunks and the repaired joins between them, in turn."""
+def cuts_of(buffer: np.ndarray) -> np.ndarray:
+    """Where the rolling hash cuts, each moved on to the begin of a character."""
     h = _GEAR[buffer]
     for step in (1, 2, 4, 8):  # the hash of 2, 4, 8 and then 16 bytes
         later = h[step:] + (h[:-step] << np.uint32(step))
         h = np.concatenate((h[:step], later))
     cuts = np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1
-    letter = _LETTER[buffer]
-    sure = np.flatnonzero((buffer[1:-1] == 0x20) & letter[:-2] & letter[2:]) + 1
-    at = np.searchsorted(sure, cuts, "right")
-    ends = np.unique(np.concatenate((sure[at[at > 0] - 1], sure[at[at < len(sure)]])))
-    edges = np.searchsorted(ends, offset)
-    out = []
+    for _ in range(3):
+        inside = cuts < len(buffer)
+        inside[inside] = buffer[cuts[inside]] & 0xC0 == 0x80
+        cuts = cuts + inside
+    return np.unique(cuts)
+
+
+def boundaries_of(buffer: np.ndarray, data: bytes, special: list[bytes]) -> np.ndarray:
+    """Where the pre-tokenizer parts the text, whatever stands around it; none within special tokens."""
+    before, after = buffer[:-1], buffer[1:]
+    kind_b, kind_a = _KIND[before], _KIND[after]
+    # white space takes no part in what stands before it, but may belong to what follows
+    sure = (kind_b > 0) & (kind_b != _WHITE) & (kind_a > 0) & (kind_b != kind_a) & ~((before == 0x27) & (kind_a == _LETTER))
+    wide = np.flatnonzero((before >= 0x80) & (kind_a == _WHITE))
+    wide = wide[wide > 0]
+    two = buffer[wide - 1].astype(np.int64) << 8 | buffer[wide]
+    sure[wide[~np.isin(two, _WIDE_WHITE)]] = True
+    # ideographs of U+5000 to U+8FFF are letters
+    signs = np.flatnonzero((before >= 0x80) & (after >= 0xE5) & (after <= 0xE8))
+    signs = signs[signs > 1]
+    three = buffer[signs - 2].astype(np.int64) << 16 | buffer[signs - 1].astype(np.int64) << 8 | buffer[signs]
+    sure[signs[np.isin(three, _WIDE_SIGNS)]] = True
+    for token in special:
+        at = data.find(token)
+        while at >= 0:
+            sure[at : at + len(token) - 1] = False
+            at = data.find(token, at + 1)
+    return np.flatnonzero(sure) + 1
+
+
+def _chunks(buffer: np.ndarray, offset: np.ndarray) -> Iterator[list[int]]:
+    """For each text where its chunks begin, and its end. A chunk has ``SHORTEST`` bytes at least, but for the last."""
+    cuts = cuts_of(buffer)
+    edges = np.searchsorted(cuts, offset)
     for i in range(len(offset) - 1):
-        a, b = int(offset[i]), int(offset[i + 1])
-        own = ends[edges[i] : edges[i + 1]]
-        # a space at the very edge of a text has its neighbour in another text
-        out.append([*own[(own > a) & (own < b - 1)].tolist(), b] if b > a else [])
-    return out
+        begin, end = int(offset[i]), int(offset[i + 1])
+        places = [begin]
+        for cut in cuts[edges[i] : edges[i + 1]].tolist():
+            if cut - places[-1] >= SHORTEST and cut < end:
+                places.append(cut)
+        yield [*places, end]
 
 
 def _parts(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The chunks of each text."""
     buffer, offset = text_bytes(texts)
     data = buffer.tobytes()
-    for i, ends in enumerate(chunk_ends(buffer, offset)):
-        begin = int(offset[i])
-        parts = []
-        for end in ends:
-            parts.append(data[begin:end])
-            begin = end
-        yield parts
+    for places in _chunks(buffer, offset):
+        yield [data[a:b] for a, b in zip(places, places[1:]) if b > a]
 
 
 def _reusable(part: bytes) -> bool:
@@ -135,7 +176,7 @@ def _reusable(part: bytes) -> bool:
 
 
 def shared_chunks(docs: DataFrame, *, text: str = "text", dictionary: int = DICTIONARY) -> list[bytes]:
-    """The chunks whose reuse saves the most bytes, ``dictionary`` at most."""
+    """The chunks whose reuse saves the most bytes, ``dictionary`` of them (the last few by hash, so it may be some more or fewer)."""
     texts = docs.select(col(text).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +193,17 @@ def shared_chunks(docs: DataFrame, *, text: str = "text", dictionary: int = DICT
     saved = written(saved.filter("n > 1").select("h", ((F.col("n") - 1) * F.col("size")).alias("saved")), "chunks")
     level = F.floor(F.log2(F.col("saved").cast("double")) * 16).cast("int")
     levels = dict(tuple(r) for r in saved.groupBy(level.alias("l")).count().collect())  # about a thousand at most
-    least, total = None, 0
+    least, room = None, dictionary
     for l in sorted(levels, reverse=True):
-        total += levels[l]
-        if total > dictionary:
+        least, part = l, min(1.0, room / levels[l])
+        room -= levels[l]
+        if room <= 0:
             break
-        least = l
-    if least is None:
+    if least is None or dictionary <= 0:
         return []
-    chosen = frozenset(r[0] for r in saved.filter(level >= least).select("h").collect())
+    # of the least level as many as there is room for, picked by their hashes
+    fits = (level > least) | (level == least) & (F.shiftright("h", 33) < int(part * (1 << 30)))
+    chosen = frozenset(r[0] for r in saved.filter(fits).select("h").collect())
     wanted = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +221,61 @@ def shared_chunks(docs: DataFrame, *, text: str = "text", dictionary: int = DICT
 
 
 class Encoded:
-    """An encoded part: its ids as bytes (four each), as decimals joined by commas, and decoded."""
-
-    __slots__ = ("count", "decimal", "decoded", "ids")
-
-    def __init__(self, code: Codec, part: bytes):
-        ids = code.encode(part.decode())
-        self.count = len(ids)
-        self.ids = np.array(ids, np.uint32).tobytes()
-        self.decimal = b",".join(map(code.decimal.__getitem__, ids))
-        self.decoded = code.decode_bytes(ids)
+    """The ids of a stretch of text, and the place in it where each one ends."""
+
+    __slots__ = ("ends", "ids")
+
+    def __init__(self, code: Codec, ids: np.ndarray):
+        self.ids = ids
+        self.ends = np.cumsum(code.sizes[ids], dtype=np.int64)
+
+    def between(self, low: int, high: int) -> np.ndarray | None:
+        """The ids from byte ``low`` to byte ``high``; none if one of them reaches over either."""
+        if low >= high:
+            return self.ids[:0]
+        first = 0 if low == 0 else int(np.searchsorted(self.ends, low)) + 1
+        last = int(np.searchsorted(self.ends, high))
+        whole = (low == 0 or self.ends[first - 1] == low) and last < len(self.ends) and self.ends[last] == high
+        return self.ids[first : last + 1] if whole else None
+
+
+def _same(a: np.ndarray | None, b: np.ndarray | None) -> bool:
+    return a is not None and b is not None and np.array_equal(a, b)
+
+
+def _repaired(data: bytes, places: list[int], bounds: list[int], part_of: Callable[[bytes], Encoded]) -> np.ndarray:
+    """The ids of a text, from its chunks (which begin at ``places``) and the repaired joins between them.
+
+    ``bounds`` are the boundaries in the text, with its begin and end.
+    """
+    chunks = [part_of(data[a:b]) for a, b in zip(places, places[1:])]
+    out, last = [], len(bounds) - 1
+    done, chunk, cut = 0, 0, 1  # the boundary up to which ids are out, and the chunk that it is in
+    while cut < len(chunks):
+        near = bisect_right(bounds, places[cut]) - 1
+        far = bisect_left(bounds, places[cut])
+        low, high = max(near - 1, done), min(far + 1, last)
+        while True:
+            while cut + 1 < len(chunks) and places[cut + 1] < bounds[high]:
+                cut += 1  # the window goes on over the next cut
+                far = bisect_left(bounds, places[cut])
+                high = max(high, min(far + 1, last))
+            begin, left, right = bounds[low], places[chunk], places[cut]
+            new = part_of(data[begin : bounds[high]])
+            kept = chunks[chunk].between(bounds[done] - left, begin - left)
+            if (
+                kept is not None
+                and _same(new.between(0, bounds[near] - begin), chunks[chunk].between(begin - left, bounds[near] - left))
+                and _same(new.between(bounds[far] - begin, bounds[high] - begin), chunks[cut].between(bounds[far] - right, bounds[high] - right))
+            ):
+                break
+            if low == done and high == last:
+                return part_of(data[places[0] : places[-1]]).ids
+            low, high = max(low - 1, done), min(high + 1, last)
+        out += [kept, new.ids]
+        done, chunk, cut = high, cut, cut + 1
+    rest = chunks[chunk].between(bounds[done] - places[chunk], places[-1] - places[chunk])
+    return part_of(data[places[0] : places[-1]]).ids if rest is None else np.concatenate([*out, rest])
 
 
 def _encoded_chunks(spark, chunks: list[bytes], path: str) -> dict[bytes, Encoded]:
@@ -203,9 +291,9 @@ def _encoded_chunks(spark, chunks: list[bytes], path: str) -> dict[bytes, Encode
 
 
 def tokenize(
-    docs: DataFrame, path: str, finish: Callable[[list[Encoded]], tuple], schema: str, *, text: str = "text", dictionary: int = DICTIONARY,
+    docs: DataFrame, path: str, finish: Callable[[Codec, np.ndarray], tuple], schema: str, *, text: str = "text", dictionary: int = DICTIONARY,
 ) -> DataFrame:
-    """``docs`` with the columns of ``schema`` in place of the text: ``finish`` of its encoded parts."""
+    """``docs`` with the columns of ``schema`` in place of the text: ``finish`` of its ids."""
     spark = docs.sparkSession
     chunks = shared_chunks(docs, text=text, dictionary=dictionary)
     known = spark.sparkContext.broadcast(_encoded_chunks(spark, chunks, path) if chunks else {})
@@ -226,34 +314,37 @@ def tokenize(
                 if len(memo) >= MEMO:
                     memo.clear()
                 ids = known.value.get(part)
-                found = Encoded(code, part) if ids is None else _known(code, ids)
+                found = Encoded(code, np.array(code.encode(part.decode()), np.uint32) if ids is None else np.frombuffer(ids, np.uint32))
                 if len(part) <= LONGEST:
                     memo[part] = found
             return found
 
+        def ids_of(texts: pa.Array) -> Iterator[np.ndarray]:
+            buffer, offset = text_bytes(texts)
+            data = buffer.tobytes()
+            sure = boundaries_of(buffer, data, [t.encode() for t in code.special])
+            edges = np.searchsorted(sure, offset)
+            for i, places in enumerate(_chunks(buffer, offset)):
+                begin, end = places[0], places[-1]
+                if begin == end:
+                    yield np.zeros(0, np.uint32)
+                    continue
+                # a place at the very edge of a text has its neighbour in another text
+                own = sure[edges[i] : edges[i + 1]]
+                yield _repaired(data, places, [begin, *own[(own > begin) & (own < end)].tolist(), end], part_of)
+
         for batch in batches:
             for block in blocks(batch, place):
-                rows = [finish([part_of(p) for p in parts]) for parts in _parts(block.column(place))]
+                rows = [finish(code, ids) for ids in ids_of(block.column(place))]
                 columns = [pa.array([r[j] for r in rows], t) for j, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([*(block.column(i) for i in others), *columns], whole.names)
 
     return docs.mapInArrow(run, whole)
 
 
-def _known(code: Codec, data: bytes) -> Encoded:
-    found = Encoded.__new__(Encoded)
-    ids = np.frombuffer(data, np.uint32).tolist()
-    found.count, found.ids = len(ids), data
-    found.decimal, found.decoded = b",".join(map(code.decimal.__getitem__, ids)), code.decode_bytes(ids)
-    return found
-
-
 def encode(docs: DataFrame, path: str, *, text: str = "text", ids: str = "ids", **options) -> DataFrame:
     """``docs`` with the token ids of each text in place of it."""
-    def finish(parts):
-        return (np.frombuffer(b"".join(p.ids for p in parts), np.uint32).astype(np.int32),)
-
-    return tokenize(docs, path, finish, f"`{ids}` array<int>", text=text, **options)
+    return tokenize(docs, path, lambda code, found: (found.astype(np.int32),), f"`{ids}` array<int>", text=text, **options)
 
 
 def decode(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -270,11 +361,12 @@ def decode(docs: DataFrame, path: str, *, ids: str = "ids", text: str = "text")
     return docs.mapInArrow(run, schema)
 
 
-def _digests(parts: list[Encoded]) -> tuple[int, str, str]:
+def _digests(code: Codec, ids: np.ndarray) -> tuple[int, str, str]:
     """Number of ids, and the digests of their decimals and of the text they decode to."""
-    decoded = b"".join([p.decoded for p in parts]).decode("utf-8", "replace")
-    ids = hashlib.sha256(b",".join([p.decimal for p in parts]))
-    return sum(p.count for p in parts), ids.hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    listed = ids.tolist()
+    decoded = code.decode_bytes(listed).decode("utf-8", "replace")
+    decimal = b",".join(map(code.decimal.__getitem__, listed))
+    return len(listed), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def digests(docs: DataFrame, path: str, **options) -> DataFrame:

@@ -215,9 +215,77 @@ def test_bpe(docs, none, spark):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(df, path), path).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     assert bpe.shared_chunks(df) and bpe.shared_chunks(df, dictionary=0) == []
+    # equal savings are one level, which may be larger than the dictionary
+    twice = spark.createDataFrame([(i, prose(50 + i // 2, 4000)) for i in range(20)], "doc_id long, text string")
+    assert 20 < len(bpe.shared_chunks(twice, dictionary=60)) < 120 < len(bpe.shared_chunks(twice))
     assert bpe.digests(none, path).count() == 0
 
 
+SCRIPTS = {
+    "english": ["the ", "house ", "don't ", "we'll, ", "end. ", "A1b2 "],
+    "russian": ["\u0434\u043e\u043c ", "\u0443\u043b\u0438\u0446\u0430, ", "\u0441\u043b\u043e\u0432\u043e. ", "\u0438 "],
+    "numbers": ["12.5;", "1,000\n", "7\t", "33 ", "-4;"],
+    "ideographs": [*map(chr, range(0x5000, 0x9000, 90)), "\u5b57\u3002", "\u5927\u5b66\uff0c", "\u4e2d\u3001"] + ["\u3002"] * 20,
+    "run": ["abcd", "xyz", "q"],
+    "white": [" ", "\n", "\u3000", "\u00a0", "\r\n", "'", "s", "\u00e9", "e\u0301", "<|endoftext|>", "<|end", "\x1c", "9"],
+}
+
+
+def one_task(texts, path):
+    """Ids of texts in one task, and the bytes that were encoded for them."""
+    code, seen = bpe.codec(path), {}
+
+    def part_of(part):
+        if part not in seen:
+            seen[part] = bpe.Encoded(code, np.array(code.encode(part.decode()), np.uint32))
+        return seen[part]
+
+    buffer, offset = bpe.text_bytes(pa.array(texts))
+    data = buffer.tobytes()
+    sure = bpe.boundaries_of(buffer, data, [t.encode() for t in code.special])
+    out = []
+    for places in bpe._chunks(buffer, offset):
+        own = sure[(sure > places[0]) & (sure < places[-1])].tolist()
+        out.append(bpe._repaired(data, places, [places[0], *own, places[-1]], part_of).tolist())
+    return out, sum(map(len, seen))
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_joins_of_chunks_at_any_cut(script, monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(bpe.default_path())
+    rng = random.Random(script)
+    texts = ["".join(rng.choice(SCRIPTS[script]) for _ in range(rng.randrange(1, 700))) for _ in range(60)]
+    mixed = [rng.choice(SCRIPTS[rng.choice(list(SCRIPTS))]) for _ in range(4000)]
+    texts += ["".join(mixed[i : i + 200]) for i in range(0, 4000, 200)]
+    for bits, shortest in ((9, 64), (4, 1)):  # the second: a cut every 16 bytes
+        monkeypatch.setattr(bpe, "CUT_BITS", bits)
+        monkeypatch.setattr(bpe, "SHORTEST", shortest)
+        assert one_task(texts, bpe.default_path())[0] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("script", ["english", "russian", "numbers", "ideographs"])
+def test_shared_passages_are_encoded_once(script):
+    rng = random.Random(script)
+    write = lambda n: "".join(rng.choice(SCRIPTS[script]) for _ in range(n))
+    passage = write(8000)
+    texts = [write(300) + passage + write(300) for _ in range(10)]
+    assert one_task(texts, bpe.default_path())[1] < 0.4 * sum(len(t.encode()) for t in texts)
+
+
+def test_ids_that_disagree_widen_the_window():
+    code = bpe.codec(bpe.default_path())
+    data = b"one two three four five six seven eight"
+    bounds = [0, 3, 7, 13, 18, 23, 27, 33, len(data)]
+
+    def part_of(part):  # a chunk by itself that is wrong next to its cut
+        ids = code.encode(part.decode())
+        return bpe.Encoded(code, np.array(ids if b"four five" in part or part in (data[:15], data[33:]) else code.encode("x" * len(part)), np.uint32))
+
+    assert bpe._repaired(data, [0, 15, len(data)], bounds, part_of).tolist() == code.encode(data.decode())
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "Shall we meet on Monday at noon? I will bring cake."),
