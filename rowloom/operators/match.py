@@ -154,66 +154,96 @@ def column_candidates(vectors: DataFrame, columns: list[str]) -> DataFrame:
     return distances.withColumn("rank", F.row_number().over(window))
 
 
-def _column_state(pairs: DataFrame, matched: set[str]) -> dict:
-    """Per open column: number of candidates left, and those that have it as their nearest."""
-    left = pairs
-    if matched:
-        left = left.filter(~F.col("left_col").isin(*matched) & ~F.col("right_col").isin(*matched))
-    best = left.groupBy("left_col").agg(F.min_by("right_col", "rank").alias("nearest"), F.count(F.lit(1)).alias("n"))
-    nearest = best.select(F.col("left_col").alias("right_col"), "nearest")
-    reciprocal = left.join(nearest, "right_col").filter(F.col("nearest") == F.col("left_col"))
-    options = reciprocal.groupBy("left_col").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "right_col"))), lambda o: o["right_col"]).alias("options")
-    )
-    # one row per column of the schema
-    return {r.left_col: r for r in best.join(options, "left_col", "left").collect()}
+#: Nearest open candidates of a column that one round looks at.
+AHEAD = 32
 
 
-def match_columns(candidates: DataFrame, max_rank: int = 3) -> DataFrame:
+def _nearest_columns(pairs: DataFrame, matched: list[str], ahead: int) -> dict[str, tuple[int, list[tuple[str, int | None]]]]:
+    """For each column the number of candidates left, and the nearest ``ahead`` of them.
+
+    Each comes with the rank that the column has had among the candidate's own list, null if it is not in it.
+    """
+    left = pairs
+    if matched:
+        gone = pairs.sparkSession.createDataFrame([(c,) for c in matched], "gone string")
+        for side in ("left_col", "right_col"):
+            left = left.join(gone, F.col(side) == F.col("gone"), "left_anti")
+    order = Window.partitionBy("left_col").orderBy("rank")
+    near = left.withColumn("place", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("left_col")))
+    back = pairs.select(F.col("right_col").alias("left_col"), F.col("left_col").alias("right_col"), F.col("rank").alias("back"))
+    near = near.filter(F.col("place") <= ahead).join(back, ["left_col", "right_col"], "left")
+    lists = near.groupBy("left_col").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("place", "right_col", "back"))).alias("near"))
+    return {r.left_col: (r.n, [(e.right_col, e.back) for e in r.near]) for r in lists.collect()}
+
+
+def match_columns(candidates: DataFrame, max_rank: int = 3, ahead: int = AHEAD) -> DataFrame:
     """``left_col, right_col``: greedy matching of columns, in name order.
 
     A column takes its nearest open candidate for which it is itself the nearest one left. Both
     then leave all lists. A column that found nothing counts one miss per candidate, and drops out
-    at its next turn with more than ``max_rank`` misses. The loop runs once per match; the driver
-    holds no more than the column names of the schema.
+    at its next turn with more than ``max_rank`` misses.
+
+    One round of Spark ranks the candidates that are left and returns the nearest ``ahead`` of each column. Turns
+    are taken from these short lists until one of them may lack an entry that counts; then the next round begins.
+    So rounds are few, and the driver holds no more than ``ahead`` names per column of the schema. The
+    result does not depend on ``ahead``.
     """
     spark = candidates.sparkSession
+    ahead = max(ahead, max_rank + 1)
     pairs = freeze(candidates.select("left_col", "right_col", "rank"))
-    open_cols = sorted(r.left_col for r in pairs.select("left_col").distinct().collect())
-    misses = dict.fromkeys(open_cols, 0)
-    matched: set[str] = set()
     found: list[tuple[str, str]] = []
-    turn = 0
-    queue = list(open_cols)
-    still_open = set(open_cols)
-    state: dict = {}
-    restart = True
+    matched: set[str] = set()
+    state = _nearest_columns(pairs, [], ahead)
+    misses = dict.fromkeys(state, 0)
+    queue = sorted(state)
+    still_open = set(queue)
+
+    def rest(column: str) -> tuple[list[tuple[str, int | None]], bool]:
+        """What is left of a column's short list, and whether that is all."""
+        n, near = state.get(column, (0, []))
+        return [e for e in near if e[0] not in matched], n <= len(near)
+
+    def index() -> dict[str, dict[str, int | None]]:
+        """For each column those that have it as their nearest, with their ranks in its own list."""
+        out: dict[str, dict[str, int | None]] = {}
+        for column in state:
+            if column not in matched:
+                point(out, column)
+        return out
+
+    def point(out: dict[str, dict[str, int | None]], column: str) -> bool:
+        """Enter a column below its nearest; whether that was known."""
+        near, whole = rest(column)
+        if near:
+            out.setdefault(near[0][0], {})[column] = near[0][1]
+        return bool(near) or whole
+
+    nearest_to = index()
     while queue:
-        if restart:
-            state = _column_state(pairs, matched)
-        restart = False
-        while turn < len(queue):
-            item = queue[turn]
-            turn += 1
+        for item in queue:
             if item not in still_open:
                 continue
-            row = state.get(item)
-            if misses[item] > max_rank or row is None:
+            near, whole = rest(item)
+            if not whole and len(near) <= max_rank:
+                state = _nearest_columns(pairs, sorted(matched), ahead)
+                nearest_to = index()
+                near, whole = rest(item)
+            if misses[item] > max_rank or not near:
                 still_open.discard(item)
                 continue
-            open_options = [c for c in (row.options or []) if c in still_open]
-            if not open_options:
-                misses[item] += row.n
+            options = {c: rank for c, rank in nearest_to.get(item, {}).items() if rank is not None and c in still_open}
+            if not options:
+                misses[item] += len(near)  # of a list that goes on these are over max_rank already
                 continue
-            partner = open_options[0]
+            partner = min(options, key=lambda c: (options[c], c))
             found.append((item, partner))
             matched |= {item, partner}
             still_open -= {item, partner}
-            restart = True
-            break
-        if not restart:
-            queue = [c for c in queue if c in still_open]
-            turn = 0
+            moved = [c for gone in (item, partner) for c in nearest_to.pop(gone, {}) if c not in matched]
+            if not all([point(nearest_to, c) for c in moved]):
+                state = _nearest_columns(pairs, sorted(matched), ahead)
+                nearest_to = index()
+        queue = [c for c in queue if c in still_open]
     rows = [tuple(sorted(pair)) for pair in found]
     return spark.createDataFrame(rows, "left_col string, right_col string")
 

@@ -1,3 +1,4 @@
+import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,50 @@ def test_match_columns(spark, rows):
     assert rows(M.match_columns(alone)) == [("a_2", "b_1")]
 
 
+def brute_matches(lists, max_rank):
+    """Turns in name order over whole lists, taken literally."""
+    lists = {c: list(near) for c, near in lists.items() if near}
+    open_, misses, out = set(lists), dict.fromkeys(lists, 0), []
+    while open_:
+        for x in sorted(open_):
+            if x not in open_:
+                continue
+            if misses[x] > max_rank or not lists[x]:
+                open_.remove(x)
+                continue
+            partner = next((c for c in lists[x] if c in open_ and lists.get(c, [None])[:1] == [x]), None)
+            if partner is None:
+                misses[x] += len(lists[x])
+                continue
+            open_ -= {x, partner}
+            out.append(tuple(sorted((x, partner))))
+            lists = {c: [y for y in near if y not in (x, partner)] for c, near in lists.items()}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("max_rank", [0, 3, 10])
+def test_match_columns_against_brute_force(spark, rows, max_rank):
+    rng = random.Random(max_rank)
+    for n in (1, 5, 14):
+        a, b = [f"a_{i:02d}" for i in range(n)], [f"b_{i:02d}" for i in range(n + 2)]
+        lists = {c: rng.sample(other, rng.randrange(0, len(other) + 1)) for own, other in ((a, b), (b, a)) for c in own}
+        for ahead in (1, 32):
+            assert rows(M.match_columns(column_table(spark, lists), max_rank, ahead)) == brute_matches(lists, max_rank)
+
+
+def test_match_columns_takes_few_rounds(spark, rows, monkeypatch):
+    rng, rounds, nearest = random.Random(2), [], M._nearest_columns
+    place = {f"{s}_{i:03d}": rng.random() for s in "ab" for i in range(60)}
+    lists = {c: sorted((d for d in place if d[0] != c[0]), key=lambda d: abs(place[c] - place[d])) for c in place}
+    monkeypatch.setattr(M, "_nearest_columns", lambda *args: rounds.append(1) or nearest(*args))
+    got = rows(M.match_columns(column_table(spark, lists), 60))
+    assert got == brute_matches(lists, 60) and len(got) > 20 and len(rounds) < 10
+
+
+def test_match_columns_without_candidates(spark, rows):
+    assert rows(M.match_columns(spark.createDataFrame([], "left_col string, right_col string, rank int"))) == []
+
+
 def test_infer_prefixes():
     assert M.infer_prefixes(["c_a", "s_b", "c_d"]) == ["c", "s"]
     assert M.infer_prefixes(["a_x", "b_x", "c_x"]) is None
