@@ -57,3 +57,4 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES, most: i
         stop = min(max(start + 1, int(np.searchsorted(ends, before + limit, "right"))), start + most)
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # what earlier batches took
