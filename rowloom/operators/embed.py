@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.options import TrainOptions
-from rowloom.session import freeze
+from rowloom.session import freeze, large
 
 MODEL_SCHEMA = "kind string, key string, vector array<float>, context array<float>, occurrences bigint"
 _BATCH = 2048
@@ -85,7 +85,7 @@ def _grown_model(vocab: DataFrame, model: DataFrame | None, opts: TrainOptions)
         wanted = wanted.unionByName(_initial(counted, "gram", opts))
     if model is None:
         return wanted
-    return model.unionByName(wanted.join(model.select("kind", "key"), ["kind", "key"], "left_anti"))
+    return model.unionByName(wanted.join(large(model.select("kind", "key")), ["kind", "key"], "left_anti"))
 
 
 def train(walks: DataFrame, opts: TrainOptions, model: DataFrame | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def train(walks: DataFrame, opts: TrainOptions, model: DataFrame | None = None)
     vocab = keep_probability(vocabulary(walks, opts.min_count), opts.sampling_factor)
     if model is not None:
         # words known from before count as vocabulary at any frequency
-        known = vocabulary(walks, 1).join(model.filter("kind = 'token'").select("key"), "key", "left_semi")
+        known = vocabulary(walks, 1).join(large(model.filter("kind = 'token'").select("key")), "key", "left_semi")
         vocab = keep_probability(
             vocabulary(walks, opts.min_count).unionByName(known).distinct(), opts.sampling_factor
         )
@@ -108,7 +108,7 @@ def train(walks: DataFrame, opts: TrainOptions, model: DataFrame | None = None)
     n_shards = max(1, math.ceil(walks.count() / opts.walks_per_shard))
     shard = F.pmod(F.xxhash64("walk_id"), F.lit(n_shards)).cast("int").alias("shard")
     sharded = walks.select(shard, "walk_id", "walk")
-    local = sharded.select("shard", F.explode("walk").alias("key")).distinct().join(vocab, "key")
+    local = sharded.select("shard", F.explode("walk").alias("key")).distinct().join(large(vocab), "key")
     if opts.algorithm == "fasttext":
         tokens = local.select("shard", F.lit("token").alias("kind"), "key", "occurrences", "keep",
                               subwords(F.col("key"), opts).alias("features"))
@@ -128,7 +128,7 @@ def train(walks: DataFrame, opts: TrainOptions, model: DataFrame | None = None)
 def _epoch(sharded: DataFrame, local: DataFrame, model: DataFrame, opts: TrainOptions, epoch: int) -> DataFrame:
     rate = opts.learning_rate * (1 - epoch / max(1, opts.epochs))
     vectors = model.select("kind", "key", "vector", "context")
-    loaded = local.join(vectors, ["kind", "key"]).withColumnRenamed("shard", "part")
+    loaded = local.join(large(vectors), ["kind", "key"]).withColumnRenamed("shard", "part")
 
     def update(key, walks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         return _train_shard(walks, words, opts, rate, seed=hash((opts.seed, epoch, int(key[0]))) % (2**32))
@@ -144,7 +144,7 @@ def _epoch(sharded: DataFrame, local: DataFrame, model: DataFrame, opts: TrainOp
         grams = updates.filter("kind = 'gram'").groupBy("kind", "key").agg(
             total("vector").alias("v"), F.lit(None).cast("array<float>").alias("c"))
         merged = merged.unionByName(grams)
-    return model.join(merged, ["kind", "key"], "left").select(
+    return model.join(large(merged), ["kind", "key"], "left").select(
         "kind", "key", _moved("vector", "v", opts.max_step).alias("vector"), _moved("context", "c", opts.max_step).alias("context"), "occurrences"
     )
 
@@ -285,7 +285,7 @@ def _composed(words: DataFrame, model: DataFrame, opts: TrainOptions) -> DataFra
             )
         ),
     )
-    found = parts.join(model.select("kind", "key", "vector"), ["kind", "key"])
+    found = parts.join(large(model.select("kind", "key", "vector")), ["kind", "key"])
     mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vector"))), "float32")
     return found.groupBy("word").agg(mean.alias("vector")).withColumnRenamed("word", "key")
 

@@ -10,11 +10,13 @@ from rowloom.operators.cells import raw_values
 from rowloom.operators.hot_keys import frequent, lookup_join
 from rowloom.operators.numbering import dense_index
 from rowloom.options import NodeTypes
+from rowloom.session import large
 
 
 def shared_values(values_a: DataFrame, values_b: DataFrame) -> DataFrame:
     """Distinct values that occur in both tables (column ``value``)."""
-    return values_a.select("value").intersect(values_b.select("value"))
+    ends = values_a.select("value", F.lit(0).alias("side")).unionByName(values_b.select("value", F.lit(1).alias("side")))
+    return ends.groupBy("value").agg(F.min("side").alias("least"), F.max("side").alias("most")).filter("least < most").select("value")
 
 
 def source_intersection(source_a: DataFrame, source_b: DataFrame) -> DataFrame:
@@ -30,7 +32,7 @@ def split_sources(df: DataFrame, n_items: int, row: str = "rid_no") -> tuple[Dat
 def intersecting_nodes(nodes: DataFrame, values: DataFrame) -> DataFrame:
     """Nodes whose name, without prefix, is among the values."""
     named = nodes.withColumn("value", node_name(F.col("node")))
-    return named.join(values.select("value"), "value", "left_semi").select("node")
+    return named.join(large(values.select("value")), "value", "left_semi").select("node")
 
 
 # --- key dictionary -------------------------------------------------------------------------
@@ -81,7 +83,7 @@ def decode_words(df: DataFrame, column: str, dictionary: DataFrame) -> DataFrame
     names = df.select(F.col(column).alias("name")).distinct()
     lookup = dictionary.select(F.col("code").alias("word"), F.col("token").alias("new"))
     decoded = _translate(names, lookup, [], keep_unknown=False).withColumnRenamed("name", column)
-    return df.join(decoded, column, "left").withColumn(column, F.col("out")).select(df.columns)
+    return df.join(large(decoded), column, "left").withColumn(column, F.col("out")).select(df.columns)
 
 
 def decode_keys(vectors: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def row_vectors(df: DataFrame, key: str, cols: list[str], vectors: DataFrame, di
     entries = F.array(*[F.col(c).cast("string") for c in cols])
     long = df.select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("row"), F.posexplode(entries).alias("at", "key"))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
-    found = long.join(vectors.select("key", F.col("vector").cast("array<float>").alias("vector")), "key", "left")
+    found = long.join(large(vectors.select("key", F.col("vector").cast("array<float>").alias("vector"))), "key", "left")
     parts = F.array_sort(F.collect_list(F.struct("at", F.coalesce("vector", zeros).alias("v"))))  # one per column
     return found.groupBy("row").agg(F.flatten(F.transform(parts, lambda p: p["v"])).alias("vector")).withColumnRenamed(
         "row", "key"

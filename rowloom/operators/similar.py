@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.session import large
+
 
 def similar_nodes(similarities: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, nbr, weight`` in both directions, for pairs (``a, b, distance``) of known nodes."""
     known = nodes.select("node")
     both = (
-        similarities.join(known.withColumnRenamed("node", "a"), "a", "left_semi")
-        .join(known.withColumnRenamed("node", "b"), "b", "left_semi")
+        similarities.join(large(known.withColumnRenamed("node", "a")), "a", "left_semi")
+        .join(large(known.withColumnRenamed("node", "b")), "b", "left_semi")
         .select(
             F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("nbr")),
                              F.struct(F.col("b").alias("node"), F.col("a").alias("nbr")))),
@@ -29,7 +31,7 @@ def replacement_probability(similar: DataFrame, p_stay: float = 0.5) -> DataFram
     """
     total = similar.groupBy("node").agg(F.sum("weight").alias("total"))
     share = F.when(F.col("total") >= 1, F.col("weight") / F.col("total")).otherwise(F.col("weight") * F.col("total"))
-    others = similar.join(total, "node").select("node", "nbr", (share * F.lit(1 - p_stay)).alias("probability"))
+    others = similar.join(large(total), "node").select("node", "nbr", (share * F.lit(1 - p_stay)).alias("probability"))
     stay = F.when(F.col("total") >= 1, F.lit(1 - p_stay)).otherwise(F.col("total") * F.col("total") * F.lit(1 - p_stay))
     selves = total.select("node", F.col("node").alias("nbr"), (F.lit(1.0) - stay).alias("probability"))
     return others.unionByName(selves)

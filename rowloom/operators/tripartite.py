@@ -11,6 +11,7 @@ from rowloom.functions.smoothing import Smoothing
 from rowloom.functions.text import canonical
 from rowloom.operators.graph import uniform_slots
 from rowloom.operators.hot_keys import frequent_by_count, lookup_join
+from rowloom.session import large
 
 # kinds of neighbour that a step to the left or right leads to, by kind of node
 DIRECTIONS = {"left": {"cell": "row", "column": "cell"}, "right": {"row": "cell", "cell": "column"}}
@@ -76,5 +77,5 @@ def left_right_step(walkers: DataFrame, graph: DataFrame, direction: str, seed:
     slots = step_slots(graph, direction)
     sizes = slots.filter("slot = 0").select("node", "degree")
     draw = hash60(seed, F.col("walk_id"), direction, 0)
-    keyed = walkers.join(sizes, "node").withColumn("slot", scaled(draw, F.col("degree")))
-    return keyed.join(slots.select("node", "slot", "nbr"), ["node", "slot"]).select("walk_id", "node", "nbr")
+    keyed = walkers.join(large(sizes), "node").withColumn("slot", scaled(draw, F.col("degree")))
+    return keyed.join(large(slots.select("node", "slot", "nbr")), ["node", "slot"]).select("walk_id", "node", "nbr")

@@ -13,7 +13,7 @@ from rowloom.functions.text import node_name
 from rowloom.operators.graph import first_bag, uniform_slots, weighted_slots
 from rowloom.operators.numbering import GROUP_CHUNK, dense_index
 from rowloom.options import NodeTypes, WalkOptions
-from rowloom.session import freeze, shuffle_partitions
+from rowloom.session import freeze, large, shuffle_partitions
 
 # |offset| of a numeric replacement: a Box-Muller number from 32-bit draws is below 6.7
 _NEAR = 7
@@ -50,7 +50,7 @@ def walk_tables(
     degree = degree.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     if numeric_nodes is not None:
         near = numeric_neighbourhood(numeric_nodes, degree).withColumnRenamed("node", "nbr")
-        slots = slots.join(near, "nbr", "left")
+        slots = slots.join(large(near), "nbr", "left")
     slots = slots.drop("degree")
     if keep:
         parts = shuffle_partitions(adj.sparkSession)
@@ -61,7 +61,7 @@ def walk_tables(
         other = degree.select(F.col("node").alias("nbr"), F.col("degree").alias("other_degree"))
         similar = (
             stays.drop("nbr_degree")
-            .join(other, "nbr", "left")
+            .join(large(other), "nbr", "left")
             .select("node", "slot", "lo", "hi", F.col("nbr").alias("other"), "other_degree", F.col("degree").alias("similar_degree"))
         )
         if keep:
@@ -80,11 +80,11 @@ def start_tables(firsts: DataFrame, chunk: int = GROUP_CHUNK) -> tuple[DataFrame
 def numeric_neighbourhood(numeric_nodes: DataFrame, degree: DataFrame) -> DataFrame:
     """Per numeric node the offsets -7..7 at which another such node exists, with its degree."""
     values = numeric_nodes.select("node", node_name(F.col("node")).try_cast("bigint").alias("v")).filter("v is not null")
-    by_value = values.join(degree, "node").select(F.col("v").alias("target"), "degree", F.col("node").alias("other"))
+    by_value = values.join(large(degree), "node").select(F.col("v").alias("target"), "degree", F.col("node").alias("other"))
     wanted = values.select(
         "node", F.explode(F.array(*[F.lit(i) for i in range(-_NEAR, _NEAR + 1)])).alias("offset"), "v"
     ).withColumn("target", F.col("v") + F.col("offset"))
-    found = wanted.join(by_value, "target")
+    found = wanted.join(large(by_value), "target")
     # at most 15 entries per node (one per offset and spelling)
     entries = F.collect_list(F.struct("offset", "other", "degree"))
     return found.groupBy("node").agg(F.array_sort(entries).alias("near"))
@@ -110,7 +110,7 @@ def remainder_walks(root_nodes: DataFrame, needed: int, seed: int) -> DataFrame:
         .join(F.broadcast(n_roots), F.lit(True))
         .withColumn("root_no", scaled(hash60(seed, F.col("walk_id"), "extra", 0), F.col("n_roots")))
     )
-    return draws.join(indexed, "root_no").select("walk_id", F.col("node").alias("root"), "rep")
+    return draws.join(large(indexed), "root_no").select("walk_id", F.col("node").alias("root"), "rep")
 
 
 def planned_walks(root_nodes: DataFrame, n_sentences: int, seed: int) -> DataFrame:
@@ -136,8 +136,8 @@ def roots_or_all(chosen: DataFrame, all_roots: DataFrame) -> DataFrame:
 
 def _start(walks: DataFrame, tables: WalkTables, seed: int) -> DataFrame:
     """State of each walk before its first step; a first node is put in front where one is drawn."""
-    per_root = walks.join(tables.degree.withColumnRenamed("node", "root"), "root").join(
-        tables.bag.withColumnRenamed("node", "root"), "root", "left"
+    per_root = walks.join(large(tables.degree.withColumnRenamed("node", "root")), "root").join(
+        large(tables.bag.withColumnRenamed("node", "root")), "root", "left"
     )
     draw = hash60(seed, F.col("walk_id"), "start", 0)
     keyed = per_root.withColumn("_h", draw).withColumn(
@@ -145,7 +145,7 @@ def _start(walks: DataFrame, tables: WalkTables, seed: int) -> DataFrame:
     )
     starts = tables.starts
     joined = keyed.join(
-        starts,
+        large(starts),
         (keyed.root == starts.node) & (keyed._slot == starts.slot) & (keyed._h >= starts.lo) & (keyed._h < starts.hi),
         "left",
     )
@@ -197,7 +197,7 @@ def _drawn(state: DataFrame, tables: WalkTables, opts: WalkOptions, places: Data
         keyed = keyed.withColumn("_ends", F.lit(False))
     else:
         avoided = F.when(F.col("degree") > 1, F.col("prev")) if opts.redraw == "strict" else F.col("last")
-        keyed = keyed.withColumn("_x", avoided).join(places, (F.col("cur") == F.col("x_node")) & (F.col("_x") == F.col("x_nbr")), "left")
+        keyed = keyed.withColumn("_x", avoided).join(large(places), (F.col("cur") == F.col("x_node")) & (F.col("_x") == F.col("x_nbr")), "left")
         share = F.coalesce(F.col("x_hi") - F.col("x_lo"), F.lit(0))
         place = scaled(F.col("_h"), size - share)
         place = place + F.when(place >= F.col("x_lo"), share).otherwise(0)
@@ -211,7 +211,7 @@ def _drawn(state: DataFrame, tables: WalkTables, opts: WalkOptions, places: Data
         on = on & (keyed._h >= slots.lo) & (keyed._h < slots.hi)
     # a walker that finds no neighbour stops the job, so that no walk is lost in silence
     lost = F.raise_error(F.concat(F.lit("walk at a node without neighbours: "), F.col("cur")))
-    return keyed.join(slots, on, "left").withColumn("nbr", F.coalesce("nbr", F.when(~F.col("_ends"), lost)))
+    return keyed.join(large(slots), on, "left").withColumn("nbr", F.coalesce("nbr", F.when(~F.col("_ends"), lost)))
 
 
 def _step(state: DataFrame, tables: WalkTables, types: NodeTypes, opts: WalkOptions, places: DataFrame | None) -> DataFrame:
@@ -254,12 +254,12 @@ def _replace_strings(drawn: DataFrame, tables: WalkTables, opts: WalkOptions) ->
     # every node has its slot 0, once per neighbour that reaches into it
     sizes = tables.similar.filter("slot = 0 and lo = 0").select(F.col("node").alias("nbr"), "similar_degree")
     draw = hash60(opts.seed, F.col("walk_id"), F.col("step"), "s")
-    keyed = drawn.join(sizes, "nbr", "left").withColumn("_h", draw).withColumn(
+    keyed = drawn.join(large(sizes), "nbr", "left").withColumn("_h", draw).withColumn(
         "_slot", F.coalesce(scaled(F.col("_h"), F.col("similar_degree")), F.lit(-1).cast("bigint"))
     )
     similar = tables.similar.drop("similar_degree")
     joined = keyed.join(
-        similar,
+        large(similar),
         (keyed.nbr == similar.node) & (keyed._slot == similar.slot) & (keyed._h >= similar.lo) & (keyed._h < similar.hi),
         "left",
     )
