@@ -9,13 +9,15 @@ nearest to it, at each level of the tree, which is the approximate search.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import hash32
-from rowloom.operators.vector_cells import BLOCK_ROWS, MAX_PIVOTS, SCORE_DIGITS, build, matrix
+from rowloom.operators.vector_cells import BLOCK_ROWS, MAX_PIVOTS, SCORE_DIGITS, build, group_of, matrix, tiles
 from rowloom.session import freeze
 
 
@@ -47,13 +49,31 @@ def _search(queries: pd.DataFrame, corpus: pd.DataFrame, k: int, metric: str, fl
     if queries.empty or corpus.empty:
         return empty
     corpus = corpus.sort_values("key", kind="stable")
-    names = corpus["key"].to_numpy(dtype=object)
-    scores = _scores(matrix(queries["vector"], metric), matrix(corpus["vector"], metric), metric)
-    if floor is not None:
-        scores[scores <= floor] = -np.inf
-    rows, cols = _best(scores, k)
-    keys = queries["key"].to_numpy(dtype=object)
-    return pd.DataFrame({"key": keys[rows], "nbr": names[cols], "score": scores[rows, cols]})
+    names, vectors = corpus["key"].to_numpy(dtype=object), matrix(corpus["vector"], metric)
+    blocks, block_no = np.unique(corpus["block"].to_numpy(dtype=np.int64), return_inverse=True)
+    # queries that ask for the same blocks stand together
+    queries = queries.sort_values("q_block", kind="stable")
+    found = []
+    for part in tiles(len(queries), len(corpus)):
+        batch = queries.iloc[part]
+        counts = batch["t_blocks"].map(len).to_numpy()
+        targets = np.concatenate(batch["t_blocks"].to_list())
+        at = np.minimum(np.searchsorted(blocks, targets), len(blocks) - 1)
+        asked = np.zeros((len(batch), len(blocks)), bool)
+        held = blocks[at] == targets  # a block may hold nothing
+        asked[np.repeat(np.arange(len(batch)), counts)[held], at[held]] = True
+        near = np.flatnonzero(asked.any(0)[block_no])
+        scores = _scores(matrix(batch["vector"], metric), vectors[near], metric)
+        scores[~asked[:, block_no[near]]] = -np.inf
+        if floor is not None:
+            scores[scores <= floor] = -np.inf
+        # k others were found already that score as much
+        worst = batch["worst"].to_numpy(dtype=np.float64)[:, None]
+        scores[scores < np.where(np.isnan(worst), -np.inf, worst)] = -np.inf
+        rows, cols = _best(scores, k)
+        keys = batch["key"].to_numpy(dtype=object)
+        found.append(pd.DataFrame({"key": keys[rows], "nbr": names[near[cols]], "score": scores[rows, cols]}))
+    return pd.concat(found, ignore_index=True)
 
 
 _RESULT = "key string, nbr string, score double"
@@ -138,8 +158,11 @@ def _distinct_knn(
 
     # first pass: every query searches one block of the cell it lies in
     left = left.withColumnRenamed("block", "q_block")
-    asked_home = left.select("q_block", F.col("home").alias("t_block"), "key", "vector").filter("t_block >= 0")
-    near = freeze(_join_blocks(asked_home, right, k, metric, floor))
+    q_groups, t_groups = (max(1, math.ceil(df.count() / BLOCK_ROWS)) for df in (queries, queries if same else corpus))
+    asked_home = left.filter("home >= 0").select(
+        "key", "vector", "q_block", F.lit(None).cast("double").alias("worst"), group_of(F.col("home"), t_groups).alias("t_group"),
+        F.array("home").alias("t_blocks"))
+    near = freeze(_join_groups(asked_home, right, q_groups, t_groups, k, metric, floor))
     if tree.single():
         return near
 
@@ -148,23 +171,26 @@ def _distinct_knn(
     bounded = left.join(kth, "key", "left").select(
         "key", "vector", "q_block", "home", F.when(F.col("found") >= k, F.col("worst")).alias("worst")
     )
-    far = _join_blocks(tree.targets(bounded, floor, probes), right, k, metric, floor)
+    far = _join_groups(tree.targets(bounded, floor, probes, t_groups), right, q_groups, t_groups, k, metric, floor)
     return _ranked(near.unionByName(far), k).drop("rank")
 
 
-def _join_blocks(asked: DataFrame, right: DataFrame, k: int, metric: str, floor: float | None) -> DataFrame:
-    """Search block against block; each group is one block of queries and one of vectors."""
-    pairs = asked.select(F.col("q_block").alias("from_block"), F.col("t_block").alias("to_block")).distinct()
+def _join_groups(
+    asked: DataFrame, right: DataFrame, q_groups: int, t_groups: int, k: int, metric: str, floor: float | None
+) -> DataFrame:
+    """Search groups of blocks in groups of blocks; of a group, each query is compared with the blocks that it asks for."""
+    asked = asked.withColumn("q_group", group_of(F.col("q_block"), q_groups))
+    pairs = asked.select(F.col("q_group").alias("from_group"), F.col("t_group").alias("to_group")).distinct()
     corpus = right.select(
-        F.col("block").alias("to_block"), F.col("key").alias("c_key"), F.col("vector").alias("c_vector")
-    ).join(pairs, "to_block")
+        group_of(F.col("block"), t_groups).alias("to_group"), F.col("block").alias("c_block"), F.col("key").alias("c_key"), F.col("vector").alias("c_vector")
+    ).join(pairs, "to_group")
 
     def search(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        return _search(queries, vectors.rename(columns={"c_key": "key", "c_vector": "vector"}), k, metric, floor)
+        return _search(queries, vectors.rename(columns={"c_block": "block", "c_key": "key", "c_vector": "vector"}), k, metric, floor)
 
     return (
-        asked.groupBy("q_block", "t_block")
-        .cogroup(corpus.groupBy("from_block", "to_block"))
+        asked.groupBy("q_group", "t_group")
+        .cogroup(corpus.groupBy("from_group", "to_group"))
         .applyInPandas(search, _RESULT)
     )
 

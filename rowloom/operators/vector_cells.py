@@ -11,6 +11,7 @@ told apart after ``MAX_LEVELS`` levels is cut into blocks by hash.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,10 @@ BLOCK_ROWS = 4096
 MAX_PIVOTS = 4096
 MAX_LEVELS = 3
 SPLIT_BLOCKS = 16
-# blocks of rows that are compared with the pivots of a cell at once
-_SLICE_BLOCKS = 4
+# rows that are compared with the pivots of a cell at once
+_SLICE_ROWS = 4096
+# numbers of a matrix that is held at once, whatever the number of pivots or vectors
+TILE = 1 << 20
 _BLOCK_BITS = 24
 _SLACK = 1e-6
 # scores are ranked after rounding, so that engines agree on ties; what rounds to the same may lie that much apart
@@ -36,7 +39,11 @@ SCORE_DIGITS = 9
 _ROUNDED = 10.0**-SCORE_DIGITS
 
 _PLACED = "key string, vector array<float>, cell bigint, radius double"
-_VISIT = "key string, vector array<float>, q_block bigint, home bigint, worst double, t_block bigint"
+_VISIT = (
+    "key string, vector array<float>, q_block bigint, home bigint, worst double, "
+    "t_groups array<bigint>, starts array<bigint>, counts array<bigint>, t_blocks array<bigint>, nodes array<bigint>"
+)
+_PRIME, _FACTOR = (1 << 31) - 1, 1_103_515_245
 
 
 def matrix(vectors: pd.Series, metric: str) -> np.ndarray:
@@ -47,6 +54,20 @@ def matrix(vectors: pd.Series, metric: str) -> np.ndarray:
     return m
 
 
+def group_of(block, n_groups: int):
+    """One of ``n_groups`` groups of blocks, by a hash that columns and arrays of numbers share.
+
+    Groups of about ``BLOCK_ROWS`` rows are what is compared, however small the blocks are.
+    """
+    return block % _PRIME * _FACTOR % _PRIME % n_groups
+
+
+def tiles(n_rows: int, width: int) -> list[slice]:
+    """Slices of rows whose products with ``width`` columns have at most ``TILE`` numbers."""
+    step = max(1, TILE // max(1, width))
+    return [slice(at, at + step) for at in range(0, n_rows, step)]
+
+
 @dataclass(frozen=True)
 class Siblings:
     """Cells of one parent: ids, pivots, rings of radii, blocks (none: split further, or empty)."""
@@ -73,13 +94,19 @@ class Siblings:
 
     def assign(self, batch: pd.DataFrame) -> pd.DataFrame:
         """The nearest pivot of each vector; the first of equally near ones."""
-        distance = self.distances(matrix(batch["vector"], self.metric))
-        at = distance.argmin(1)
-        return pd.DataFrame({
-            "key": batch["key"], "vector": batch["vector"], "cell": self.cells[at], "radius": distance[np.arange(len(batch)), at]})
-
-    def visits(self, batch: pd.DataFrame, floor: float | None, probes: int | None) -> pd.DataFrame:
-        """One row per query and block to visit; ``-1 - cell`` where the cell is split further."""
+        at, radius = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+        for part in tiles(len(batch), len(self.cells)):
+            distance = self.distances(matrix(batch["vector"].iloc[part], self.metric))
+            at[part] = distance.argmin(1)
+            radius[part] = distance[np.arange(len(distance)), at[part]]
+        return pd.DataFrame({"key": batch["key"], "vector": batch["vector"], "cell": self.cells[at], "radius": radius})
+
+    def visits(self, batch: pd.DataFrame, floor: float | None, probes: int | None, n_groups: int) -> Iterator[pd.DataFrame]:
+        """One row per query: the blocks to visit, by group, and as ``nodes`` the cells that are split further."""
+        for part in tiles(len(batch), max(len(self.cells), int(self.n_blocks.sum()))):
+            yield self._visits(batch.iloc[part], floor, probes, n_groups)
+
+    def _visits(self, batch: pd.DataFrame, floor: float | None, probes: int | None, n_groups: int) -> pd.DataFrame:
         distance = self.distances(matrix(batch["vector"], self.metric))
         worst = batch["worst"].to_numpy(dtype=np.float64)
         if self.metric == "cosine":
@@ -101,10 +128,25 @@ class Siblings:
         counts = np.where(self.split[at], 1, self.n_blocks[at])
         rows, at = np.repeat(rows, counts), np.repeat(at, counts)
         within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        target = np.where(self.split[at], -1 - self.cells[at], (self.cells[at] << _BLOCK_BITS) + within)
-        other = target != batch["home"].to_numpy()[rows]
-        out = batch.iloc[rows[other]][["key", "vector", "q_block", "home", "worst"]].reset_index(drop=True)
-        return out.assign(t_block=target[other])
+        split = self.split[at]
+        target = (self.cells[at] << _BLOCK_BITS) + within
+        other = ~split & (target != batch["home"].to_numpy()[rows])
+        below, nodes = rows[split], self.cells[at[split]]
+        rows, target = rows[other], target[other]
+        group = group_of(target, n_groups)
+        order = np.lexsort((target, group, rows))
+        rows, target, group = rows[order], target[order], group[order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])])) if len(rows) else rows
+        counts = np.diff(np.append(first, len(rows)))
+        # row i of the batch has the entries ends[i] to ends[i + 1] of the sorted lists
+        each = np.arange(len(batch) + 1)
+        blocks_at, groups_at, nodes_at = np.searchsorted(rows, each), np.searchsorted(rows[first], each), np.searchsorted(below, each)
+        starts = first - blocks_at[rows[first]] + 1
+        lists = lambda values, ends: [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        out = batch[["key", "vector", "q_block", "home", "worst"]].reset_index(drop=True)
+        return out.assign(
+            t_groups=lists(group[first], groups_at), starts=lists(starts, groups_at), counts=lists(counts, groups_at),
+            t_blocks=lists(target, blocks_at), nodes=lists(nodes, nodes_at))
 
 
 @dataclass(frozen=True)
@@ -129,7 +171,7 @@ class CellTree:
             parents = level.select("node").distinct()
             done.append(rows.join(parents, F.col("cell") == F.col("node"), "left_anti"))
             below = rows.join(parents, F.col("cell") == F.col("node")).select("node", "key", "vector")
-            rows = freeze(_assigned_below(below, level, self.metric, self.block_rows))
+            rows = freeze(_assigned_below(below, level, self.metric))
         for part in done:
             rows = rows.unionByName(part)
         asked = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("bigint").alias("n_asked"))
@@ -137,8 +179,8 @@ class CellTree:
         home = F.when(F.col("n_blocks") > 0, block_of(F.col("cell"), F.col("n_blocks"), "home")).otherwise(F.lit(-1))
         return rows.select("key", "vector", block_of(F.col("cell"), F.col("n_asked")).alias("block"), home.cast("bigint").alias("home"))
 
-    def targets(self, queries: DataFrame, floor: float | None, probes: int | None) -> DataFrame:
-        """``key, vector, q_block, t_block``: the blocks other than its home that a query must visit.
+    def targets(self, queries: DataFrame, floor: float | None, probes: int | None, n_groups: int) -> DataFrame:
+        """``key, vector, q_block, worst, t_group, t_blocks``: the blocks other than its home that a query must visit, by group.
 
         ``queries``: ``key, vector, q_block, home, worst``, the last one the score of the k-th found so far.
         """
@@ -146,23 +188,24 @@ class CellTree:
 
         def first(batches):
             for batch in batches:
-                yield top.visits(batch, floor, probes)
+                yield from top.visits(batch, floor, probes, n_groups)
 
         def deeper(asked: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
             if asked.empty or cells.empty:
-                return pd.DataFrame(columns=["key", "vector", "q_block", "home", "worst", "t_block"])
-            return Siblings.of(metric, cells).visits(asked, floor, probes)
+                return pd.DataFrame(columns=[c.split()[0] for c in _VISIT.split(", ")])
+            return pd.concat(Siblings.of(metric, cells).visits(asked, floor, probes, n_groups), ignore_index=True)
 
-        found = queries.mapInPandas(first, _VISIT)
+        found = freeze(queries.mapInPandas(first, _VISIT))
         parts = []
         for level in self.levels:
-            found = freeze(found)
-            parts.append(found.filter("t_block >= 0"))
-            asked = found.filter("t_block < 0").withColumn("node", -1 - F.col("t_block")).drop("t_block")
-            found = _with_children(asked, level, self.block_rows, deeper, _VISIT)
+            parts.append(found)
+            asked = found.select("key", "vector", "q_block", "home", "worst", F.explode("nodes").alias("node"))
+            found = freeze(_with_children(asked, level, deeper, _VISIT))
         for part in parts:
             found = found.unionByName(part)
-        return found.select("key", "vector", "q_block", "t_block")
+        by_group = F.inline(F.arrays_zip("t_groups", "starts", "counts")).alias("t_group", "start", "count")
+        return found.select("key", "vector", "q_block", "worst", "t_blocks", by_group).withColumn(
+            "t_blocks", F.slice("t_blocks", F.col("start").cast("int"), F.col("count").cast("int"))).drop("start", "count")
 
 
 def block_of(cell: Column, n_blocks: Column, *salt: str) -> Column:
@@ -179,10 +222,9 @@ def _assigned(df: DataFrame, top: Siblings) -> DataFrame:
     return df.select("key", "vector").mapInPandas(assign, _PLACED)
 
 
-def _with_children(rows: DataFrame, level: DataFrame, block_rows: int, work, schema: str) -> DataFrame:
+def _with_children(rows: DataFrame, level: DataFrame, work, schema: str) -> DataFrame:
     """Bring rows (with a ``node``) and the cells below that node together, a slice of rows at a time."""
-    per_slice = _SLICE_BLOCKS * block_rows
-    slices = freeze(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / per_slice).cast("bigint").alias("n_slices")))
+    slices = freeze(rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / _SLICE_ROWS).cast("bigint").alias("n_slices")))
     number = F.shiftright(hash32(F.col("key"), "slice") * F.col("n_slices"), 32).cast("bigint")
     left = rows.join(slices, "node").withColumn("slice", number).drop("n_slices")
     copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_slices") - 1))
@@ -190,14 +232,14 @@ def _with_children(rows: DataFrame, level: DataFrame, block_rows: int, work, sch
     return left.groupBy("node", "slice").cogroup(right.groupBy("of_node", "of_slice")).applyInPandas(work, schema)
 
 
-def _assigned_below(rows: DataFrame, level: DataFrame, metric: str, block_rows: int) -> DataFrame:
+def _assigned_below(rows: DataFrame, level: DataFrame, metric: str) -> DataFrame:
     def assign(part: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         if part.empty or cells.empty:
             return pd.DataFrame(columns=["key", "vector", "cell", "radius"])
         bounds = {c: 0 for c in ("lo", "hi", "n_blocks", "split") if c not in cells}
         return Siblings.of(metric, cells.assign(**bounds).sort_values("cell")).assign(part)
 
-    return _with_children(rows, level, block_rows, assign, _PLACED)
+    return _with_children(rows, level, assign, _PLACED)
 
 
 def _sizes(placed: DataFrame) -> DataFrame:
@@ -251,7 +293,7 @@ def build(corpus: DataFrame, metric: str, block_rows: int = BLOCK_ROWS, max_pivo
             split[[r.node for r in parents.collect()]] = True  # at most one row per pivot of the first level
         parts.append(placed.join(parents, is_parent, "left_anti"))
         rows = placed.join(parents, is_parent).select("node", "key", "vector")
-        placed = freeze(_assigned_below(rows, below, metric, block_rows))
+        placed = freeze(_assigned_below(rows, below, metric))
         sizes = freeze(_sizes(placed))
         count = F.coalesce(F.ceil(F.col("n") / block_rows).cast("bigint"), F.lit(0).cast("bigint"))
         levels.append(freeze(below.join(sizes, "cell", "left").select(
