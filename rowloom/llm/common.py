@@ -47,6 +47,24 @@ def text_hash(name: str) -> Column:
     return F.when(col(name).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(col(name)))
 
 
+def sifted(rows: DataFrame, on: list[str], wanted: DataFrame, by: list[str], bits: int) -> DataFrame:
+    """The ``rows`` whose columns ``on`` may be among the columns ``by`` of ``wanted``, so that the others are not shuffled.
+
+    Their hashes are looked up in a bitmap of ``bits``, which is broadcast. None that is wanted is missed; with more
+    wanted rows more others come through, and the join that follows leaves them out.
+    """
+    def place(names: list[str]) -> Column:
+        return F.pmod(F.xxhash64(*names), F.lit(bits)) + 1
+
+    # dealt out by part, so that each part of the map is made once and not by every task
+    found = wanted.select(place(by).alias("p")).withColumn("part", F.bitmap_bucket_number("p")).repartition("part").groupBy("part").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position(place(on))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = (F.bitmap_bucket_number(place(on)) == F.col("part")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(found), near).select(*rows.columns)
+
+
 def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES, most: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` that hold about ``limit`` bytes in a text column, and ``most`` rows at most."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import blocks, col, fresh, written
+from rowloom.llm.common import blocks, col, fresh, sifted, written
 from rowloom.llm.components import components
 from rowloom.llm.registry import query, table
 from rowloom.llm.words import U64, mix, shingles, words_of
@@ -268,23 +268,6 @@ def _details(loose: DataFrame, sets: DataFrame, weighted: bool) -> DataFrame:
     return found.join(single, F.col("d") == F.col("one"), "left").select("d", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("m"), "z")
 
 
-def _sifted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``d, n`` may be among ``d2, n2`` of ``wanted``, so that the others are not shuffled.
-
-    Their hashes are looked up in a bitmap of ``SIEVE_BITS``. None that is wanted is missed; with more
-    wanted rows more others come through, and the join that follows leaves them out.
-    """
-    def place(d: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(d, n), F.lit(SIEVE_BITS)) + 1
-
-    bits = wanted.select(place("d2", "n2").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    at = F.bitmap_bit_position(place("d", "n"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    near = (F.bitmap_bucket_number(place("d", "n")) == F.col("part")) & (F.getbit(byte, (at % 8).cast("int")) == 1)
-    return rows.join(F.broadcast(bits), near).select(*rows.columns)
-
-
 def links(
     texts: DataFrame, *, least: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weighted: bool = False,
 ) -> DataFrame:
@@ -299,7 +282,7 @@ def links(
     one = members.select("d").distinct().join(texts.groupBy("d").agg(F.min("k").alias("k")), "d")
     one = written(one, "nodes").select(F.col("d").alias("d2"), _name("k").alias("n2"))
     # an inner join, as Spark would move a semi join in front of the sieve; one has each text once
-    own = _sifted(texts.select("d", _name("k").alias("n"), "t"), one).join(one, (F.col("d") == F.col("d2")) & (F.col("n") == F.col("n2")))
+    own = sifted(texts.select("d", _name("k").alias("n"), "t"), ["d", "n"], one, ["d2", "n2"], SIEVE_BITS).join(one, (F.col("d") == F.col("d2")) & (F.col("n") == F.col("n2")))
     own = own.dropDuplicates(["d", "n"])
     sets = written(_sets(own.select("d", "t"), shingle, weighted), "sets")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rowloom.llm.common import blocks, col, fresh, text_hash, written
+from rowloom.llm.common import blocks, col, fresh, sifted, text_hash, written
 from rowloom.llm.registry import query, table
 from rowloom.llm.words import U64, WORD_BASE, Words, mix, windows, words_of
 
@@ -40,6 +40,8 @@ RUN = 40
 NEXT = 12
 #: Added to the first word of a run, to tell its place from the number of a sentence.
 WORD_PLACE = 1 << 30
+#: Bits of the map that spans are sifted by before they are written: 16 MB are broadcast, whatever the data.
+SIEVE_BITS = 1 << 27
 _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?\n"]] = True
 
@@ -119,7 +121,10 @@ def spans(docs: DataFrame, *, id: str = "doc_id", text: str = "text", span: int
 
 def repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """``k, r, places``: the places of all non-first spans and runs of a document."""
-    found = written(spans(docs, id=id, text=text, span=span), "spans")
+    found = spans(docs, id=id, text=text, span=span)
+    # most hashes occur once: they are counted alone, and hashed again rather than written with their places
+    again = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("h").alias("a")), "again")
+    found = written(sifted(found, ["h"], again, ["a"], SIEVE_BITS), "spans")
     # rows of equal id and text have equal places, so they are first together
     first = found.groupBy("h").agg(F.min(F.struct("k", "r", "p")).alias("f"), F.max(F.struct("k", "r", "p")).alias("g"))
     first = written(first.filter("f <> g").select("h", "f"), "first")
