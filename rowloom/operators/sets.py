@@ -10,7 +10,7 @@ from rowloom.operators.cells import raw_values
 from rowloom.operators.hot_keys import frequent, lookup_join
 from rowloom.operators.numbering import dense_index
 from rowloom.options import NodeTypes
-from rowloom.session import large
+from rowloom.session import freeze, large
 
 
 def shared_values(values_a: DataFrame, values_b: DataFrame) -> DataFrame:
@@ -57,7 +57,8 @@ def _translate(names: DataFrame, lookup: DataFrame, fixed: list[str], keep_unkno
 
     Words in ``fixed`` are prefixes and get one more underscore. Other words are kept or dropped.
     """
-    words = names.select("name", F.posexplode(_words(F.col("name"))).alias("at", "word"))
+    # the sketch of frequent words reads the names too, whose plan may be as large as that of all edges
+    words = freeze(names).select("name", F.posexplode(_words(F.col("name"))).alias("at", "word"))
     found = lookup_join(words, lookup, ["word"], frequent(words, "word"), "left")
     is_fixed = F.col("word").isin(fixed) if fixed else F.lit(False)
     other = F.col("word") if keep_unknown else F.lit(None).cast("string")
@@ -70,7 +71,7 @@ def compress_edges(edges: DataFrame, dictionary: DataFrame, types: NodeTypes) ->
     """Rewrite both endpoints word by word; the weights stay."""
     names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
     lookup = dictionary.select(F.col("token").alias("word"), F.col("code").alias("new"))
-    coded = _translate(names, lookup, types.prefixes, keep_unknown=False)
+    coded = freeze(_translate(names, lookup, types.prefixes, keep_unknown=False))  # four joins read it
     src = coded.select(F.col("name").alias("src"), F.col("out").alias("_src"))
     dst = coded.select(F.col("name").alias("dst"), F.col("out").alias("_dst"))
     joined = lookup_join(edges, src, ["src"], frequent(edges, "src"))

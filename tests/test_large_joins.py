@@ -32,3 +32,16 @@ def test_shared_values_without_a_join(spark, rows):
     shared = S.shared_values(a, b)
     assert rows(shared) == rows(a.intersect(b)) == [("x",), (None,)]
     assert "Join" not in shared._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name, most", [("dict_round_trip", 0), ("compressed_edges", 24)])
+def test_plans_hold_the_edges_a_few_times(spark, parts, name, most):
+    # the driver keeps a plan with its metrics, once more each time that the plan changes while it runs
+    plan = QUERIES[name](spark, parts)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line for line in plan.splitlines() if line.lstrip(" :+-").startswith("FileScan")) <= most
+
+
+def test_names_decode_to_themselves(spark, parts, rows):
+    found = rows(QUERIES["dict_round_trip"](spark, parts))
+    assert ("tt__blue_bolt", "tt__blue_bolt") in found and ("idx__23", "idx__23") in found
+    assert all(name == decoded for name, decoded in found) and len(found) == len(set(found))
