@@ -5,6 +5,9 @@ and the cells so made are cut into blocks of bounded size. Each block first sear
 query's k-th neighbour; then a query visits only blocks whose cell can, by the triangle inequality,
 hold something nearer. The result is the exact one. With ``probes`` a query visits only the cells
 nearest to it, at each level of the tree, which is the approximate search.
+
+With few probes a query is sent to the blocks that it visits. Otherwise these may be most of all, so nothing is sent
+per query and block: packs of queries meet packs of vectors (:mod:`~rowloom.operators.vector_packs`).
 """
 
 from __future__ import annotations
@@ -17,9 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions.hashing import hash32
+from rowloom.operators import vector_packs
 from rowloom.operators.vector_cells import BLOCK_ROWS, MAX_PIVOTS, SCORE_DIGITS, build, group_of, matrix, tiles
 from rowloom.session import freeze
 
+# with so many probes or fewer, queries are sent to the blocks that they visit
+_FEW_PROBES = 16
+
 
 def _scores(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer: cosine, or minus the squared distance."""
@@ -98,34 +105,46 @@ def knn(
     Equal vectors are searched once: of a group of copies only the k + 1 first keys can be among
     any key's k nearest, and all its members share one answer.
     """
-    if metric not in ("cosine", "l2"):
-        raise ValueError(f"unknown metric {metric!r}")
-    if floor is not None and metric != "cosine":
-        raise ValueError("a floor needs the cosine metric")
-    asked = _hashed(queries)
-    stored = freeze(_copies(asked if corpus is None else _hashed(corpus), k + 1))
-    wanted = stored if corpus is None else freeze(_copies(asked, 1))
-    found = _distinct_knn(
-        wanted.select("key", "vector"),
-        None if corpus is None else stored.select("key", "vector"),
-        k + 1, metric, floor, probes, block_rows, max_pivots,
-    )
-    # (k + 1) vectors with (k + 1) names each, cut to (k + 1) names
-    named = found.join(stored.select(F.col("key").alias("nbr"), "names"), "nbr").select(
-        "key", "score", F.explode("names").alias("nbr")
-    )
-    lists = _ranked(named, k + 1).groupBy("key").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "nbr", "score"))).alias("found")
-    )
-    answers = wanted.select("v1", "v2", "key").join(lists, "key").drop("key")
-    others = F.slice(F.filter("found", lambda e: e["nbr"] != F.col("key")), 1, k)
-    score = F.col("e.score") if metric == "cosine" else -F.col("e.score")
-    return (
-        asked.select("key", "v1", "v2")
-        .join(answers, ["v1", "v2"])
-        .select("key", F.posexplode(others).alias("at", "e"))
-        .select("key", F.col("e.nbr").alias("nbr"), score.alias("score"), (F.col("at") + 1).alias("rank"))
-    )
+    return _Search(queries, corpus, k, metric, floor, block_rows, max_pivots).nearest(probes)
+
+
+class _Search:
+    """All that a search needs besides the number of probes: vectors in blocks, and what each query finds in its home block."""
+
+    def __init__(
+        self, queries: DataFrame, corpus: DataFrame | None, k: int = 10, metric: str = "cosine", floor: float | None = None,
+        block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+    ):
+        if metric not in ("cosine", "l2"):
+            raise ValueError(f"unknown metric {metric!r}")
+        if floor is not None and metric != "cosine":
+            raise ValueError("a floor needs the cosine metric")
+        self.k, self.metric, self.floor = k, metric, floor
+        self.asked = _hashed(queries)
+        self.stored = freeze(_copies(self.asked if corpus is None else _hashed(corpus), k + 1))
+        self.wanted = self.stored if corpus is None else freeze(_copies(self.asked, 1))
+        self.distinct = _Distinct(
+            self.wanted.select("key", "vector"), None if corpus is None else self.stored.select("key", "vector"),
+            k + 1, metric, floor, block_rows, max_pivots)
+
+    def nearest(self, probes: int | None = None) -> DataFrame:
+        k, found = self.k, self.distinct.nearest(probes)
+        # (k + 1) vectors with (k + 1) names each, cut to (k + 1) names
+        named = found.join(self.stored.select(F.col("key").alias("nbr"), "names"), "nbr").select(
+            "key", "score", F.explode("names").alias("nbr")
+        )
+        lists = _ranked(named, k + 1).groupBy("key").agg(
+            F.array_sort(F.collect_list(F.struct("rank", "nbr", "score"))).alias("found")
+        )
+        answers = self.wanted.select("v1", "v2", "key").join(lists, "key").drop("key")
+        others = F.slice(F.filter("found", lambda e: e["nbr"] != F.col("key")), 1, k)
+        score = F.col("e.score") if self.metric == "cosine" else -F.col("e.score")
+        return (
+            self.asked.select("key", "v1", "v2")
+            .join(answers, ["v1", "v2"])
+            .select("key", F.posexplode(others).alias("at", "e"))
+            .select("key", F.col("e.nbr").alias("nbr"), score.alias("score"), (F.col("at") + 1).alias("rank"))
+        )
 
 
 def _hashed(df: DataFrame) -> DataFrame:
@@ -147,39 +166,60 @@ def _copies(df: DataFrame, n_names: int) -> DataFrame:
     )
 
 
-def _distinct_knn(
-    queries: DataFrame, corpus: DataFrame | None, k: int, metric: str, floor: float | None, probes: int | None, block_rows: int,
-    max_pivots: int,
-) -> DataFrame:
+class _Distinct:
     """``key, nbr, score`` for distinct vectors; a key may find itself. Larger scores are nearer."""
-    same = corpus is None
-    tree, right = build(queries if same else corpus, metric, block_rows, max_pivots)
-    left = right.withColumn("home", F.col("block")) if same else tree.place(queries)
-
-    # first pass: every query searches one block of the cell it lies in
-    left = left.withColumnRenamed("block", "q_block")
-    q_groups, t_groups = (max(1, math.ceil(df.count() / BLOCK_ROWS)) for df in (queries, queries if same else corpus))
-    asked_home = left.filter("home >= 0").select(
-        "key", "vector", "q_block", F.lit(None).cast("double").alias("worst"), group_of(F.col("home"), t_groups).alias("t_group"),
-        F.array("home").alias("t_blocks"))
-    near = freeze(_join_groups(asked_home, right, q_groups, t_groups, k, metric, floor))
-    if tree.single():
-        return near
-
-    # second pass: only blocks that may hold something nearer
-    kth = near.groupBy("key").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("worst"))
-    bounded = left.join(kth, "key", "left").select(
-        "key", "vector", "q_block", "home", F.when(F.col("found") >= k, F.col("worst")).alias("worst")
-    )
-    far = _join_groups(tree.targets(bounded, floor, probes, t_groups), right, q_groups, t_groups, k, metric, floor)
-    return _ranked(near.unionByName(far), k).drop("rank")
 
-
-def _join_groups(
-    asked: DataFrame, right: DataFrame, q_groups: int, t_groups: int, k: int, metric: str, floor: float | None
-) -> DataFrame:
-    """Search groups of blocks in groups of blocks; of a group, each query is compared with the blocks that it asks for."""
-    asked = asked.withColumn("q_group", group_of(F.col("q_block"), q_groups))
+    def __init__(
+        self, queries: DataFrame, corpus: DataFrame | None, k: int, metric: str, floor: float | None, block_rows: int, max_pivots: int
+    ):
+        same = corpus is None
+        self.k, self.metric, self.floor = k, metric, floor
+        self.tree, right = build(queries if same else corpus, metric, block_rows, max_pivots)
+        self.right = freeze(right)
+        left = self.right.withColumn("home", F.col("block")) if same else freeze(self.tree.place(queries))
+        self.left = left.withColumnRenamed("block", "q_block")
+        self.n_asked, self.n_stored = queries.count(), (queries if same else corpus).count()
+        self.q_groups, self.t_groups = (max(1, math.ceil(n / BLOCK_ROWS)) for n in (self.n_asked, self.n_stored))
+        # first pass: every query searches one block of the cell it lies in
+        asked_home = self.left.filter("home >= 0").select(
+            "key", "vector", F.lit(None).cast("double").alias("worst"), "q_block", group_of(F.col("home"), self.t_groups).alias("t_group"),
+            F.array("home").alias("t_blocks"))
+        if same:
+            asked_home = asked_home.withColumn("q_group", F.col("t_group"))
+        else:
+            # as many slices of queries as a group of blocks needs, so that it is not copied once per group of queries
+            slices = asked_home.groupBy("t_group").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("bigint").alias("n_slices"))
+            number = F.shiftright(hash32(F.col("key"), "slice") * F.col("n_slices"), 32).cast("bigint")
+            asked_home = asked_home.join(slices, "t_group").withColumn("q_group", number).drop("n_slices")
+        self.near = freeze(_join_groups(asked_home, self.right, self.t_groups, k, metric, floor))
+        self._packs: tuple[DataFrame, DataFrame] | None = None
+
+    def _bounded(self) -> DataFrame:
+        """The queries, as ``worst`` with the score of the k-th found in the first pass."""
+        kth = self.near.groupBy("key").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("worst"))
+        return self.left.join(kth, "key", "left").select(
+            "key", "vector", "q_block", "home", F.when(F.col("found") >= self.k, F.col("worst")).alias("worst")
+        )
+
+    def nearest(self, probes: int | None) -> DataFrame:
+        if self.tree.single():
+            return self.near
+        # second pass: only blocks that may hold something nearer
+        if probes is not None and probes <= _FEW_PROBES:
+            asked = self.tree.targets(self._bounded(), self.floor, probes, self.t_groups)
+            asked = asked.withColumn("q_group", group_of(F.col("q_block"), self.q_groups))
+            far = _join_groups(asked, self.right, self.t_groups, self.k, self.metric, self.floor)
+        else:
+            if self._packs is None:
+                asked = vector_packs.packs(
+                    self._bounded(), {"home": np.int64, "worst": np.float64}, "q_block", self.n_asked, vector_packs.ASKED_ROWS)
+                self._packs = asked, vector_packs.corpus_packs(self.tree, self.right, self.n_stored)
+            far = vector_packs.search(*self._packs, self.tree, self.k, self.metric, self.floor, probes)
+        return _ranked(self.near.unionByName(far), self.k).drop("rank")
+
+
+def _join_groups(asked: DataFrame, right: DataFrame, t_groups: int, k: int, metric: str, floor: float | None) -> DataFrame:
+    """Search groups of queries in groups of blocks; of a group, each query is compared with the blocks that it asks for."""
     pairs = asked.select(F.col("q_group").alias("from_group"), F.col("t_group").alias("to_group")).distinct()
     corpus = right.select(
         group_of(F.col("block"), t_groups).alias("to_group"), F.col("block").alias("c_block"), F.col("key").alias("c_key"), F.col("vector").alias("c_vector")
@@ -223,10 +263,11 @@ def probes_for(
     """
     stored = queries if corpus is None else corpus
     sample = freeze(queries.select("key", "vector").orderBy(hash32(F.col("key"), "sample"), "key").limit(n_sample))
-    exact = freeze(knn(sample, stored, k=k, **search))
+    trial = _Search(sample, stored, k, **search)
+    exact = freeze(trial.nearest())
     probes = 1
     while probes < MAX_PIVOTS:  # so many probes leave no cell out
-        row = recall(knn(sample, stored, k=k, probes=probes, **search), exact).first()
+        row = recall(trial.nearest(probes), exact).first()
         if row is None or row.recall_all >= goal:
             break
         probes *= 2

@@ -32,11 +32,11 @@ SPLIT_BLOCKS = 16
 _SLICE_ROWS = 4096
 # numbers of a matrix that is held at once, whatever the number of pivots or vectors
 TILE = 1 << 20
-_BLOCK_BITS = 24
+BLOCK_BITS = 24
 _SLACK = 1e-6
 # scores are ranked after rounding, so that engines agree on ties; what rounds to the same may lie that much apart
 SCORE_DIGITS = 9
-_ROUNDED = 10.0**-SCORE_DIGITS
+ROUNDED = 10.0**-SCORE_DIGITS
 
 _PLACED = "key string, vector array<float>, cell bigint, radius double"
 _VISIT = (
@@ -47,7 +47,11 @@ _PRIME, _FACTOR = (1 << 31) - 1, 1_103_515_245
 
 
 def matrix(vectors: pd.Series, metric: str) -> np.ndarray:
-    m = np.array(vectors.tolist(), dtype=np.float64)
+    return normal(np.array(vectors.tolist(), dtype=np.float64), metric)
+
+
+def normal(m: np.ndarray, metric: str) -> np.ndarray:
+    """Rows of length one for the cosine; what has no length stays."""
     if metric == "cosine":
         size = np.linalg.norm(m, axis=1, keepdims=True)
         m = m / np.where(size > 0, size, 1.0)
@@ -101,6 +105,32 @@ class Siblings:
             radius[part] = distance[np.arange(len(distance)), at[part]]
         return pd.DataFrame({"key": batch["key"], "vector": batch["vector"], "cell": self.cells[at], "radius": radius})
 
+    def take(self, at: np.ndarray) -> Siblings:
+        return Siblings(self.metric, self.cells[at], self.pivots[at], self.r_min[at], self.r_max[at], self.n_blocks[at], self.split[at])
+
+    def limits(self, worst: np.ndarray, floor: float | None) -> np.ndarray:
+        """The largest distance of something that scores as much as ``worst`` (NaN or minus infinity: not known) and the floor."""
+        known = np.isfinite(worst)
+        if self.metric != "cosine":
+            return np.where(known, np.sqrt(np.maximum(ROUNDED - np.where(known, worst, 0.0), 0.0)), np.inf)
+        limit = np.sqrt(np.maximum(2.0 - 2.0 * (np.where(known, worst, -1.5) - ROUNDED), 0.0))
+        return limit if floor is None else np.minimum(limit, math.sqrt(max(2.0 - 2.0 * (floor - ROUNDED), 0.0)))
+
+    def used(self) -> np.ndarray:
+        return (self.n_blocks > 0) | self.split
+
+    def may_hold(self, distance: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Which cells may hold something within the limit: nothing in a cell is nearer than the ring of radii around its pivot allows."""
+        lower = np.maximum(np.maximum(distance - self.r_max[None, :], self.r_min[None, :] - distance), 0.0)
+        return (lower <= (limit * (1 + _SLACK) + _SLACK)[:, None]) & self.used()[None, :]
+
+    def nearest(self, distance: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest cells that hold something; the first of equally near ones."""
+        at = np.argsort(np.where(self.used()[None, :], distance, np.inf), axis=1, kind="stable")[:, :probes]
+        chosen = np.zeros(distance.shape, bool)
+        np.put_along_axis(chosen, at, True, axis=1)
+        return chosen
+
     def visits(self, batch: pd.DataFrame, floor: float | None, probes: int | None, n_groups: int) -> Iterator[pd.DataFrame]:
         """One row per query: the blocks to visit, by group, and as ``nodes`` the cells that are split further."""
         for part in tiles(len(batch), max(len(self.cells), int(self.n_blocks.sum()))):
@@ -108,28 +138,16 @@ class Siblings:
 
     def _visits(self, batch: pd.DataFrame, floor: float | None, probes: int | None, n_groups: int) -> pd.DataFrame:
         distance = self.distances(matrix(batch["vector"], self.metric))
-        worst = batch["worst"].to_numpy(dtype=np.float64)
-        if self.metric == "cosine":
-            limit = np.sqrt(np.maximum(2.0 - 2.0 * (np.where(np.isnan(worst), -1.5, worst) - _ROUNDED), 0.0))
-            if floor is not None:
-                limit = np.minimum(limit, math.sqrt(max(2.0 - 2.0 * (floor - _ROUNDED), 0.0)))
-        else:
-            limit = np.where(np.isnan(worst), np.inf, np.sqrt(np.maximum(_ROUNDED - worst, 0.0)))
-        # nothing in a cell is nearer than the ring of radii around its pivot allows
-        lower = np.maximum(np.maximum(distance - self.r_max[None, :], self.r_min[None, :] - distance), 0.0)
-        used = (self.n_blocks > 0) | self.split
-        open_cells = (lower <= (limit * (1 + _SLACK) + _SLACK)[:, None]) & used[None, :]
+        limit = self.limits(batch["worst"].to_numpy(dtype=np.float64), floor)
+        open_cells = self.may_hold(distance, limit)
         if probes is not None:
-            nearest = np.argsort(np.where(used[None, :], distance, np.inf), axis=1, kind="stable")[:, :probes]
-            chosen = np.zeros_like(open_cells)
-            np.put_along_axis(chosen, nearest, True, axis=1)
-            open_cells &= chosen
+            open_cells &= self.nearest(distance, probes)
         rows, at = np.nonzero(open_cells)
         counts = np.where(self.split[at], 1, self.n_blocks[at])
         rows, at = np.repeat(rows, counts), np.repeat(at, counts)
         within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
         split = self.split[at]
-        target = (self.cells[at] << _BLOCK_BITS) + within
+        target = (self.cells[at] << BLOCK_BITS) + within
         other = ~split & (target != batch["home"].to_numpy()[rows])
         below, nodes = rows[split], self.cells[at[split]]
         rows, target = rows[other], target[other]
@@ -211,7 +229,7 @@ class CellTree:
 def block_of(cell: Column, n_blocks: Column, *salt: str) -> Column:
     """A block of the cell, by hash of the key."""
     within = F.shiftright(hash32(F.col("key"), *(salt or ("block",))) * n_blocks, 32)
-    return (F.shiftleft(cell.cast("bigint"), _BLOCK_BITS) + within).cast("bigint")
+    return (F.shiftleft(cell.cast("bigint"), BLOCK_BITS) + within).cast("bigint")
 
 
 def _assigned(df: DataFrame, top: Siblings) -> DataFrame:
