@@ -29,6 +29,8 @@ ASKED_ROWS = 1024
 _TASK_PACKS = 32
 # candidates are cut to the best when there are more of them than this share of what is kept
 _SURPLUS = 0.5
+# where more than so many times k vectors of a pack are candidates, its k best are picked at once
+_CROWD = 4
 
 _SIBLINGS = "of_pack bigint, nodes binary, cells binary, pivots binary, lo binary, hi binary, n_blocks binary, split binary"
 _FOUND = "key string, nbr string, score double"
@@ -162,8 +164,8 @@ class _Asked:
             if not asked.all():
                 scores[~asked[:, block_no[cols]]] = -np.inf
             self._keep(rows + part.start, scores, names, np.arange(len(names))[cols])
-        if sum(len(f[0]) for f in self.fresh) > _SURPLUS * self.k * len(self.home):
-            self._cut()
+            if sum(len(f[0]) for f in self.fresh) > _SURPLUS * self.k * len(self.home):
+                self._cut()
 
     def _open(self, cells: np.ndarray, below: dict[int, Siblings]) -> np.ndarray:
         """Which queries may find something in which cells: all cells on the way there must be open."""
@@ -188,12 +190,13 @@ class _Asked:
 
     def _keep(self, rows: np.ndarray, scores: np.ndarray, names: pa.Array, cols: np.ndarray) -> None:
         """Candidates that score as much as the k-th found before them, as scores are rounded."""
-        limit = self.worst[rows]
-        unknown = np.flatnonzero(limit == -np.inf)
-        n = scores.shape[1]
-        if len(unknown) and n > self.k:
-            limit[unknown] = np.partition(np.nan_to_num(scores[unknown], nan=-np.inf), n - self.k, axis=1)[:, n - self.k] - ROUNDED
-        at, col = np.nonzero((scores >= (limit - ROUNDED)[:, None]) & np.isfinite(scores))
+        limit, n = self.worst[rows] - ROUNDED, scores.shape[1]
+        hits = scores >= limit[:, None]
+        many = np.flatnonzero(hits.sum(1) > _CROWD * self.k)
+        if len(many) and n > self.k:
+            kth = np.partition(np.nan_to_num(scores[many], nan=-np.inf), n - self.k, axis=1)[:, n - self.k]
+            hits[many] &= scores[many] >= (kth - 2 * ROUNDED)[:, None]
+        at, col = np.nonzero(hits & np.isfinite(scores))
         score = _rounded(scores[at, col], self.metric)
         good = score >= self.worst[rows[at]]
         if self.floor is not None:
